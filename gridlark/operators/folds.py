@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from gridlark.functions.calendar import HORIZON_DAYS, SERVICE_HOURS, local_instant, noon_before
@@ -23,37 +25,47 @@ def date_split(panel: DataFrame, days: int = HORIZON_DAYS) -> DataFrame:
     return panel.withColumn("role", role)
 
 
-def fold_windows(last_day: Column, zone: str, count: int = 3, days: int = 7) -> Column:
-    """Array of back-to-back validation windows ending at ``last_day``, oldest first."""
-    def one(k: Column) -> Column:
-        start = F.date_sub(last_day, (F.lit(count + 1) - k) * days - 1)
-        return F.struct(
-            F.format_string("fold_%d", k).alias("fold_id"),
-            start.alias("start_date"),
-            F.date_add(start, days - 1).alias("end_date"),
-            noon_before(start, zone).alias("origin"),
-        )
+@dataclass(frozen=True)
+class FoldWindows:
+    """Back-to-back validation windows that end at ``last_day``, oldest first."""
+
+    last_day: Column
+    zone: str
+    count: int = 3
+    days: int = 7
 
-    return F.transform(F.sequence(F.lit(1), F.lit(count)), one)
+    def expand(self, df: DataFrame) -> DataFrame:
+        """One copy of each row per fold, fold columns attached.
 
+        The fold number is generated inside the scan stage; there is no join.
+        """
+        numbered = df.withColumns(
+            {"_last": self.last_day, "_k": F.explode(F.sequence(F.lit(1), F.lit(self.count)))}
+        )
+        start = F.date_sub("_last", (F.lit(self.count + 1) - F.col("_k")) * self.days - 1)
+        placed = numbered.withColumns(
+            {"fold_id": F.format_string("fold_%d", F.col("_k")), "start_date": start}
+        )
+        return placed.withColumns(
+            {
+                "end_date": F.date_add("start_date", self.days - 1),
+                "origin": noon_before(F.col("start_date"), self.zone),
+            }
+        ).drop("_last", "_k")
 
-def expand_folds(df: DataFrame, windows: Column) -> DataFrame:
-    """One copy of each row per fold, fold columns attached.
 
-    The windows travel as a literal-sized array, so this is a generator inside
-    the scan stage and not a join.
-    """
-    return df.select("*", F.explode(windows).alias("_fold")).select(*df.columns, "_fold.*")
+def expand_folds(df: DataFrame, windows: FoldWindows) -> DataFrame:
+    return windows.expand(df)
 
 
-def fold_rows(panel: DataFrame, windows: Column) -> DataFrame:
+def fold_rows(panel: DataFrame, windows: FoldWindows) -> DataFrame:
     """Train and validation rows per fold, the training set expanding with time."""
     rows = expand_folds(panel, windows).filter(F.col("local_date") <= F.col("end_date"))
     role = F.when(F.col("local_date") < F.col("start_date"), "train").otherwise("validation")
     return rows.withColumn("role", role)
 
 
-def fold_summary(panel: DataFrame, windows: Column) -> DataFrame:
+def fold_summary(panel: DataFrame, windows: FoldWindows) -> DataFrame:
     rows = fold_rows(panel, windows)
     per_date = rows.groupBy("fold_id", "start_date", "end_date", "origin", "role", "local_date").agg(
         F.count(F.lit(1)).alias("n"), F.count("target").alias("known")
@@ -63,11 +75,10 @@ def fold_summary(panel: DataFrame, windows: Column) -> DataFrame:
     )
 
 
-def missing_validation_dates(panel: DataFrame, windows: Column) -> DataFrame:
+def missing_validation_dates(panel: DataFrame, windows: FoldWindows) -> DataFrame:
     """Validation dates of a fold that the panel does not hold."""
     dates = panel.select("local_date").distinct()
-    one_row = panel.sparkSession.range(1).select(F.explode(windows).alias("f")).select("f.*")
-    wanted = one_row.select(
+    wanted = windows.expand(panel.sparkSession.range(1)).select(
         "fold_id", F.explode(F.sequence("start_date", "end_date")).alias("local_date")
     )
     return wanted.join(dates, "local_date", "left_anti").select("fold_id", "local_date")
