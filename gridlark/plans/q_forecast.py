@@ -252,7 +252,7 @@ def completeness(spark: SparkSession, folder: str) -> DataFrame:
     return out.withColumn("completeness", F.round("completeness", 6))
 
 
-FRESH_SQL = """fresh AS (SELECT user_id, event_type AS source, CASE WHEN event_type = 'signup' AND MAX(value) > 200 THEN NULL ELSE MAX(ts) END AS watermark FROM events GROUP BY ALL),
+FRESH_SQL = """fresh AS (SELECT user_id, event_type AS source, CASE WHEN event_type = 'signup' AND MAX(value) > 200 THEN NULL ELSE MAX(ts) END AS watermark FROM events GROUP BY user_id, event_type),
 aged AS (SELECT *, CASE source WHEN 'click' THEN 24.0 WHEN 'error' THEN 6.0 WHEN 'purchase' THEN 72.0 END AS limit_hours,
   epoch_us(TIMESTAMP '2024-01-31 00:00:00') AS now_us FROM fresh),
 judged AS (SELECT user_id, source, limit_hours, (now_us - epoch_us(watermark)) / 3.6e9 AS age_hours FROM aged),
@@ -499,6 +499,7 @@ def publish_replay(spark: SparkSession, folder: str) -> DataFrame:
     """Publishes all batches, offers them again, and verifies what is stored."""
     out = scratch_path(spark, "publish")
     offered = _publishable(spark, folder)
+    publish.publish_batches(offered, out)
     again = publish.publish_batches(offered, out)
     intact = publish.verify_published(spark, out).select("batch_id", "intact")
     return again.join(intact, "batch_id").select("batch_id", "row_count", "disposition", "intact")
@@ -518,14 +519,19 @@ def current_pointer(spark: SparkSession, folder: str) -> DataFrame:
 
 @register(
     "binary_digest",
-    """SELECT 'MISSING' AS status, CAST(COUNT(*) AS BIGINT) AS refs FROM documents HAVING COUNT(*) > 0
-UNION ALL SELECT 'OK', COUNT(*) FROM (SELECT unnest([1])) HAVING false""",
+    """SELECT 'MISSING' AS status, COUNT(*) AS refs FROM documents
+UNION ALL SELECT 'ATTACHMENT_DIGEST_MISMATCH', COUNT(*) FROM nation""",
 )
 def binary_digest(spark: SparkSession, folder: str) -> DataFrame:
-    """Every document as a reference to a stored file; the folder holds the tables only."""
-    files = tables.read_binary(spark, folder, "region.parquet")
-    refs = table(spark, folder, "documents").select(
+    """Documents point to files that do not exist, nations to one of other content."""
+    files = tables.read_binary(spark, folder, "nation.parquet")
+    docs = table(spark, folder, "documents").select(
         F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("storage_ref"),
         F.sha2("text", 256).alias("digest"), F.length("text").cast("long").alias("byte_size"),
     )
-    return tables.check_binary(files, refs).groupBy("status").agg(F.count(F.lit(1)).alias("refs"))
+    nations = table(spark, folder, "nation").select(
+        F.lit("nation.parquet").alias("storage_ref"), F.sha2("n_name", 256).alias("digest"),
+        F.length("n_name").cast("long").alias("byte_size"),
+    )
+    checked = tables.check_binary(files, docs.unionByName(nations))
+    return checked.groupBy("status").agg(F.count(F.lit(1)).alias("refs"))

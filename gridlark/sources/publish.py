@@ -8,8 +8,10 @@ no visible batch and can simply run again.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gridlark.functions.hashing import table_fingerprint
@@ -66,26 +68,33 @@ def publish_batches(records: DataFrame, folder: str) -> DataFrame:
     whatever an earlier, unfinished attempt left in their own partition.
     """
     spark = records.sparkSession
-    plan = compare_with_manifest(batch_manifest(records), read_manifest(spark, folder)).persist()
+    kept = records.persist(StorageLevel.MEMORY_AND_DISK)
+    log = f"{folder}/log/run-{uuid.uuid4().hex}"
     try:
-        if plan.filter("disposition = 'CONFLICT'").limit(1).count():
+        compare_with_manifest(batch_manifest(kept), read_manifest(spark, folder)).write.parquet(log)
+        plan = spark.read.parquet(log)
+        if not plan.filter("disposition = 'CONFLICT'").isEmpty():
             raise PublishError("a published batch id was offered again with different content")
-        fresh = records.join(plan.filter("disposition = 'NEW'").select("batch_id"), "batch_id", "left_semi")
-        ordered = fresh.repartition("batch_id").sortWithinPartitions("batch_id", "target_timestamp", "station_id")
-        writer = ordered.write.partitionBy("batch_id").mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        writer.option("compression", "zstd").parquet(f"{folder}/records")
-        writer.option("header", True).csv(f"{folder}/csv")
-        done = plan.filter("disposition = 'NEW'").select(
+        new = plan.filter("disposition = 'NEW'")
+        if new.isEmpty():
+            return plan
+        fresh = kept.join(new.select("batch_id"), "batch_id", "left_semi")
+        # Ranges over the full order: a large batch spreads over many sorted files.
+        order = ("batch_id", "target_timestamp", "station_id")
+        placed = fresh.repartitionByRange(*order).sortWithinPartitions(*order)
+        for kind, options in (("parquet", {"compression": "zstd"}), ("csv", {"header": "true"})):
+            target = f"{folder}/records" if kind == "parquet" else f"{folder}/csv"
+            (
+                placed.write.format(kind).options(**options).partitionBy("batch_id")
+                .mode("overwrite").option("partitionOverwriteMode", "dynamic").save(target)
+            )
+        new.select(
             "batch_id", "row_count", "content_sum", "model_role", "batch_status",
             F.current_timestamp().alias("published_at"),
-        )
-        done.write.mode("append").parquet(f"{folder}/manifest")
-        rows = plan.drop("content_sum")
-        # One small row per batch; written so that the result outlives the cache.
-        rows.write.mode("append").parquet(f"{folder}/log")
+        ).write.mode("append").parquet(f"{folder}/manifest")
+        return plan
     finally:
-        plan.unpersist()
-    return compare_with_manifest(batch_manifest(records), read_manifest(spark, folder))
+        kept.unpersist()
 
 
 def verify_published(spark: SparkSession, folder: str) -> DataFrame:
