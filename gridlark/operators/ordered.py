@@ -72,3 +72,15 @@ def running_total(
     out = first.join(offsets, [*keys, "_b1"])
     out = out.withColumns({n: F.col(f"_i_{n}") + F.col(f"_o_{n}") for n in values})
     return out.drop("_b1", "_b2", *[f"_i_{n}" for n in values], *[f"_o_{n}" for n in values])
+
+
+def number_within(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str) -> DataFrame:
+    """1-based position inside each key, however many rows one key holds.
+
+    Rows are numbered globally by (keys, order); subtracting the first number of
+    the key leaves the position inside it.
+    """
+    keys = list(keys)
+    numbered = number_rows(df, [*keys, *order], "_n")
+    first = numbered.groupBy(*keys).agg(F.min("_n").alias("_first"))
+    return numbered.join(first, keys).withColumn(name, F.col("_n") - F.col("_first") + 1).drop("_n", "_first")
