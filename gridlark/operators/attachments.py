@@ -28,6 +28,11 @@ MAX_UNCOMPRESSED = 100 * 1024 * 1024
 MAX_RATIO = 100.0
 
 
+def stripped(text: Column) -> Column:
+    """Text without outer white space of any kind."""
+    return F.btrim(text, F.lit(" \t\r\n\f\u000b"))
+
+
 def filename_code(name: Column) -> Column:
     """Reason an original file name is refused, NULL when acceptable."""
     suffix = F.lower(F.regexp_extract(name, r"(?s)[^.](\.[^.]*)$", 1))
@@ -64,6 +69,15 @@ def message_limits(attachments: DataFrame, by: Sequence[str]) -> DataFrame:
     return totals.withColumn("limit_code", code)
 
 
+def within_limits(df: DataFrame, attachments: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Rows of messages that keep the count and size limits.
+
+    What passes has few attachments of bounded size, so it may be assembled.
+    """
+    over = message_limits(attachments, by).filter("limit_code is not null").select(*by)
+    return df.join(over, list(by), "left_anti")
+
+
 def fragment_limits(
     fragments: DataFrame,
     pages: int = MAX_PAGES,
@@ -79,7 +93,7 @@ def fragment_limits(
     """
     place = ["attachment_id", "page", "slide", "sheet", "row"]
     cell = fragments.groupBy(*place).agg(
-        F.count("cell").alias("cells"), F.sum(F.length(F.trim("text"))).alias("characters")
+        F.count("cell").alias("cells"), F.sum(F.length(stripped(F.col("text")))).alias("characters")
     )
     sheet = cell.groupBy("attachment_id", "page", "slide", "sheet").agg(
         F.count("row").alias("rows"), F.sum("cells").alias("cells"), F.sum("characters").alias("characters")
@@ -121,7 +135,7 @@ def character_budget(fragments: DataFrame, limit: int = MAX_CHARACTERS) -> DataF
     Blank fragments do not count.  Totals find the documents over budget; only
     their fragments get running sums, block by block.
     """
-    sized = fragments.withColumn("_chars", F.length(F.trim("text"))).filter("_chars > 0")
+    sized = fragments.withColumn("_chars", F.length(stripped(F.col("text")))).filter("_chars > 0")
     over = sized.groupBy("attachment_id").agg(F.sum("_chars").alias("_total")).filter(F.col("_total") > limit)
     suspect = sized.select("attachment_id", "pos", "_chars").join(over.select("attachment_id"), "attachment_id", "left_semi")
     running = running_total(suspect, ["attachment_id"], "pos", {"running_characters": "_chars"})
@@ -137,7 +151,7 @@ def assemble_text(fragments: DataFrame, limit: int = MAX_CHARACTERS) -> DataFram
     assembled text is bounded by the budget.
     """
     over = character_budget(fragments, limit).select("attachment_id")
-    kept = fragments.join(over, "attachment_id", "left_anti").withColumn("text", F.trim("text")).filter("text <> ''")
+    kept = fragments.join(over, "attachment_id", "left_anti").withColumn("text", stripped(F.col("text"))).filter("text <> ''")
     parts = F.array_sort(F.collect_list(F.struct("pos", "text")))
     return kept.groupBy("attachment_id").agg(F.array_join(F.transform(parts, lambda p: p["text"]), "\n").alias("text"))
 

@@ -253,7 +253,7 @@ def completeness(spark: SparkSession, folder: str) -> DataFrame:
 
 
 FRESH_SQL = """fresh AS (SELECT user_id, event_type AS source, CASE WHEN event_type = 'signup' AND MAX(value) > 200 THEN NULL ELSE MAX(ts) END AS watermark FROM events GROUP BY user_id, event_type),
-aged AS (SELECT *, CASE source WHEN 'click' THEN 24.0 WHEN 'error' THEN 6.0 WHEN 'purchase' THEN 72.0 END AS limit_hours,
+aged AS (SELECT *, CAST(CASE source WHEN 'click' THEN 24.0 WHEN 'error' THEN 6.0 WHEN 'purchase' THEN 72.0 END AS DOUBLE) AS limit_hours,
   epoch_us(TIMESTAMP '2024-01-31 00:00:00') AS now_us FROM fresh),
 judged AS (SELECT user_id, source, limit_hours, (now_us - epoch_us(watermark)) / 3.6e9 AS age_hours FROM aged),
 fresh_s AS (SELECT *, age_hours IS NULL OR COALESCE(age_hours > limit_hours, false) AS stale,
