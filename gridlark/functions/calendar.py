@@ -37,7 +37,7 @@ def with_local_keys(df: DataFrame, zone: str, instant: str = "timestamp_utc") ->
 
 def local_instant(day: Column, hour: Column, zone: str) -> Column:
     """UTC instant of a local wall-clock hour."""
-    wall = F.to_timestamp(F.format_string("%s %02d:00:00", day.cast("string"), hour.cast("int")))
+    wall = F.timestamp_seconds(F.unix_date(day).cast("long") * 86400 + hour.cast("long") * 3600)
     return F.to_utc_timestamp(wall, zone)
 
 

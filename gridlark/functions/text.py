@@ -42,15 +42,19 @@ MANY_LINES = 4
 _FLAGS = "(?isuU)"
 
 
-@F.pandas_udf("string")
-def _nfkc(values: pd.Series) -> pd.Series:
-    return values.map(lambda v: unicodedata.normalize("NFKC", v), na_action="ignore")
+def _nfkc():
+    """The normaliser as a pandas UDF; nested so that workers need no package."""
+
+    def normalize(values: pd.Series) -> pd.Series:
+        return values.map(lambda v: unicodedata.normalize("NFKC", v), na_action="ignore")
+
+    return F.pandas_udf(normalize, "string")
 
 
 def normalize_text(text: Column) -> Column:
     """NFKC and no NUL; plain ASCII rows never leave the JVM as text."""
     foreign = text.rlike(r"[^\x00-\x7F]")
-    normalized = F.coalesce(_nfkc(F.when(foreign, text)), text)
+    normalized = F.coalesce(_nfkc()(F.when(foreign, text)), text)
     return F.replace(normalized, F.lit("\u0000"), F.lit(""))
 
 

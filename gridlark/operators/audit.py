@@ -27,20 +27,28 @@ def link_hash(content: Column, previous: Column) -> Column:
     return F.sha2(F.concat(content, previous), 256)
 
 
-def _link(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Carries the last hash from row to row; nothing but that hash is kept."""
-    trace, last = None, GENESIS
-    for batch in batches:
-        previous, linked = [], []
-        for key, content, head in zip(batch["trace_id"], batch["content_digest"], batch["head_hash"]):
-            if key != trace:
-                trace, last = key, head
-            previous.append(last)
-            last = hashlib.sha256((content + last).encode()).hexdigest()
-            linked.append(last)
-        out = batch[["trace_id", "sequence"]].copy()
-        out["previous_hash"], out["event_hash"] = previous, linked
-        yield out
+def _linker():
+    """The walk over sorted batches; nested so that workers need no package.
+
+    It carries the last hash from row to row and keeps nothing else.
+    """
+    genesis = GENESIS
+
+    def link(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        trace, last = None, genesis
+        for batch in batches:
+            previous, linked = [], []
+            for key, content, head in zip(batch["trace_id"], batch["content_digest"], batch["head_hash"]):
+                if key != trace:
+                    trace, last = key, head
+                previous.append(last)
+                last = hashlib.sha256((content + last).encode()).hexdigest()
+                linked.append(last)
+            out = batch[["trace_id", "sequence"]].copy()
+            out["previous_hash"], out["event_hash"] = previous, linked
+            yield out
+
+    return link
 
 
 def build_chain(events: DataFrame, heads: DataFrame | None = None) -> DataFrame:
@@ -61,7 +69,7 @@ def build_chain(events: DataFrame, heads: DataFrame | None = None) -> DataFrame:
     ordered = ready.repartition("trace_id").sortWithinPartitions("trace_id", "sequence")
     types = dict(slim.dtypes)
     return ordered.mapInPandas(
-        _link,
+        _linker(),
         f"trace_id {types['trace_id']}, sequence {types['sequence']}, previous_hash string, event_hash string",
     )
 

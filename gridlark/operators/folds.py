@@ -44,7 +44,7 @@ class FoldWindows:
         )
         start = F.date_sub("_last", (F.lit(self.count + 1) - F.col("_k")) * self.days - 1)
         placed = numbered.withColumns(
-            {"fold_id": F.format_string("fold_%d", F.col("_k")), "start_date": start}
+            {"fold_id": F.concat(F.lit("fold_"), F.col("_k").cast("string")), "start_date": start}
         )
         return placed.withColumns(
             {

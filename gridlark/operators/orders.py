@@ -40,7 +40,7 @@ def line_code(sku: Column, quantity: Column, quantity_text: Column) -> Column:
 def explode_lines(orders: DataFrame, lines: str = "lines") -> DataFrame:
     """Nested order lines as rows with their index and field path."""
     flat = orders.select("*", F.posexplode(lines).alias("line_index", "line")).drop(lines)
-    return flat.withColumn("field_path", F.format_string("lines.%d", F.col("line_index")))
+    return flat.withColumn("field_path", F.concat(F.lit("lines."), F.col("line_index").cast("string")))
 
 
 def check_lines(lines: DataFrame) -> DataFrame:
@@ -266,4 +266,6 @@ def recent_orders(orders: DataFrame, customers: DataFrame, limit: int = HISTORY_
 def order_numbers(orders: DataFrame, order: Sequence[str] = ("created_at", "order_key")) -> DataFrame:
     """Consecutive order ids in creation order."""
     numbered = number_rows(orders, order, "_n")
-    return numbered.withColumn("order_id", F.format_string("ORD-%06d", F.col("_n"))).drop("_n")
+    digits = F.col("_n").cast("string")
+    padded = F.when(F.col("_n") < 1_000_000, F.lpad(digits, 6, "0")).otherwise(digits)
+    return numbered.withColumn("order_id", F.concat(F.lit("ORD-"), padded)).drop("_n")

@@ -178,7 +178,7 @@ def batches(spark: SparkSession, folder: str) -> DataFrame:
         lagged.join(by_station, "station_id", "left")
         .join(by_hour, ["station_id", "local_hour"], "left")
         .select(
-            F.format_string("W%04d", week).alias("batch_id"),
+            F.concat(F.lit("W"), F.lpad(week.cast("string"), 4, "0")).alias("batch_id"),
             "station_id", "local_date", "local_hour",
             F.col("timestamp_utc").alias("target_timestamp"),
             F.col("target").alias("actual"),
