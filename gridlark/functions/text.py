@@ -5,7 +5,7 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 # Patterns of instructions addressed to the reader's tooling.
 INJECTION_PATTERNS: dict[str, str] = {
@@ -63,23 +63,56 @@ def collapsed_form(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"(?U)[\s\W_]+", " "))
 
 
-def compact_form(text: Column) -> Column:
-    """Lower-case letters only."""
-    return F.lower(F.regexp_replace(text, "[^a-zA-ZÀ-ž]+", ""))
+# Each pattern needs one of these words; a plain search for them is much cheaper
+# than the pattern and settles most texts.
+_NEEDED_WORDS: dict[str, tuple[str, ...]] = {
+    "INSTRUCTION_OVERRIDE": ("ignore", "disregard", "override", "forget"),
+    "INSTRUCTION_OVERRIDE_DE": ("ignoriere", "missachte", "vergiss"),
+    "INSTRUCTION_OVERRIDE_FR_ES_IT": ("ignorez", "oubliez", "ignora", "olvida", "dimentica"),
+    "ROLE_HIJACK": ("you are now", "act as", "message", "system prompt", "maintenance mode"),
+    "AUTHORIZATION_BYPASS": ("approve", "validation", "bypass", "disable"),
+    "SECRET_EXFILTRATION": (
+        "system prompt", "secret", "api key", "token", "password", "customer database", "customers",
+    ),
+    "TOOL_INJECTION": ("tool", "function", "shell", "sql", "query"),
+    "DELIMITER_BREAKOUT": ("system", "assistant", "developer", "tool", "untrusted"),
+}
+
+
+def _any_word(text: Column, words: tuple[str, ...]) -> Column:
+    hit = F.lit(False)
+    for word in words:
+        hit = hit | F.contains(text, F.lit(word))
+    return hit
+
+
+def screening_forms(df: DataFrame, text: str) -> DataFrame:
+    """Adds the letters-only form of a normalised text column and a folded twin.
+
+    Case-insensitive patterns take the dotless and the dotted capital i for an i,
+    so the folded form does too.
+    """
+    letters = F.regexp_replace(F.col(text), "[^a-zA-ZÀ-ž]+", "")
+    return df.withColumn("_letters", letters).select(
+        *df.columns, F.lower("_letters").alias("_compact"), F.lower(F.translate("_letters", "İı", "ii")).alias("_folded")
+    )
+
 
+def injection_codes(text: str) -> Column:
+    """Sorted distinct codes; the frame must hold the forms of :func:`screening_forms`.
 
-def injection_codes(text: Column) -> Column:
-    """Sorted distinct codes found in a normalised text or its two other forms."""
-    collapsed, compact = collapsed_form(text), compact_form(text)
-    tests = [
-        F.when(collapsed.rlike(_FLAGS + p) | text.rlike(_FLAGS + p), code) for code, p in INJECTION_PATTERNS.items()
-    ]
+    A pattern can only match, on the text or on its words, where the letters of
+    one of its needed words follow each other; other texts skip the pattern.
+    """
+    whole, spaced = F.col(text), collapsed_form(F.col(text))
+    tests = []
+    for code, pattern in INJECTION_PATTERNS.items():
+        words = tuple(w.replace(" ", "") for w in _NEEDED_WORDS[code])
+        full = _FLAGS + pattern
+        tests.append(F.when(_any_word(F.col("_folded"), words) & (whole.rlike(full) | spaced.rlike(full)), code))
     for code in sorted(set(COMPACT_NEEDLES.values())):
-        hit = F.lit(False)
-        for needle, owner in COMPACT_NEEDLES.items():
-            if owner == code:
-                hit = hit | F.contains(compact, F.lit(needle))
-        tests.append(F.when(hit, code))
+        needles = tuple(n for n, owner in COMPACT_NEEDLES.items() if owner == code)
+        tests.append(F.when(_any_word(F.col("_compact"), needles), code))
     return F.array_sort(F.array_compact(F.array(*tests)))
 
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from gridlark.functions.numeric import at_least_zero
-from gridlark.functions.quantiles import exact_median, median_of_counts
+from gridlark.functions.quantiles import exact_median, median_by_rank
 
 SEASON_DAYS = 7  # fixed value
 
@@ -17,19 +17,19 @@ def median_levels(
 ) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Medians by station-weekday-hour, station-hour, station, and overall.
 
-    Values are first counted per station, weekday and hour, so the three keyed
-    levels aggregate counts of one station's calendar.  The overall level can
-    hold all rows and uses the bracketed median instead.
+    One shuffle by station serves all three keyed levels; a station holds at most
+    one row per calendar hour.  The overall level can hold all rows and uses the
+    bracketed median instead.
     """
-    known = history.filter(F.col("target").isNotNull()).withColumn("weekday", F.weekday("local_date"))
-    counts = known.groupBy(*scope, "station_id", "weekday", "local_hour", "target").agg(
-        F.count(F.lit(1)).alias("n")
+    known = history.filter(F.col("target").isNotNull()).select(
+        *scope, "station_id", F.weekday("local_date").alias("weekday"), "local_hour", "target"
     )
     station = [*scope, "station_id"]
+    placed = known.repartition(*station)
     return (
-        median_of_counts(counts, [*station, "weekday", "local_hour"], "target", "_m_detail"),
-        median_of_counts(counts, [*station, "local_hour"], "target", "_m_hour"),
-        median_of_counts(counts, station, "target", "_m_station"),
+        median_by_rank(placed, [*station, "weekday", "local_hour"], "target", "_m_detail"),
+        median_by_rank(placed, [*station, "local_hour"], "target", "_m_hour"),
+        median_by_rank(placed, station, "target", "_m_station"),
         exact_median(known, scope, "target", "_m_all"),
     )
 

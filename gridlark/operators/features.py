@@ -82,6 +82,19 @@ def passenger_features(
     return with_missing_flags(targets.join(found, [*keys, "local_date"], "left"), list(columns))
 
 
+def passenger_features_in_place(rows: DataFrame, visible: str, scope: Sequence[str] = ()) -> DataFrame:
+    """The same columns when the rows hold their whole history themselves.
+
+    ``visible`` is the label where it is known at the origin and NULL after it, so
+    one window pass over the rows replaces the union and the join back.
+    """
+    keys = [*scope, "station_id", "local_hour"]
+    columns = lag_columns(visible, keys, PASSENGER_LAGS, "passenger") | window_columns(
+        visible, keys, WINDOW_DAYS, "passenger"
+    )
+    return with_missing_flags(rows.withColumns(columns), list(columns))
+
+
 def city_traffic(traffic: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
     """Statistics over all sensors by local date and hour."""
     return traffic.groupBy(*scope, "local_date", "local_hour").agg(
@@ -150,7 +163,7 @@ def cut_at(df: DataFrame, origin: Column, instant: str = "timestamp_utc") -> Dat
 def build_features(
     targets: DataFrame,
     stations: DataFrame,
-    passengers: DataFrame,
+    passengers: DataFrame | str,
     weather: DataFrame,
     traffic: DataFrame,
     mapping: DataFrame,
@@ -159,10 +172,15 @@ def build_features(
     """The full feature table; passenger and traffic histories arrive already cut.
 
     ``scope`` names extra leading keys (a fold) that histories and targets share.
+    ``passengers`` is the history, or the name of the targets' column with the
+    labels visible at the origin when the targets include their own history.
     """
     df = with_calendar(targets)
     df = station_features(df, stations)
-    df = passenger_features(passengers, df, scope)
+    if isinstance(passengers, str):
+        df = passenger_features_in_place(df, passengers, scope).drop(passengers)
+    else:
+        df = passenger_features(passengers, df, scope)
     df = weather_features(df, weather)
     return traffic_features(traffic, df, mapping, scope).drop("sensor_id")
 

@@ -56,13 +56,20 @@ def check_lines(lines: DataFrame) -> DataFrame:
 
 
 def order_lines(checked: DataFrame, by: Sequence[str] = ("order_key",)) -> DataFrame:
-    """Accepted lines summed per order and SKU, with the spread of quoted prices."""
-    quote = F.when(F.col("quoted_unit_price") > 0, F.col("quoted_unit_price"))
-    return checked.filter("code is null").groupBy(*by, "sku").agg(
-        F.sum("quantity").cast("bigint").alias("quantity"),
+    """Accepted lines summed per order and SKU, with the spread of quoted prices.
+
+    Refused lines enter as nothing instead of being filtered first: a filter on
+    the code would be pushed below the lines and evaluate their rules twice.
+    """
+    counts = F.col("code").isNull()
+    quote = F.when(counts & (F.col("quoted_unit_price") > 0), F.col("quoted_unit_price"))
+    grouped = checked.groupBy(*by, "sku").agg(
+        F.count_if(counts).alias("_n"),
+        F.sum(F.when(counts, F.col("quantity").cast("bigint"))).alias("quantity"),
         F.min(quote).alias("quote_low"),
         F.max(quote).alias("quote_high"),
     )
+    return grouped.filter("_n > 0").drop("_n")
 
 
 def price_lines(lines: DataFrame, catalog: DataFrame) -> DataFrame:

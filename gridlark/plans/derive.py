@@ -211,7 +211,7 @@ def predictions(spark: SparkSession, folder: str) -> DataFrame:
     )
     parts = table(spark, folder, "part").select("p_partkey", "p_type", "p_brand", "p_size")
     broken = (F.col("p_type") == "LARGE") & (F.col("p_size") == 13)
-    shift = F.round(F.col("l_tax") * 100).cast("int") % 3
+    shift = (F.col("l_tax") * 100 + 0.5).cast("int") % 3
     return lines.join(parts, F.col("l_partkey") == F.col("p_partkey")).select(
         F.col("p_type").alias("model_family"),
         F.col("p_brand").alias("candidate_id"),

@@ -747,8 +747,8 @@ def full_features(spark: SparkSession, folder: str) -> DataFrame:
     """The complete feature table of the panel's own rows, one origin at the panel's end."""
     panel = dv.panel(spark, folder)
     return features.build_features(
-        panel.select("station_id", "timestamp_utc", "local_date", "local_hour", "target"),
-        dv.stations(spark, folder), panel, dv.weather(spark, folder), dv.traffic(spark, folder),
+        panel.select("station_id", "timestamp_utc", "local_date", "local_hour", "target", F.col("target").alias("visible")),
+        dv.stations(spark, folder), "visible", dv.weather(spark, folder), dv.traffic(spark, folder),
         station_mapping(spark, folder),
     )
 
