@@ -324,12 +324,12 @@ SUMMARY_SQL = """cells AS (SELECT model_family, candidate_id, fold_id, station_i
   SUM((GREATEST(forecast, 0) - actual) ** 2) AS sse, COUNT(GREATEST(forecast, 0) - actual) AS n, COUNT(*) FILTER (forecast IS NULL) AS invalid
   FROM (SELECT * REPLACE (CASE WHEN forecast IS NULL THEN NULL ELSE forecast END AS forecast, CASE WHEN forecast IS NULL THEN NULL ELSE actual END AS actual) FROM predictions) GROUP BY ALL),
 fold_scores AS (SELECT model_family, candidate_id, fold_id, SQRT(SUM(sse) / NULLIF(SUM(n), 0)) AS fold_rmse, SUM(invalid) AS invalid FROM cells GROUP BY ALL),
-means AS (SELECT model_family, candidate_id, AVG(fold_rmse) AS mean_rmse, COUNT(*) AS folds, SUM(invalid) AS invalid FROM fold_scores GROUP BY ALL),
+means AS (SELECT model_family, candidate_id, AVG(fold_rmse) AS mean_rmse, COUNT(*) AS folds, SUM(invalid) AS invalid, COUNT(*) FILTER (fold_rmse IS NULL) AS unscored FROM fold_scores GROUP BY ALL),
 worst AS (SELECT model_family, candidate_id, MAX(r) AS worst_station_rmse FROM (
   SELECT model_family, candidate_id, station_id, SQRT(SUM(sse) / NULLIF(SUM(n), 0)) AS r FROM cells GROUP BY ALL) GROUP BY ALL),
-summary AS (SELECT model_family, candidate_id, folds, CASE WHEN invalid = 0 THEN mean_rmse END AS mean_rmse,
-  CASE WHEN invalid = 0 THEN worst_station_rmse END AS worst_station_rmse, invalid = 0 AS completed,
-  CASE WHEN invalid > 0 THEN 'INVALID_FORECASTS' END AS failure_reason FROM means JOIN worst USING (model_family, candidate_id)),
+summary AS (SELECT model_family, candidate_id, folds, CASE WHEN invalid + unscored = 0 THEN mean_rmse END AS mean_rmse,
+  CASE WHEN invalid + unscored = 0 THEN worst_station_rmse END AS worst_station_rmse, invalid + unscored = 0 AS completed,
+  CASE WHEN invalid > 0 THEN 'INVALID_FORECASTS' WHEN unscored > 0 THEN 'FOLD_WITHOUT_LABELS' END AS failure_reason FROM means JOIN worst USING (model_family, candidate_id)),
 costs AS (SELECT model_family, candidate_id, CAST(COUNT(*) % 7 AS DOUBLE) AS inference_latency_ms, CAST(COUNT(*) * 13 AS BIGINT) AS artifact_size_bytes FROM predictions GROUP BY ALL),
 candidates AS (SELECT * FROM summary JOIN costs USING (model_family, candidate_id))"""
 
