@@ -727,20 +727,37 @@ def asof_features(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def known_values(df: DataFrame, key: str) -> DataFrame:
+    """Number of known values per column, in one pass over the table."""
+    counts = df.agg(*[F.count(c).alias(c) for c in df.columns])
+    return contracts.melt(counts, [], key, "known_values")
+
+
 @register(
     "schema_diff",
-    """SELECT * FROM (VALUES (2, 'local_hour', 'smallint', 'hour', 'smallint'), (3, 'target', 'double', 'target', 'bigint'),
- (4, 'timestamp_utc', 'timestamp', NULL, NULL)) AS v(position, left_name, left_type, right_name, right_type)""",
+    dv.with_ctes(
+        dv.PANEL_SQL,
+        final="""SELECT v.position, left_name, left_type, right_name, right_type, known_values FROM (VALUES (2, 'local_hour', 'smallint', 'hour', 'smallint'),
+  (3, 'target', 'double', 'target', 'bigint'), (4, 'timestamp_utc', 'timestamp', NULL, NULL)) AS v(position, left_name, left_type, right_name, right_type)
+JOIN (SELECT 2 AS position, COUNT(local_hour) AS known_values FROM panel UNION ALL SELECT 3, COUNT(target) FROM panel UNION ALL SELECT 4, COUNT(timestamp_utc) FROM panel) k ON k.position = v.position""",
+    ),
 )
 def schema_diff(spark: SparkSession, folder: str) -> DataFrame:
+    """Positions where two panels differ, and how many values each difference touches."""
     left = dv.panel(spark, folder)
     right = left.select("station_id", "local_date", F.col("local_hour").alias("hour"), F.col("target").cast("long"))
-    return contracts.schema_diff(left, right)
+    diff = contracts.schema_diff(left, right)
+    return diff.join(known_values(left, "left_name"), "left_name", "left").select(
+        "position", "left_name", "left_type", "right_name", "right_type", "known_values"
+    )
 
 
 @register("feature_registry")
 def feature_registry(spark: SparkSession, folder: str) -> DataFrame:
-    return features.feature_registry(full_features(spark, folder))
+    """The ordered feature schema with lineage, hash and the known values of the whole table."""
+    built = full_features(spark, folder)
+    names = features.feature_names(built)
+    return features.feature_registry(built).join(known_values(built.select(*names), "feature"), "feature", "left")
 
 
 def full_features(spark: SparkSession, folder: str) -> DataFrame:
