@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from gridlark.llm import bpe, packing, secrets, tokenbin
+from gridlark.llm import bpe, hamming, lines, packing, secrets, tokenbin, urls
 
 Builder = Callable[[SparkSession, str], DataFrame]
 
@@ -48,3 +48,19 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     manifest = tokenbin.write(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
     return tokenbin.read(manifest)
+
+
+@query("op4_url_filter", urls.ORACLE)
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    return urls.judge(table(spark, folder, "pages"))
+
+
+@query("op9_exact_top_k", hamming.ORACLE)
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = table(spark, folder, "embeddings")
+    return hamming.search(vectors, vectors.where("vec_id % 20 = 0"), k=10)
+
+
+@query("op10_line_quality", lines.ORACLE)
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    return lines.judge(table(spark, folder, "documents"))
