@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from gridlark.llm import bpe, hamming, lines, packing, secrets, tokenbin, urls
+from gridlark.llm import bpe, hamming, lines, packing, secrets, tokenbin, toxicity, urls
 
 Builder = Callable[[SparkSession, str], DataFrame]
 
@@ -64,3 +64,9 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
 @query("op10_line_quality", lines.ORACLE)
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     return lines.judge(table(spark, folder, "documents"))
+
+
+@query("op2_toxicity")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents")
+    return toxicity.score(documents, toxicity.fit(documents, table(spark, folder, "labels")))
