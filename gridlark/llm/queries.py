@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from gridlark.llm import bpe, hamming, lines, packing, secrets, tokenbin, toxicity, urls
+from gridlark.llm import bpe, hamming, lines, neardup, packing, secrets, tokenbin, toxicity, urls
 
 Builder = Callable[[SparkSession, str], DataFrame]
 
@@ -70,3 +70,8 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
 def op2(spark: SparkSession, folder: str) -> DataFrame:
     documents = table(spark, folder, "documents")
     return toxicity.score(documents, toxicity.fit(documents, table(spark, folder, "labels")))
+
+
+@query("op7_near_duplicates")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, folder, "documents"), k=4)
