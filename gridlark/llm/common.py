@@ -94,6 +94,10 @@ def crc(ids: bytes) -> int:
     return zlib.crc32(ids)
 
 
-def id_key(column: Column) -> Column:
-    """Ids as join and order keys; a NULL id counts as the largest."""
-    return F.coalesce(column, F.lit(2**63 - 1))
+#: Keys from here on stand for NULL ids.
+NO_ID = 1 << 62
+
+
+def id_key(id_col: Column, text: Column) -> Column:
+    """An id for joins and order: a NULL id comes after all others and is told apart by its text."""
+    return F.coalesce(id_col.cast("long"), F.xxhash64(text.cast("string")).bitwiseAND(NO_ID - 1) + F.lit(NO_ID))

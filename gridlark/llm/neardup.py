@@ -19,9 +19,9 @@ confirmed. So no link between components is lost, and a group of thousands of
 copies costs one comparison each.
 
 NULL texts and texts without words have an empty set, no links, and are their
-own component. NULL ids are one document with the largest id. Rows that repeat
-an id are one document, so repeats are kept or dropped together by the query;
-deduplicate() keeps one of them.
+own component. A NULL id comes after all others and is told apart by its text;
+a component of such rows alone has a NULL id. Rows that repeat an id and text
+are kept or dropped together by the query; deduplicate() keeps one of them.
 """
 
 from __future__ import annotations
@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridlark.llm.common import gram_hashes, hash_words, id_key, mix, narrow, pieces, store
+from gridlark.llm.common import NO_ID, gram_hashes, hash_words, id_key, mix, narrow, pieces, store
 from gridlark.llm.graph import components
 
 BLOCK_BYTES = 4_000_000
@@ -80,20 +80,24 @@ def keys(signature: np.ndarray) -> np.ndarray:
     return mix(made + mix(place)).ravel().astype(np.int64)
 
 
+def keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return narrow(df, id_col, text_col).select("doc_id", id_key(F.col("doc_id"), F.col("text")).alias("key_id"), "text")
+
+
 def signatures(df: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, n, set_id (digest of the set), signature; NULL digest and signature of empty sets."""
+    """doc_id, key_id, n, set_id (digest of the set), signature; NULL digest and signature of empty sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in pieces(batches, "text", BLOCK_BYTES):
             sets = [shingles(t, k) for t in block["text"].to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [block["doc_id"], pa.array([len(s) for s in sets], pa.int64()),
+                [block["doc_id"], block["key_id"], pa.array([len(s) for s in sets], pa.int64()),
                  pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
                  pa.array([sign(s).tobytes() if len(s) else None for s in sets], pa.binary())],
-                ["doc_id", "n", "set_id", "signature"],
+                ["doc_id", "key_id", "n", "set_id", "signature"],
             )
 
-    return narrow(df, id_col, text_col).mapInArrow(run, "doc_id long, n long, set_id binary, signature binary")
+    return keyed(df, id_col, text_col).mapInArrow(run, "doc_id long, key_id long, n long, set_id binary, signature binary")
 
 
 def post(reps: DataFrame) -> DataFrame:
@@ -203,14 +207,13 @@ def across(mixed: DataFrame, percent: int) -> DataFrame:
 
 
 def near_duplicates(df: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest id reachable), kept (doc_id = component_id) of every row."""
-    signed = store(signatures(df, k, id_col, text_col).withColumn("key_id", id_key(F.col("doc_id"))), "signatures")
+    """doc_id, n_shingles, component_id (smallest id reachable), kept (the row's key is the component's), key_id of every row."""
+    signed = store(signatures(df, k, id_col, text_col), "signatures")
     reps = store(
         signed.where("set_id IS NOT NULL").groupBy("set_id")
         .agg(F.min("key_id").alias("rep"), F.first("n").alias("n"), F.first("signature").alias("signature")),
         "representatives",
     )
-    # A repeated id with several texts is in several classes: these are linked by the id.
     posted = store(post(reps), "buckets")
     # rep XOR key is a different order in every bucket, and gives the leader back.
     leaders = posted.groupBy("key").agg(F.min(F.col("rep").bitwiseXOR(F.col("key"))).alias("first"), F.count(F.lit(1)).alias("members")).where("members > 1")
@@ -223,7 +226,7 @@ def near_duplicates(df: DataFrame, k: int = 5, percent: int = 80, id_col: str =
             yield pa.RecordBatch.from_arrays(
                 [block["rep"], pa.array([shingles(t, k).tobytes() for t in block["text"].to_pylist()], pa.binary())], ["rep", "grams"])
 
-    texts = narrow(df, id_col, text_col).select(id_key(F.col("doc_id")).alias("rep"), "text")
+    texts = keyed(df, id_col, text_col).select(F.col("key_id").alias("rep"), "text")
     sets = store(texts.join(suspects, "rep", "left_semi").mapInArrow(gather, "rep long, grams binary"), "sets")
     stars = buckets.where("rep <> leader").groupBy("rep").agg(F.min("leader").alias("leader")).select(F.col("leader").alias("a"), F.col("rep").alias("b"))
     links = store(confirm(stars, sets, percent), "links")
@@ -238,12 +241,13 @@ def near_duplicates(df: DataFrame, k: int = 5, percent: int = 80, id_col: str =
     component = F.coalesce("component", "rep", "key_id")
     return labelled_docs.select(
         "doc_id", F.col("n").alias("n_shingles"),
-        F.nullif(component, F.lit(2**63 - 1)).alias("component_id"), (F.col("key_id") == component).alias("kept"),
+        F.when(component < NO_ID, component).alias("component_id"), (F.col("key_id") == component).alias("kept"), "key_id",
     )
 
 
 def deduplicate(df: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each component, with all its columns; NULL ids are one document."""
-    kept = near_duplicates(df, k, percent, id_col, text_col).where("kept").select(id_key(F.col("doc_id")).alias("kept_id")).distinct()
-    rows = df.join(kept, id_key(df[id_col].cast("long")) == kept["kept_id"], "left_semi")
-    return rows.dropDuplicates([id_col])
+    """One row of each component, with all its columns."""
+    kept = near_duplicates(df, k, percent, id_col, text_col).where("kept").select(F.col("key_id").alias("kept_id")).distinct()
+    key = id_key(F.col(id_col), F.col(text_col))
+    rows = df.select(F.struct(*df.columns).alias("row"), key.alias("kept_id")).join(kept, "kept_id", "left_semi")
+    return rows.dropDuplicates(["kept_id"]).select("row.*")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from gridlark.llm import bpe, hamming, lines, neardup, packing, secrets, tokenbin, toxicity, urls
+from gridlark.llm import bpe, hamming, lines, neardup, packing, secrets, substring, tokenbin, toxicity, urls
 
 Builder = Callable[[SparkSession, str], DataFrame]
 
@@ -74,4 +74,9 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("op7_near_duplicates")
 def op7(spark: SparkSession, folder: str) -> DataFrame:
-    return neardup.near_duplicates(table(spark, folder, "documents"), k=4)
+    return neardup.near_duplicates(table(spark, folder, "documents"), k=4).drop("key_id")
+
+
+@query("op1_substring_dedup")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    return substring.digests(table(spark, folder, "documents"))
