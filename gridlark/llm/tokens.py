@@ -1,8 +1,10 @@
-"""Exact encoding with a public tokenizer file, one library call per new chunk.
+"""Exact encoding with a public tokenizer file, one library call per new word.
 
 A text is cut where the tokenizer cuts anyway, so the ids of a text are the
-ids of its chunks in order, and each worker remembers the chunks it has seen.
-The number remembered is bounded; further chunks are encoded again.
+ids of its chunks in order. Full stops and commas after a letter or digit are
+a piece of their own for these tokenizers, so a chunk is a core and a tail.
+Each worker remembers bounded numbers of chunks and of cores; what is not
+remembered is encoded again.
 """
 
 from __future__ import annotations
@@ -14,18 +16,19 @@ from itertools import chain
 import numpy as np
 from tokenizers import Tokenizer
 
-from gridlark.llm.common import CACHE_WORDS
-
+#: Entries that a worker remembers, each of about 200 bytes.
+CHUNKS, CORES = 300_000, 700_000
 #: Runs of white space and the marker need the whole text at once.
 _WHOLE = re.compile(r"\s\s|\x00")
+_ENDS = frozenset(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")
 
 
 class ChunkEncoder:
     """Texts to packed ids.
 
-    cut: "word" for tokenizers that drop white space and never look across
-    it; "byte" for byte-level ones, whose chunks are a word with the one space
-    before it, or a line break.
+    cut: "word" for tokenizers that lower-case, drop white space and never
+    look across it; "byte" for byte-level ones, whose chunks are a word with
+    the one space before it, or a line break.
     """
 
     def __init__(self, path: str, cut: str, dtype: str = "<u4") -> None:
@@ -34,21 +37,49 @@ class ChunkEncoder:
         self.tokenizer.no_padding()
         self.dtype = np.dtype(dtype)
         self.chunks = {"word": self.words, "byte": self.spaced}[cut]
-        self.known: dict = {}
+        self.folds = cut == "word"
+        self.known: dict[bytes, bytes] = {}
+        self.cores: dict[bytes, bytes] = {}
 
     @staticmethod
-    def words(text: str) -> list:
+    def words(text: str) -> list[bytes]:
         return text.encode("utf-8", "replace").split()
 
     @staticmethod
-    def spaced(text: str) -> list:
+    def spaced(text: str) -> list[bytes]:
+        raw = text.encode("utf-8", "replace")
         if _WHOLE.search(text):
-            return [text]
-        return text.replace(" ", "\x00 ").replace("\n", "\x00\n\x00").split("\x00")
+            return [raw]
+        return raw.replace(b" ", b"\x00 ").replace(b"\n", b"\x00\n\x00").split(b"\x00")
 
     def pack(self, ids: list[int]) -> bytes:
         return np.array(ids, self.dtype).tobytes()
 
+    def library(self, pieces: list[bytes]) -> dict[bytes, bytes]:
+        made = self.tokenizer.encode_batch_fast([p.decode("utf-8") for p in pieces], add_special_tokens=False)
+        return {p: self.pack(e.ids) for p, e in zip(pieces, made)}
+
+    def split(self, chunk: bytes) -> tuple[bytes, bytes]:
+        """Core and tail: encoded apart, they give the ids of the chunk."""
+        core = chunk.rstrip(b".,")
+        if not core or core[-1] not in _ENDS:
+            core = chunk
+        tail = chunk[len(core) :]
+        return (core.lower() if self.folds and core.isascii() and b"<|" not in core else core), tail
+
+    def learn(self, new: list[bytes]) -> dict[bytes, bytes]:
+        """Packed ids of chunks that are not remembered."""
+        halves = [self.split(c) for c in new]
+        missing = list({p for pair in halves for p in pair if p not in self.cores})
+        fresh = self.library(missing) if missing else {}
+        cores = self.cores
+        made = {c: (fresh[a] if a in fresh else cores[a]) + (fresh[b] if b in fresh else cores[b]) for c, (a, b) in zip(new, halves)}
+        if len(cores) < CORES:
+            cores.update((p, v) for p, v in fresh.items() if len(p) < 64)
+        if len(self.known) < CHUNKS:
+            self.known.update((c, v) for c, v in made.items() if len(c) < 64)
+        return made
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text, little-endian; none for NULL."""
         lists = [self.chunks(t) if t else [] for t in texts]
@@ -56,12 +87,9 @@ class ChunkEncoder:
         distinct = set(chain.from_iterable(lists))
         new = [c for c in distinct if c not in known]
         if new:
-            made = self.tokenizer.encode_batch_fast([c.decode("utf-8", "replace") if isinstance(c, bytes) else c for c in new], add_special_tokens=False)
-            fresh = {c: self.pack(e.ids) for c, e in zip(new, made)}
-            if len(known) < CACHE_WORDS:
-                known.update((c, v) for c, v in fresh.items() if len(c) < 64)
+            made = self.learn(new)
             # Chunks of this block alone: what is not remembered must still be found.
-            known = {c: fresh[c] if c in fresh else self.known[c] for c in distinct}
+            known = {c: made[c] if c in made else known[c] for c in distinct}
         get = known.__getitem__
         return [b"".join(map(get, chunks)) for chunks in lists]
 
