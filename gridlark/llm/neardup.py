@@ -12,11 +12,12 @@ most one error suffices. Candidates are confirmed on the full sets.
 
 Scale: equal sets are one class with one representative from the start. A
 bucket's pairs are never all listed. First each representative is compared
-with the leader of one of its buckets, and what links is merged; then, only in
-buckets that still hold several components, members of different components
-are compared by signature, in blocks, and those within the distance are
-confirmed. So no link between components is lost, and a group of thousands of
-copies costs one comparison each.
+with the leaders of two of its buckets, and what links is merged; STAR_ROUNDS
+times more, in buckets that still hold several components, with members of
+other components. What is left of such buckets is compared by signature, in
+blocks, across components, each pair in the first bucket it shares, and pairs
+within the distance are confirmed. So no link between components is lost, and
+a group of thousands of copies costs a few comparisons each.
 
 NULL texts and texts without words have an empty set, no links, and are their
 own component. A NULL id comes after all others and is told apart by its text;
@@ -45,6 +46,8 @@ DISTANCE = CHUNKS * (ERRORS + 1) - 1
 BLOCK = 2048
 #: Tasks among which the members compared with one leader are dealt.
 SALT = 32
+#: Times that components are compared through single members before all of them are.
+STAR_ROUNDS = 2
 
 _RNG = np.random.default_rng(20_240_229)
 _TIMES = _RNG.integers(0, 1 << 63, SLOTS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -165,6 +168,7 @@ def across(mixed: DataFrame, percent: int) -> DataFrame:
         rep, comp, n, own = (table[c].to_numpy() for c in ("rep", "component", "n", "own"))
         sig = np.frombuffer(b"".join(table["signature"].to_pylist()), "<u2").reshape(-1, SLOTS)
         low, high = int(table["low"][0].as_py()), int(table["high"][0].as_py())
+        bucket = int(np.flatnonzero(keys(sig[0]) == table["key"][0].as_py())[0])
         left = np.flatnonzero(own == low)
         right = np.flatnonzero(own == high)
         a, b = [], []
@@ -174,7 +178,9 @@ def across(mixed: DataFrame, percent: int) -> DataFrame:
                 js = js[js > i]
             js = js[np.minimum(n[js], n[i]) * 100 >= percent * np.maximum(n[js], n[i])]
             if len(js):
-                js = js[(sig[js] != sig[i]).sum(axis=1) <= DISTANCE + 3]
+                same = sig[js] == sig[i]
+                near = (same.sum(axis=1) >= SLOTS - DISTANCE) & (first_bucket(same) == bucket)
+                js = js[near]
                 a.append(np.full(len(js), rep[i]))
                 b.append(rep[js])
         return (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, np.int64), np.zeros(0, np.int64))
@@ -203,7 +209,27 @@ def across(mixed: DataFrame, percent: int) -> DataFrame:
             yield flush()
 
     dealt = spread.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return dealt.mapInArrow(run, "a long, b long")
+
+
+def first_bucket(same: np.ndarray) -> np.ndarray:
+    """Number of the first bucket that pairs share, from their equal slots (pairs, SLOTS); all share one."""
+    chunks = same.reshape(-1, CHUNKS, WIDE)
+    chunk = (chunks.sum(axis=2) >= WIDE - ERRORS).argmax(axis=1)
+    slots = chunks[np.arange(len(chunks)), chunk]
+    return chunk * WIDE + np.where(slots.all(axis=1), 0, slots.argmin(axis=1))
+
+
+def edges(stars: DataFrame, *heads: str) -> DataFrame:
+    """Distinct pairs (a, b) of a head and the row's rep."""
+    return stars.select(F.explode(F.array_distinct(F.array_compact(F.array(*heads)))).alias("a"), F.col("rep").alias("b"))
+
+
+def mixed_buckets(buckets: DataFrame, merged: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Bucket rows with components, and the keys of buckets that hold several, with the lowest."""
+    labelled = buckets.join(merged, F.col("rep") == F.col("node"), "left").select("key", "rep", "members", F.coalesce("component", "rep").alias("component"))
+    still = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key", "low")
+    return labelled, still
 
 
 def near_duplicates(df: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -214,11 +240,12 @@ def near_duplicates(df: DataFrame, k: int = 5, percent: int = 80, id_col: str =
         .agg(F.min("key_id").alias("rep"), F.first("n").alias("n"), F.first("signature").alias("signature")),
         "representatives",
     )
-    posted = store(post(reps), "buckets")
-    # rep XOR key is a different order in every bucket, and gives the leader back.
-    leaders = posted.groupBy("key").agg(F.min(F.col("rep").bitwiseXOR(F.col("key"))).alias("first"), F.count(F.lit(1)).alias("members")).where("members > 1")
-    buckets = store(
-        posted.join(leaders, "key").select("key", "rep", F.col("first").bitwiseXOR(F.col("key")).alias("leader"), "members"), "shared-buckets")
+    posted = post(reps)
+    # rep XOR key is a different order in every bucket, and gives its first member back.
+    shared = posted.groupBy("key").agg(
+        F.min("rep").alias("leader"), F.min(F.col("rep").bitwiseXOR(F.col("key"))).alias("other"), F.count(F.lit(1)).alias("members")
+    ).where("members > 1").withColumn("other", F.col("other").bitwiseXOR(F.col("key")))
+    buckets = store(posted.join(shared, "key").select("key", "rep", "leader", "other", "members"), "shared-buckets")
     suspects = store(buckets.select("rep").distinct(), "suspects")
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,11 +255,19 @@ def near_duplicates(df: DataFrame, k: int = 5, percent: int = 80, id_col: str =
 
     texts = keyed(df, id_col, text_col).select(F.col("key_id").alias("rep"), "text")
     sets = store(texts.join(suspects, "rep", "left_semi").mapInArrow(gather, "rep long, grams binary"), "sets")
-    stars = buckets.where("rep <> leader").groupBy("rep").agg(F.min("leader").alias("leader")).select(F.col("leader").alias("a"), F.col("rep").alias("b"))
-    links = store(confirm(stars, sets, percent), "links")
+    stars = buckets.groupBy("rep").agg(
+        F.min(F.when(F.col("leader") != F.col("rep"), F.col("leader"))).alias("x"), F.min(F.when(F.col("other") != F.col("rep"), F.col("other"))).alias("y"))
+    links = store(confirm(edges(stars, "x", "y"), sets, percent), "links")
     merged = store(components(links), "merged")
-    labelled = buckets.join(merged, F.col("rep") == F.col("node"), "left").select("key", "rep", "members", F.coalesce("component", "rep").alias("component"))
-    still = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
+    for number in range(STAR_ROUNDS):
+        labelled, still = mixed_buckets(buckets, merged)
+        if still.isEmpty():
+            break
+        heads = labelled.join(still, "key").where("component = low").groupBy("key").agg(F.min("rep").alias("x"), F.max("rep").alias("y"), F.first("low").alias("low"))
+        stars = labelled.join(heads, "key").where("component <> low").groupBy("rep").agg(F.min("x").alias("x"), F.max("y").alias("y"))
+        links = store(links.unionByName(confirm(edges(stars, "x", "y"), sets, percent)), f"links-{number}")
+        merged = store(components(links), f"merged-{number}")
+    labelled, still = mixed_buckets(buckets, merged)
     mixed = labelled.join(still, "key").join(reps.select("rep", "n", "signature"), "rep")
     more = store(confirm(store(across(mixed, percent), "candidates"), sets, percent), "more-links")
     final = store(components(links.unionByName(more)), "final")
