@@ -111,7 +111,9 @@ def entries(index: DataFrame) -> DataFrame:
 def probe(open_: DataFrame, index: DataFrame, radius: int, bound: int) -> DataFrame:
     """Verified pairs within the bound that share a segment up to `radius` bits; each pair once."""
     tried = open_.select(F.col("code").alias("query"), F.posexplode(F.array(*(segment(F.col("code"), i) for i in range(SEGMENTS)))).alias("qs", "own"))
-    tried = tried.select("query", "qs", F.explode(F.array(*map(F.lit, masks(radius)))).alias("mask"), "own")
+    # One literal instead of thousands keeps the plan small.
+    mask_list = F.split(F.lit(",".join(map(str, masks(radius)))), ",").cast("array<int>")
+    tried = tried.select("query", "qs", F.explode(mask_list).alias("mask"), "own")
     tried = tried.select("query", "qs", F.col("own").bitwiseXOR(F.col("mask")).alias("try"))
     posted = entries(index)
     # A pair counts in the first segment that brings it.
