@@ -69,13 +69,13 @@ def message_limits(attachments: DataFrame, by: Sequence[str]) -> DataFrame:
     return totals.withColumn("limit_code", code)
 
 
-def within_limits(df: DataFrame, attachments: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Rows of messages that keep the count and size limits.
+def with_limit_code(df: DataFrame, attachments: DataFrame, by: Sequence[str]) -> DataFrame:
+    """All rows, with the code of the limit that their message breaks, or NULL.
 
-    What passes has few attachments of bounded size, so it may be assembled.
+    Messages without a code have few attachments of bounded size, so only they may be assembled.
     """
-    over = message_limits(attachments, by).filter("limit_code is not null").select(*by)
-    return df.join(over, list(by), "left_anti")
+    codes = message_limits(attachments, by).select(*by, "limit_code")
+    return df.join(codes, list(by), "left")
 
 
 def fragment_limits(
@@ -145,15 +145,18 @@ def character_budget(fragments: DataFrame, limit: int = MAX_CHARACTERS) -> DataF
 
 
 def assemble_text(fragments: DataFrame, limit: int = MAX_CHARACTERS) -> DataFrame:
-    """Fragments of each document in order, one text per document.
+    """One row per document: its fragments in order as one text, or the code why there is none.
 
-    Documents over the budget have failed before and are left out, so an
-    assembled text is bounded by the budget.
+    Only documents within the budget are gathered, so a text is bounded by it.
     """
-    over = character_budget(fragments, limit).select("attachment_id")
-    kept = fragments.join(over, "attachment_id", "left_anti").withColumn("text", stripped(F.col("text"))).filter("text <> ''")
-    parts = F.array_sort(F.collect_list(F.struct("pos", "text")))
-    return kept.groupBy("attachment_id").agg(F.array_join(F.transform(parts, lambda p: p["text"]), "\n").alias("text"))
+    over = character_budget(fragments, limit).select("attachment_id", F.lit("CHARACTER_BUDGET_LIMIT").alias("_code"))
+    marked = fragments.withColumn("text", stripped(F.col("text"))).join(over, "attachment_id", "left")
+    kept = F.col("_code").isNull() & (F.col("text") != "")
+    parts = F.array_sort(F.collect_list(F.when(kept, F.struct("pos", "text"))))
+    out = marked.groupBy("attachment_id").agg(parts.alias("_parts"), F.max("_code").alias("_over"))
+    code = F.coalesce("_over", F.when(F.size("_parts") == 0, "EMPTY_DOCUMENT"))
+    text = F.array_join(F.transform("_parts", lambda p: p["text"]), "\n")
+    return out.select("attachment_id", F.when(code.isNull(), text).alias("text"), code.alias("limit_code"))
 
 
 def compose_content(subject: Column, body: Column, texts: Column) -> Column:

@@ -252,7 +252,7 @@ def approval_receipts(spark: SparkSession, folder: str) -> DataFrame:
 
 # ---- tool calls: a call per text line of a conversation turn ---------------------------
 
-CALLS_SQL = """calls AS (SELECT conv_id AS conversation_id, turn * 1000 + pos - 1 AS position, turn + 1 AS turn, length(t) AS characters FROM (
+CALLS_SQL = """calls AS (SELECT conv_id AS conversation_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, pos) AS position, turn + 1 AS turn, length(t) AS characters FROM (
   SELECT conv_id, turn, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM conversations))"""
 
 
@@ -266,10 +266,8 @@ def tool_budget(spark: SparkSession, folder: str) -> DataFrame:
     lines = table(spark, folder, "conversations").select(
         F.col("conv_id").alias("conversation_id"), "turn", F.posexplode(F.split("text", "\n")).alias("pos", "line")
     )
-    calls = lines.select(
-        "conversation_id", (F.col("turn") * 1000 + F.col("pos")).alias("position"), (F.col("turn") + 1).alias("turn"),
-        F.length("line").alias("characters"),
-    )
+    numbered = number_within(lines, ["conversation_id"], ["turn", "pos"], "position")
+    calls = numbered.select("conversation_id", "position", (F.col("turn") + 1).alias("turn"), F.length("line").alias("characters"))
     return kpi.tool_budget(calls, max_characters=1500)
 
 

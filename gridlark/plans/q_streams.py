@@ -26,26 +26,38 @@ def _deliveries(orders: DataFrame) -> DataFrame:
 @register("stream_dedup", q_messages.DEDUP_SQL)
 def stream_dedup(spark: SparkSession, folder: str) -> DataFrame:
     out = scratch_path(spark, "dedup")
-    source = common.read_folder(spark, folder, "orders.parquet")
+    source = common.read_table(spark, f"{folder}/orders.parquet")
     dedup.run(_deliveries(source), f"{out}/groups", f"{out}/checkpoint")
     return q_messages.dedup_view(dedup.jobs(spark, f"{out}/groups"))
 
 
-@register("stream_review")
+@register(
+    "stream_review",
+    """WITH RECURSIVE attempts AS (SELECT o_custkey AS review_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n, o_orderkey % 7 AS expected,
+  (['PENDING', 'CLAIMED', 'CORRECTED', 'REVALIDATED', 'WRITE_PENDING', 'ERP_CREATED', 'APPROVED'])[o_orderkey % 7 + 1] AS wanted, 'a' || (o_orderkey % 2) AS actor FROM orders),
+fold AS (
+  SELECT DISTINCT review_id, 0::BIGINT AS n, 0::BIGINT AS version, NULL::VARCHAR AS state, NULL::VARCHAR AS owner FROM attempts
+  UNION ALL
+  SELECT f.review_id, a.n, CASE WHEN ok THEN version + 1 ELSE version END, CASE WHEN ok THEN wanted ELSE state END, CASE WHEN ok AND wanted = 'CLAIMED' THEN actor ELSE owner END
+  FROM fold f JOIN attempts a ON a.review_id = f.review_id AND a.n = f.n + 1,
+   LATERAL (SELECT expected = version AND (wanted IN ('PENDING', 'CLAIMED', 'ERP_CREATED') OR owner IS NULL OR owner = actor) AND wanted = CASE
+     WHEN state IS NULL THEN 'PENDING' WHEN state = 'PENDING' THEN 'CLAIMED' WHEN state = 'CLAIMED' THEN 'CORRECTED' WHEN state = 'CORRECTED' THEN 'REVALIDATED'
+     WHEN state = 'REVALIDATED' THEN 'WRITE_PENDING' WHEN state = 'WRITE_PENDING' THEN 'ERP_CREATED' WHEN state = 'ERP_CREATED' THEN 'APPROVED' ELSE '' END AS ok))
+SELECT review_id, version, state, version AS applied, n - version AS refused FROM fold QUALIFY row_number() OVER (PARTITION BY review_id ORDER BY n DESC) = 1""",
+)
 def stream_review_query(spark: SparkSession, folder: str) -> DataFrame:
     """Orders of a customer as attempts on one review, in key order."""
     out = scratch_path(spark, "review")
     states = ("PENDING", "CLAIMED", "CORRECTED", "REVALIDATED", "WRITE_PENDING", "ERP_CREATED", "APPROVED")
-    source = common.read_folder(spark, folder, "orders.parquet")
+    source = common.read_table(spark, f"{folder}/orders.parquet")
     step = F.col("o_orderkey") % 7
     attempts = source.select(
         F.col("o_custkey").alias("review_id"), F.col("o_orderkey").alias("attempt_id"), step.alias("expected_version"),
         F.element_at(F.array(*[F.lit(s) for s in states]), (step + 1).cast("int")).alias("state"),
         F.concat(F.lit("a"), (F.col("o_orderkey") % 2).cast("string")).alias("actor_id"),
     )
-    writer = stream_review.verdicts(attempts).writeStream.outputMode("append").format("parquet").option("path", f"{out}/verdicts")
-    common.drain(writer, f"{out}/checkpoint")
-    return stream_review.current_states(spark.read.parquet(f"{out}/verdicts"))
+    stream_review.run(attempts, f"{out}/standing", f"{out}/checkpoint")
+    return stream_review.current_states(spark, f"{out}/standing")
 
 
 @register(
@@ -55,14 +67,13 @@ def stream_review_query(spark: SparkSession, folder: str) -> DataFrame:
 FROM events WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT MAX(ts) FROM events) - INTERVAL 2 HOUR GROUP BY ALL""",
 )
 def stream_monitor(spark: SparkSession, folder: str) -> DataFrame:
-    """Closed hours only: an hour is final once the watermark has passed its end."""
+    """Closed hours only: those that ended two hours before the newest reading."""
     out = scratch_path(spark, "monitor")
-    source = common.read_folder(spark, folder, "events.parquet").select(
+    source = common.read_table(spark, f"{folder}/events.parquet").select(
         F.col("ts").cast("timestamp").alias("ts"), "event_type", (F.col("value") > 5).alias("valid")
     )
-    writer = monitor.hourly(source, "ts", ["event_type"]).writeStream.outputMode("append").format("parquet").option("path", f"{out}/hours")
-    common.drain(writer, f"{out}/checkpoint")
-    done = monitor.judged(spark.read.parquet(f"{out}/hours"), 3)
+    monitor.run(source, "ts", ["event_type"], f"{out}/hours", f"{out}/checkpoint")
+    done = monitor.judged(monitor.closed_hours(spark, f"{out}/hours", ["event_type"]), 3)
     return done.select(
         dv.text_time("hour").alias("hour"), "event_type", "readings", "valid_readings",
         dv.text_time("newest").alias("newest"), F.round("completeness", 9).alias("completeness"),
@@ -77,12 +88,12 @@ def stream_publish_query(spark: SparkSession, folder: str) -> DataFrame:
     """Orders as forecast records, published twice from two drained streams."""
     out = scratch_path(spark, "stream-publish")
     for attempt in (1, 2):
-        source = common.read_folder(spark, folder, "orders.parquet")
+        source = common.read_table(spark, f"{folder}/orders.parquet")
         records = source.select(
             F.concat(F.lit("M"), "o_orderpriority", F.year("o_orderdate").cast("string")).alias("batch_id"),
             F.col("o_orderkey").cast("string").alias("station_id"), F.col("o_orderdate").cast("timestamp").alias("target_timestamp"),
             F.col("o_totalprice").alias("forecast_continuous"), F.lit(batches.CHAMPION).alias("model_role"),
             F.lit(batches.HEALTHY).alias("batch_status"), digest({"s": F.col("o_orderstatus")}).alias("source_hash"),
         )
-        stream_publish.run(records, f"{out}/published", f"{out}/checkpoint-{attempt}")
+        stream_publish.run(records, f"{out}/published", f"{out}/checkpoint-{attempt}", f"{out}/staged-{attempt}")
     return publish.verify_published(spark, f"{out}/published").select("batch_id", "row_count", "intact")

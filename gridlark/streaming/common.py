@@ -1,18 +1,25 @@
-"""Reading a growing folder as a stream and draining it."""
+"""Reading a growing table as a stream and draining it."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 
-def read_folder(spark: SparkSession, folder: str, pattern: str, per_trigger: int = 1) -> DataFrame:
-    """Parquet files of a folder as a stream, schema taken from what is there."""
-    schema = spark.read.option("pathGlobFilter", pattern).parquet(folder).schema
-    return (
-        spark.readStream.schema(schema).option("pathGlobFilter", pattern)
-        .option("maxFilesPerTrigger", per_trigger).parquet(folder)
-    )
+def read_table(spark: SparkSession, path: str, per_trigger: int = 1000) -> DataFrame:
+    """A Parquet table, one file or a folder of part files, as a stream; the schema is that of what is there."""
+    schema = spark.read.parquet(path).schema
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).parquet(path)
+
+
+def append_epochs(table: str):
+    """A foreachBatch function: every micro-batch replaces its own partition, so a replay is harmless."""
+    def append(batch: DataFrame, epoch: int) -> None:
+        batch.withColumn("epoch", F.lit(epoch)).write.mode("overwrite").option(
+            "partitionOverwriteMode", "dynamic"
+        ).partitionBy("epoch").parquet(table)
+
+    return append
 
 
 def drain(writer: DataStreamWriter, checkpoint: str) -> None:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gridlark.functions.hashing import message_key
 from gridlark.operators.messages import CONFLICT_CODE, KEY, add_code
-from gridlark.streaming.common import drain
+from gridlark.streaming.common import append_epochs, drain
 
 
 def content_groups(deliveries: DataFrame) -> DataFrame:
@@ -25,14 +25,7 @@ def content_groups(deliveries: DataFrame) -> DataFrame:
 
 def run(deliveries: DataFrame, table: str, checkpoint: str) -> None:
     """Maintains the group table until the input is drained."""
-
-    def append(batch: DataFrame, epoch: int) -> None:
-        # Overwriting the epoch's own partition makes a replayed batch harmless.
-        batch.withColumn("epoch", F.lit(epoch)).write.mode("overwrite").option(
-            "partitionOverwriteMode", "dynamic"
-        ).partitionBy("epoch").parquet(table)
-
-    drain(content_groups(deliveries).writeStream.outputMode("update").foreachBatch(append), checkpoint)
+    drain(content_groups(deliveries).writeStream.outputMode("update").foreachBatch(append_epochs(table)), checkpoint)
 
 
 def jobs(spark: SparkSession, table: str) -> DataFrame:

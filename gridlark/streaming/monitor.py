@@ -1,22 +1,37 @@
-"""Hourly completeness and freshness of a stream of readings."""
+"""Hourly completeness and freshness of a stream of readings.
+
+Counts, sums and maxima are additive, so each micro-batch appends its own and
+an hour adds up whatever the order in which files bring it: no reading is too
+late to count, and no state is held between micro-batches.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from gridlark.streaming.common import append_epochs, drain
+
 
+def run(readings: DataFrame, instant: str, by: list[str], table: str, checkpoint: str) -> None:
+    """Appends rows, valid rows and newest reading per hour and source of every micro-batch."""
+    append = append_epochs(table)
 
-def hourly(readings: DataFrame, instant: str, by: list[str], delay: str = "2 hours") -> DataFrame:
-    """Rows, valid rows and newest reading per hour and source; very late rows drop out."""
-    return (
-        readings.withWatermark(instant, delay)
-        .groupBy(F.window(instant, "1 hour").alias("w"), *by)
-        .agg(
-            F.count(F.lit(1)).alias("readings"),
-            F.count_if(F.col("valid")).alias("valid_readings"),
-            F.max(instant).alias("newest"),
+    def add(batch: DataFrame, epoch: int) -> None:
+        hours = batch.groupBy(F.date_trunc("hour", instant).alias("hour"), *by).agg(
+            F.count(F.lit(1)).alias("readings"), F.count_if(F.col("valid")).alias("valid_readings"), F.max(instant).alias("newest")
         )
-        .select(F.col("w.start").alias("hour"), *by, "readings", "valid_readings", "newest")
-    )
+        append(hours, epoch)
+
+    drain(readings.writeStream.foreachBatch(add), checkpoint)
+
+
+def closed_hours(spark: SparkSession, table: str, by: list[str], delay: str = "2 hours") -> DataFrame:
+    """Hours whose end lies `delay` or more before the newest reading of all."""
+    parts = spark.read.parquet(table)
+    newest = parts.agg(F.max("newest").alias("last"))
+    hours = parts.groupBy("hour", *by).agg(*(f(c).alias(c) for f, c in ((F.sum, "readings"), (F.sum, "valid_readings"), (F.max, "newest"))))
+    # One row: the newest instant.
+    return hours.join(F.broadcast(newest), F.expr(f"hour + INTERVAL 1 HOUR <= last - INTERVAL {delay}")).drop("last")
 
 
 def judged(hours: DataFrame, expected: int) -> DataFrame:

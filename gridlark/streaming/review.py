@@ -1,7 +1,10 @@
 """Review state machine on a stream of revision attempts.
 
-Each review keeps three values: version, state, owner.  An attempt that names
-the current version and a legal next state is applied, anything else refused.
+The attempts of a review count in the order of their ids, in whatever order
+files bring them. State holds a review's attempts so far, which its workflow
+bounds; each micro-batch replays the reviews it touches and sends their new
+standing. The standing that rests on the most attempts is the current one, so
+the end result depends on the set of attempts alone.
 """
 
 from __future__ import annotations
@@ -9,55 +12,51 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.state import GroupState
 
 from gridlark.operators.review import NEXT_STATES
+from gridlark.streaming.common import append_epochs, drain
 
 ATTEMPT_COLUMNS = ("review_id", "attempt_id", "expected_version", "state", "actor_id")
-OUTPUT = "review_id bigint, attempt_id bigint, version bigint, state string, verdict string"
-STATE = "version bigint, state string, owner string"
+OUTPUT = "review_id bigint, attempts bigint, version bigint, state string, applied bigint, refused bigint"
+STATE = "ids array<bigint>, versions array<bigint>, states array<string>, actors array<string>"
 
 
 def _machine():
-    """The transition step; nested so that workers need no package."""
+    """The replay of one review; nested so that workers need no package."""
     allowed = {state: set(after) for state, after in NEXT_STATES.items()}
+    unowned = {"PENDING", "CLAIMED", "ERP_CREATED"}
+
+    def replay(attempts: list[tuple]) -> tuple:
+        version, current, owner = 0, None, None
+        for _, expected, wanted, actor in attempts:
+            legal = wanted in (allowed[current] if current else {"PENDING"})
+            if expected != version or not legal or (wanted not in unowned and owner not in (None, actor)):
+                continue
+            version, current = version + 1, wanted
+            owner = actor if wanted == "CLAIMED" else owner
+        return version, current, version, len(attempts) - version
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        version, current, owner = state.get if state.exists else (0, None, None)
+        known = list(zip(*state.get)) if state.exists else []
         for batch in batches:
-            rows = []
-            for row in batch.sort_values("attempt_id").itertuples(index=False):
-                if row.expected_version != version:
-                    verdict = "STALE_VERSION"
-                elif row.state not in (allowed[current] if current else {"PENDING"}):
-                    verdict = "ILLEGAL_TRANSITION"
-                elif row.state not in ("PENDING", "CLAIMED", "ERP_CREATED") and owner not in (None, row.actor_id):
-                    verdict = "NOT_OWNER"
-                else:
-                    verdict, version, current = "APPLIED", version + 1, row.state
-                    owner = row.actor_id if row.state == "CLAIMED" else owner
-                rows.append((key[0], row.attempt_id, version, current, verdict))
-            yield pd.DataFrame(rows, columns=["review_id", "attempt_id", "version", "state", "verdict"])
-        if current is not None:
-            state.update((version, current, owner))
+            known += list(batch[["attempt_id", "expected_version", "state", "actor_id"]].itertuples(index=False, name=None))
+        # An id that comes again is the same attempt.
+        attempts = sorted({int(a[0]): (int(a[0]), int(a[1]), a[2], a[3]) for a in reversed(known)}.values())
+        state.update(tuple(list(column) for column in zip(*attempts)))
+        yield pd.DataFrame([(key[0], len(attempts), *replay(attempts))], columns=["review_id", "attempts", "version", "state", "applied", "refused"])
 
     return step
 
 
-def verdicts(attempts: DataFrame) -> DataFrame:
-    """Verdict per attempt; attempts of one review arrive in order of their id."""
-    return attempts.select(*ATTEMPT_COLUMNS).groupBy("review_id").applyInPandasWithState(
-        _machine(), OUTPUT, STATE, "append", "NoTimeout"
-    )
+def run(attempts: DataFrame, table: str, checkpoint: str) -> None:
+    """Appends the standing of every review that a micro-batch touches until the input is drained."""
+    standing = attempts.select(*ATTEMPT_COLUMNS).groupBy("review_id").applyInPandasWithState(_machine(), OUTPUT, STATE, "update", "NoTimeout")
+    drain(standing.writeStream.outputMode("update").foreachBatch(append_epochs(table)), checkpoint)
 
 
-def current_states(decided: DataFrame) -> DataFrame:
-    """Version and state per review after all attempts, with counts by verdict."""
-    applied = F.col("verdict") == "APPLIED"
-    return decided.groupBy("review_id").agg(
-        F.max("version").alias("version"),
-        F.max_by("state", F.struct("version", "attempt_id")).alias("state"),
-        F.count_if(applied).alias("applied"),
-        F.count_if(~applied).alias("refused"),
-    )
+def current_states(spark: SparkSession, table: str) -> DataFrame:
+    """Version, state and counts of each review after all attempts."""
+    newest = F.max_by(F.struct("version", "state", "applied", "refused"), "attempts")
+    return spark.read.parquet(table).groupBy("review_id").agg(newest.alias("s")).select("review_id", "s.*")

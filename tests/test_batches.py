@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from gridlark.operators import batches, contracts, folds, messages, monitoring
 from gridlark.session import scratch_path
 from gridlark.sources import publish, tables
-from gridlark.streaming import common, dedup, review as stream_review
+from gridlark.streaming import common, dedup, monitor, publish as stream_publish, review as stream_review
 
 ORIGIN = "2025-03-27 11:00:00"
 
@@ -132,20 +132,54 @@ def test_stream_dedup_equals_the_batch_operator(spark):
     base = scratch_path(spark, "test-dedup")
     for part in range(3):
         df.filter(F.col("delivery_id") % 3 == part).coalesce(1).write.mode("append").parquet(f"{base}/in")
-    dedup.run(common.read_folder(spark, f"{base}/in", "*.parquet"), f"{base}/groups", f"{base}/checkpoint")
+    dedup.run(common.read_table(spark, f"{base}/in", 1), f"{base}/groups", f"{base}/checkpoint")
     got, want = dedup.jobs(spark, f"{base}/groups"), messages.reserve(df)
     columns = sorted(want.columns)
     assert sorted(map(str, got.select(columns).collect())) == sorted(map(str, want.select(columns).collect()))
 
 
-def test_stream_review_applies_only_legal_current_attempts(spark):
+def as_tables(spark, df, base, key):
+    """The same rows as one file, as three files in an order of their own, and as many part files."""
+    df.coalesce(1).write.parquet(f"{base}/one")
+    for part in (2, 0, 1):
+        df.filter(F.pmod(F.hash(key), F.lit(3)) == part).coalesce(1).write.mode("append").parquet(f"{base}/three")
+    df.orderBy(F.desc(key)).repartition(7).write.parquet(f"{base}/many")
+    return [f"{base}/{name}" for name in ("one", "three", "many")]
+
+
+def test_stream_review_counts_attempts_in_the_order_of_their_ids(spark):
     steps = [(1, 0, "PENDING", "w"), (2, 1, "CLAIMED", "ann"), (3, 1, "CLAIMED", "bob"), (4, 2, "APPROVED", "ann"),
              (5, 2, "CORRECTED", "bob"), (6, 2, "CORRECTED", "ann")]
-    df = spark.createDataFrame([(7, *s) for s in steps], "review_id bigint, attempt_id bigint, expected_version bigint, state string, actor_id string")
+    rows = [(7, *s) for s in steps] + [(8, a, (a * a) % 4, ("PENDING", "CLAIMED", "CORRECTED", "REJECTED")[(a * a) % 4], f"p{a % 2}") for a in range(10, 40)]
+    df = spark.createDataFrame(rows, "review_id bigint, attempt_id bigint, expected_version bigint, state string, actor_id string")
     base = scratch_path(spark, "test-review")
-    df.coalesce(1).write.parquet(f"{base}/in")
-    source = common.read_folder(spark, f"{base}/in", "*.parquet")
-    writer = stream_review.verdicts(source).writeStream.outputMode("append").format("parquet").option("path", f"{base}/out")
-    common.drain(writer, f"{base}/checkpoint")
-    got = {r.attempt_id: r.verdict for r in spark.read.parquet(f"{base}/out").collect()}
-    assert got == {1: "APPLIED", 2: "APPLIED", 3: "STALE_VERSION", 4: "ILLEGAL_TRANSITION", 5: "NOT_OWNER", 6: "APPLIED"}
+    results = []
+    for number, path in enumerate(as_tables(spark, df, base, "attempt_id")):
+        stream_review.run(common.read_table(spark, path, 1), f"{base}/out{number}", f"{base}/checkpoint{number}")
+        results.append(sorted(map(tuple, stream_review.current_states(spark, f"{base}/out{number}").collect())))
+    assert results[0][0] == (7, 3, "CORRECTED", 3, 3)
+    assert results[0] == results[1] == results[2]
+
+
+def test_stream_monitor_counts_every_file_order_alike(spark):
+    start = dt.datetime(2025, 1, 1)
+    rows = [(start + dt.timedelta(minutes=17 * i), f"s{i % 2}", i % 3 > 0) for i in range(120)]
+    df = spark.createDataFrame(rows, "ts timestamp, source string, valid boolean")
+    base = scratch_path(spark, "test-monitor")
+    results = []
+    for number, path in enumerate(as_tables(spark, df, base, "ts")):
+        monitor.run(common.read_table(spark, path, 1), "ts", ["source"], f"{base}/out{number}", f"{base}/checkpoint{number}")
+        results.append(sorted(map(tuple, monitor.closed_hours(spark, f"{base}/out{number}", ["source"]).collect())))
+    last = max(r[0] for r in rows) - dt.timedelta(hours=2)
+    closed = [r for r in rows if r[0].replace(minute=0) + dt.timedelta(hours=1) <= last]
+    assert sum(r[2] for r in results[0]) == len(closed) and sum(r[3] for r in results[0]) == sum(r[2] for r in closed)
+    assert results[0] == results[1] == results[2]
+
+
+def test_stream_publish_takes_batches_that_span_files(spark):
+    _, made = records(spark, stations=4)
+    base = scratch_path(spark, "test-publish")
+    for number, path in enumerate(as_tables(spark, made, base, "station_id")):
+        first = stream_publish.run(common.read_table(spark, path, 1), f"{base}/published", f"{base}/checkpoint{number}", f"{base}/staged{number}")
+        assert [r.disposition for r in first.collect()] == ["REPLAY" if number else "NEW"]
+    assert [(r.row_count, r.intact) for r in publish.verify_published(spark, f"{base}/published").collect()] == [(made.count(), True)]

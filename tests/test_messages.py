@@ -1,3 +1,4 @@
+import hashlib
 import random
 from collections import defaultdict
 from decimal import Decimal
@@ -6,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridlark.functions.hashing import GENESIS
+from gridlark.plans import q_messages
 from gridlark.operators import admission, attachments, audit, kpi, messages, ordered, orders, review
 
 
@@ -43,68 +45,112 @@ def test_dedup_keeps_the_first_content_and_flags_changes(spark):
     assert jobs["1"].idempotency_key != jobs["2"].idempotency_key
 
 
-EVIDENCE = 1
-CATALOG = [
-    ("STL-BEAM-200", "184.50", "EUR", 420, "catalog-v1"), ("REB-12MM", "11.60", "EUR", 7000, "catalog-v1"),
-    ("BIG", "1000", "EUR", 100, "catalog-v1"), ("USD-SKU", "10", "USD", 100, "catalog-v1"),
-    ("V2-SKU", "10", "EUR", 100, "catalog-v2"), ("BAD-PRICE", "NaN", "EUR", 100, "catalog-v1"),
-]
-
-
-def line(sku="STL-BEAM-200", quantity="10", quote="184.50", evidence=EVIDENCE):
-    return (sku, quantity, quote, evidence)
-
-
-POLICY_CASES = [
-    ("body en", {}, [line()], None),
-    ("body de", {"lang": " DE"}, [line()], None),
-    ("quote within two percent", {}, [line(quote="186.00")], None),
-    ("repeated sku", {}, [line(quantity="2"), line(quantity="3")], None),
-    ("no sku", {}, [line(sku=None)], "MISSING_SKU"),
-    ("no quantity", {}, [line(quantity=None)], "MISSING_QUANTITY"),
-    ("zero", {}, [line(quantity="0")], "NONPOSITIVE_QUANTITY"),
-    ("negative", {}, [line(quantity="-1")], "NONPOSITIVE_QUANTITY"),
-    ("fraction", {}, [line(quantity="1.5")], "FRACTIONAL_QUANTITY"),
-    ("not finite", {}, [line(quantity="NaN")], "NONFINITE_QUANTITY"),
-    ("unknown sku", {}, [line(sku="MISSING")], "UNKNOWN_SKU"),
-    ("quote far off", {}, [line(quote="100")], "QUOTED_PRICE_MISMATCH"),
-    ("quote not positive", {}, [line(quote="-1")], "INVALID_QUOTED_PRICE"),
-    ("quotes differ", {}, [line(quantity="1"), line(quantity="1", quote="180")], "SOURCE_PRICE_CONFLICT"),
-    ("stock", {}, [line(quantity="421")], "INSUFFICIENT_AGGREGATE_STOCK"),
-    ("stock of repeated sku", {}, [line(quantity="220"), line(quantity="220")], "INSUFFICIENT_AGGREGATE_STOCK"),
-    ("french", {"lang": "fr"}, [line()], "UNSUPPORTED_LANGUAGE"),
-    ("ambiguity", {"ambiguities": 1}, [line()], "UNRESOLVED_AMBIGUITY"),
-    ("warning", {"warnings": 1}, [line()], "EXTRACTION_WARNING"),
-    ("no lines", {}, [], "NO_ORDER_LINES"),
-    ("no evidence", {}, [line(evidence=0)], "MISSING_LINE_EVIDENCE"),
-    ("high value", {}, [line("BIG", "51", "1000")], "HIGH_VALUE_REVIEW"),
-    ("currency", {}, [line("USD-SKU", "1", "10")], "CURRENCY_MISMATCH"),
-    ("catalog price", {}, [line("BAD-PRICE", "1", None)], "INVALID_CATALOG_PRICE"),
-    ("versions", {}, [line("STL-BEAM-200", "1"), line("V2-SKU", "1", "10")], "CATALOG_VERSION_CONFLICT"),
-]
-
-
-def test_policy_matrix(spark):
-    heads, lines = [], []
-    for name, head, items in ((c[0], c[1], c[2]) for c in POLICY_CASES):
-        heads.append((name, head.get("lang", "en"), head.get("ambiguities", 0), head.get("warnings", 0)))
-        lines += [(name, *item) for item in items]
-    headers = spark.createDataFrame(heads, "order_key string, detected_language string, ambiguities int, warnings int")
+# An own catalog: price and stock follow from the number; three articles are unusable in one way each.
+ARTICLES = {f"pipe-{n}": (Decimal(40 * n) / 4, "EUR", 6 * n, "spring") for n in range(1, 5)}
+ARTICLES |= {
+    "crane-1": (Decimal(20000), "EUR", 9, "spring"), "valve-x": (Decimal(7), "CHF", 50, "spring"),
+    "valve-y": (None, "EUR", 50, "spring"), "valve-z": (Decimal(7), "EUR", 50, "autumn"),
+}
+
+
+def policy(spark, headers, lines):
+    heads = spark.createDataFrame(headers, "order_key string, detected_language string, ambiguities int, warnings int")
     raw = spark.createDataFrame(lines, "order_key string, sku string, quantity_text string, quote string, evidence_count int")
     items = raw.withColumns(
         {"quantity": F.col("quantity_text").try_cast("decimal(18,4)"), "quoted_unit_price": F.col("quote").try_cast("decimal(18,4)")}
     )
-    catalog = spark.createDataFrame(CATALOG, "sku string, p string, currency string, stock_qty int, catalog_version string").withColumn(
-        "unit_price", F.col("p").try_cast("decimal(18,4)")
-    )
-    got = {r.order_key: r for r in orders.order_policy(headers, items, catalog).collect()}
-    assert len(got) == len(POLICY_CASES)
-    for name, _, _, code in POLICY_CASES:
-        if code is None:
-            assert got[name].approved and got[name].codes == [], name
-        else:
-            assert not got[name].approved and code in got[name].codes, name
-    assert got["body en"].total == Decimal("1845.0000")
+    rows = [(sku, *article) for sku, article in ARTICLES.items()]
+    catalog = spark.createDataFrame(rows, "sku string, unit_price decimal(18,4), currency string, stock_qty int, catalog_version string")
+    return {r.order_key: r for r in orders.order_policy(heads, items, catalog).collect()}
+
+
+def expected_codes(sku, quantity, quote, evidence):
+    """Codes of an order of one line, rule by rule."""
+    codes = {"MISSING_LINE_EVIDENCE"} if not evidence else set()
+    number = None if quantity in (None, "nan", "-Infinity") else Decimal(quantity)
+    if not sku:
+        return codes | {"MISSING_SKU"}
+    if quantity in ("nan", "-Infinity"):
+        return codes | {"NONFINITE_QUANTITY"}
+    if number is None:
+        return codes | {"MISSING_QUANTITY"}
+    if number <= 0:
+        return codes | {"NONPOSITIVE_QUANTITY"}
+    if number % 1:
+        return codes | {"FRACTIONAL_QUANTITY"}
+    asked = None if quote is None else Decimal(quote)
+    if asked is not None and asked <= 0:
+        codes.add("INVALID_QUOTED_PRICE")
+    if sku not in ARTICLES:
+        return codes | {"UNKNOWN_SKU"}
+    price, currency, stock, _ = ARTICLES[sku]
+    if price is None:
+        return codes | {"INVALID_CATALOG_PRICE"}
+    if currency != "EUR":
+        return codes | {"CURRENCY_MISMATCH"}
+    if number > stock:
+        codes.add("INSUFFICIENT_AGGREGATE_STOCK")
+    if asked is not None and asked > 0 and abs(asked - price) > price * Decimal("0.02"):
+        codes.add("QUOTED_PRICE_MISMATCH")
+    if price * number > 50000:
+        codes.add("HIGH_VALUE_REVIEW")
+    return codes
+
+
+def test_policy_over_a_grid_of_boundary_values(spark):
+    cases = {}
+    for sku in ("pipe-1", "pipe-4", "crane-1", "valve-x", "valve-y", "nowhere", None, ""):
+        price, _, stock, _ = ARTICLES.get(sku, (None, "", 3, ""))
+        for quantity in (None, "nan", "-Infinity", "-2", "0", "0.25", "1", str(stock), str(stock + 1)):
+            for quote in (None, "0", *([] if price is None else [str(price * Decimal(f)) for f in ("0.98", "0.9799", "1", "1.02", "1.0201")])):
+                for evidence in (0, 2):
+                    cases[f"c{len(cases)}"] = (sku, quantity, quote, evidence)
+    got = policy(spark, [(key, "eng", 0, 0) for key in cases], [(key, *case) for key, case in cases.items()])
+    assert len(got) == len(cases)
+    for key, case in cases.items():
+        wanted = expected_codes(*case)
+        # An order without a usable line and without another code is incomplete; here a code always says why.
+        assert set(got[key].codes) == wanted and got[key].approved == (not wanted), case
+        if not wanted:
+            assert got[key].total == ARTICLES[case[0]][0] * Decimal(case[1])
+
+
+def test_policy_of_headers_and_several_lines(spark):
+    good = ("pipe-2", "3", None, 1)
+    cases = {
+        "dutch": (("nl", 0, 0), [good], ["UNSUPPORTED_LANGUAGE"]), "spaced": ((" German ", 0, 0), [good], []),
+        "unsure": (("en", 2, 0), [good], ["UNRESOLVED_AMBIGUITY"]), "warned": (("de", 0, 1), [good], ["EXTRACTION_WARNING"]),
+        "bare": (("en", 0, 0), [], ["NO_ORDER_LINES"]),
+        "split stock": (("en", 0, 0), [("pipe-1", "4", None, 1), ("pipe-1", "3", None, 1)], ["INSUFFICIENT_AGGREGATE_STOCK"]),
+        "split fits": (("en", 0, 0), [("pipe-1", "4", None, 1), ("pipe-1", "2", None, 1)], []),
+        "two quotes": (("en", 0, 0), [("pipe-4", "1", "40.1", 1), ("pipe-4", "1", "40.2", 1)], ["SOURCE_PRICE_CONFLICT"]),
+        "two versions": (("en", 0, 0), [good, ("valve-z", "1", None, 1)], ["CATALOG_VERSION_CONFLICT"]),
+        "sum too high": (("en", 0, 0), [("crane-1", "2", None, 1), ("crane-1", "1", None, 1)], ["HIGH_VALUE_REVIEW"]),
+    }
+    got = policy(spark, [(key, *head) for key, (head, _, _) in cases.items()], [(key, *item) for key, (_, items, _) in cases.items() for item in items])
+    assert {key: r.codes for key, r in got.items()} == {key: codes for key, (_, _, codes) in cases.items()}
+
+
+def test_a_long_conversation_is_a_code_and_not_a_missing_row(spark):
+    turns = [("long", t, f"turn {t}") for t in range(14)] + [("short", t, f"turn {t}") for t in range(3)]
+    got = {r.conv_id: r for r in q_messages.compose_conversations(spark.createDataFrame(turns, "conv_id string, turn bigint, text string")).collect()}
+    assert got["long"].limit_code == "ATTACHMENT_COUNT_LIMIT" and got["long"].digest is None
+    whole = "SUBJECT:\nConversation short\n\nBODY:\nturn 0\n\nATTACHMENT 1:\nturn 1\n\nATTACHMENT 2:\nturn 2"
+    assert got["short"].limit_code is None and got["short"].digest == hashlib.sha256(whole.encode()).hexdigest()
+
+
+def test_assembled_texts_of_all_documents(spark):
+    rows = [("fits", 2, " b "), ("fits", 1, "a"), ("fits", 3, "  "), ("over", 1, "x" * 9), ("over", 2, "yy"), ("blank", 1, "  ")]
+    got = {r.attachment_id: (r.text, r.limit_code) for r in attachments.assemble_text(spark.createDataFrame(rows, "attachment_id string, pos int, text string"), 10).collect()}
+    assert got == {"fits": ("a\nb", None), "over": (None, "CHARACTER_BUDGET_LIMIT"), "blank": (None, "EMPTY_DOCUMENT")}
+
+
+def test_tool_budget_with_a_turn_of_1500_calls(spark):
+    rows = [("c", 0, p, 1) for p in range(1500)] + [("c", 1, p, 1) for p in range(5)]
+    lines = spark.createDataFrame(rows, "conversation_id string, turn int, pos int, characters int")
+    calls = ordered.number_within(lines, ["conversation_id"], ["turn", "pos"], "position").drop("pos")
+    got = kpi.tool_budget(calls, max_calls=1502, max_characters=10**6, max_turns=9).collect()
+    assert [(r.position, r.code, r.calls) for r in got] == [(1503, "TOOL_CALL_BUDGET", 1503)]
 
 
 def sequential_admission(attempts, lines, stock):
