@@ -37,7 +37,7 @@ def exact_median(df: DataFrame, keys: Sequence[str], value: str, name: str) -> D
     )
     low, high = F.col("_b")[0], F.col("_b")[1]
     if keys:
-        placed = known.join(F.broadcast(bracket) if _few(keys) else bracket, list(keys))
+        placed = known.join(bracket, list(keys))
     else:
         one = bracket.select(F.struct("_b", "_n").alias("_s")).scalar()
         placed = known.withColumn("_s", one).select(value, "_s._b", "_s._n")
@@ -63,8 +63,3 @@ def exact_median(df: DataFrame, keys: Sequence[str], value: str, name: str) -> D
             (F.max(F.when(holds(left_rank), F.col(value))) + F.max(F.when(holds(right_rank), F.col(value)))) / 2
         ).alias(name)
     ).drop("_n")
-
-
-def _few(keys: Sequence[str]) -> bool:
-    """Groups named by a fold or nothing at all are few by construction."""
-    return set(keys) <= {"fold_id"}

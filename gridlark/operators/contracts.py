@@ -110,7 +110,7 @@ def traffic_table(raw: DataFrame, zone: str) -> DataFrame:
         "timestamp_utc",
         "local_date",
         "local_hour",
-        sensor_key(F.col("latitude"), F.col("longitude")).alias("sensor_id"),
+        F.when(F.col("latitude").isNotNull() & F.col("longitude").isNotNull(), sensor_key(F.col("latitude"), F.col("longitude"))).alias("sensor_id"),
         "latitude",
         "longitude",
         "traffic",

@@ -20,10 +20,10 @@ ORDER_ONLY_STATES = ("CORRECTED", "REVALIDATED", "WRITE_PENDING", "APPROVED")
 
 
 def latest(revisions: DataFrame) -> DataFrame:
-    """Newest revision per review, by aggregation."""
+    """Newest revision per review, by aggregation; of equal versions the one whose other columns sort last."""
     rest = [c for c in revisions.columns if c not in ("review_id", "version")]
     picked = revisions.groupBy("review_id").agg(
-        F.max_by(F.struct(*rest), "version").alias("_r"), F.max("version").alias("version")
+        F.max_by(F.struct(*rest), F.struct("version", *rest)).alias("_r"), F.max("version").alias("version")
     )
     return picked.select("review_id", "version", "_r.*")
 

@@ -515,23 +515,3 @@ def publish_replay(spark: SparkSession, folder: str) -> DataFrame:
 def current_pointer(spark: SparkSession, folder: str) -> DataFrame:
     manifest = publish.batch_manifest(records(spark, folder)).withColumn("published_at", _origin())
     return publish.current_pointer(manifest).select("batch_id")
-
-
-@register(
-    "binary_digest",
-    """SELECT 'MISSING' AS status, COUNT(*) AS refs FROM documents
-UNION ALL SELECT 'ATTACHMENT_DIGEST_MISMATCH', COUNT(*) FROM nation""",
-)
-def binary_digest(spark: SparkSession, folder: str) -> DataFrame:
-    """Documents point to files that do not exist, nations to one of other content."""
-    files = tables.read_binary(spark, folder, "nation.parquet")
-    docs = table(spark, folder, "documents").select(
-        F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("storage_ref"),
-        F.sha2("text", 256).alias("digest"), F.length("text").cast("long").alias("byte_size"),
-    )
-    nations = table(spark, folder, "nation").select(
-        F.lit("nation.parquet").alias("storage_ref"), F.sha2("n_name", 256).alias("digest"),
-        F.length("n_name").cast("long").alias("byte_size"),
-    )
-    checked = tables.check_binary(files, docs.unionByName(nations))
-    return checked.groupBy("status").agg(F.count(F.lit(1)).alias("refs"))

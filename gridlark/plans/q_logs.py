@@ -161,10 +161,10 @@ def revisions(spark: SparkSession, folder: str) -> DataFrame:
 
 @register(
     "review_latest",
-    "WITH " + REVIEWS_SQL + """ SELECT review_id, MAX(version) AS version, arg_max(state, version) AS state FROM revisions GROUP BY 1""",
+    "WITH " + REVIEWS_SQL + """ SELECT review_id, MAX(version) AS version, arg_max(state, struct_pack(v := version, s := state)) AS state FROM revisions GROUP BY 1""",
 )
 def review_latest(spark: SparkSession, folder: str) -> DataFrame:
-    # Two revisions can share a version, but never the newest one of a review.
+    # Of two revisions that share the newest version, the state that sorts last counts.
     return review.latest(revisions(spark, folder).select("review_id", "version", "state"))
 
 

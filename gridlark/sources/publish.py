@@ -120,7 +120,7 @@ def current_pointer(manifest: DataFrame) -> DataFrame:
 def publish_csv(
     records: DataFrame, path: str, expected: int, keys: Sequence[str] = ("station_id", "target_timestamp")
 ) -> DataFrame:
-    """CSV publish that checks count and key uniqueness first, then swaps folders."""
+    """CSV publish that checks count and key uniqueness first, then points readers at the new version."""
     spark = records.sparkSession
     keyed = records.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     facts = keyed.agg(
@@ -128,16 +128,18 @@ def publish_csv(
     ).first()
     if facts["row_count"] != expected or facts["row_count"] == 0 or facts["repeated"]:
         raise PublishError(f"refused: {facts['row_count']} rows, {facts['repeated']} repeated keys")
-    staging = f"{path}.staging"
-    records.orderBy(*keys).write.mode("overwrite").option("header", True).csv(staging)
-    jvm = spark.sparkContext._jvm
-    source, target = jvm.org.apache.hadoop.fs.Path(staging), jvm.org.apache.hadoop.fs.Path(path)
-    files = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if files.exists(target):
-        files.rename(target, jvm.org.apache.hadoop.fs.Path(f"{path}.previous-{spark.sparkContext.startTime}"))
-    if not files.rename(source, target):
-        raise PublishError(f"could not move {staging}")
-    return spark.read.option("header", True).csv(path)
+    version = f"{path}/version-{uuid.uuid4().hex}"
+    records.orderBy(*keys).write.option("header", True).csv(version)
+    # The pointer is the last thing written: before it a reader sees the version before, never none.
+    pointer = spark.createDataFrame([(version, facts["row_count"])], "version string, row_count bigint")
+    pointer.withColumn("published_at", F.current_timestamp()).write.mode("append").parquet(f"{path}/pointer")
+    return read_published_csv(spark, path)
+
+
+def read_published_csv(spark: SparkSession, path: str) -> DataFrame:
+    """The version published last."""
+    newest = spark.read.parquet(f"{path}/pointer").agg(F.max_by("version", "published_at").alias("version")).first()
+    return spark.read.option("header", True).csv(newest["version"])
 
 
 def write_report(df: DataFrame, path: str) -> None:

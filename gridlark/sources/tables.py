@@ -34,16 +34,21 @@ def read_by_suffix(spark: SparkSession, path: str, schema: T.StructType | str |
 VERDICT_SCHEMA = "content_digest string, suspicious boolean, reason string"
 
 
-def read_verdicts(spark: SparkSession, path: str) -> DataFrame:
-    """Advisory verdicts keyed by content digest."""
-    return spark.read.schema(VERDICT_SCHEMA).option("multiLine", True).json(path)
+def read_verdicts(spark: SparkSession, path: str, one_array: bool = False) -> DataFrame:
+    """Advisory verdicts keyed by content digest; one JSON object a line, or one array a file."""
+    return spark.read.schema(VERDICT_SCHEMA).option("multiLine", one_array).json(path)
 
 
-def read_binary(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
-    """Binary files with length and content digest computed where they are read."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path)
+def read_binary(spark: SparkSession, path: str, glob: str = "*", from_folder: bool = False) -> DataFrame:
+    """Binary files with length and content digest computed where they are read.
+
+    A file's reference is its name, or the value of its partition folder.
+    """
+    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", True).load(path)
+    parts = F.split("path", "/")
+    ref = F.regexp_extract(F.element_at(parts, -2), "=(.*)$", 1) if from_folder else F.element_at(parts, -1)
     return files.select(
-        F.element_at(F.split("path", "/"), -1).alias("storage_ref"),
+        ref.alias("storage_ref"),
         "length",
         F.sha2("content", 256).alias("content_digest"),
         "content",

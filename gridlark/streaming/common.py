@@ -9,11 +9,14 @@ from pyspark.sql.streaming import DataStreamWriter
 def read_table(spark: SparkSession, path: str, per_trigger: int = 1000) -> DataFrame:
     """A Parquet table, one file or a folder of part files, as a stream; the schema is that of what is there."""
     schema = spark.read.parquet(path).schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).parquet(path)
+    # A pattern that matches the path alone: a plain path would have to be a folder.
+    place = path.rstrip("/")
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).parquet(f"{place[:-1]}[{place[-1]}]")
 
 
 def append_epochs(table: str):
     """A foreachBatch function: every micro-batch replaces its own partition, so a replay is harmless."""
+
     def append(batch: DataFrame, epoch: int) -> None:
         batch.withColumn("epoch", F.lit(epoch)).write.mode("overwrite").option(
             "partitionOverwriteMode", "dynamic"

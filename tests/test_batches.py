@@ -121,7 +121,7 @@ def test_guarded_csv(spark):
     assert publish.publish_csv(made, path, 84).count() == 84
     with pytest.raises(publish.PublishError):
         publish.publish_csv(made.unionByName(made), path, 168)
-    assert tables.read_csv(spark, path).count() == 84
+    assert publish.read_published_csv(spark, path).count() == 84
 
 
 def test_stream_dedup_equals_the_batch_operator(spark):
