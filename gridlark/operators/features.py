@@ -132,8 +132,9 @@ def traffic_features(
         city_columns |= lag_columns(value, city_keys, TRAFFIC_LAGS, value)
     city_columns |= window_columns("traffic_city_mean", city_keys, WINDOW_DAYS, "traffic_city")
     city = series_features(city_traffic(traffic, scope), targets, city_keys, city_columns, city_values)
+    # The city table has 24 rows at most for each calendar day and fold: that bounds the broadcast.
     joined = placed.join(near, [*near_keys, "local_date"], "left").join(
-        city, [*city_keys, "local_date"], "left"
+        F.broadcast(city), [*city_keys, "local_date"], "left"
     )
     return with_missing_flags(joined, [*near_columns, *city_columns])
 

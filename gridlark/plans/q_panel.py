@@ -10,6 +10,7 @@ from gridlark.functions.hashing import table_fingerprint
 from gridlark.operators import baselines, contracts, evaluation, features, folds, spatial
 from gridlark.plans import derive as dv
 from gridlark.plans.registry import register
+from gridlark.session import materialize
 from gridlark.sources.tables import read_shared as table
 
 FOLD_HISTORY_SQL = """fold_rows AS (
@@ -44,7 +45,7 @@ def _folds(spark: SparkSession, folder: str):
 def _fold_baselines(spark: SparkSession, folder: str) -> DataFrame:
     """Validation rows of all folds with both baselines, each fold cut at its own origin."""
     windows = _folds(spark, folder)
-    panel = dv.panel(spark, folder)
+    panel = materialize(dv.panel(spark, folder))  # targets, history and every median level read it
     targets = folds.fold_rows(panel, windows).filter("role = 'validation'").drop("role", "start_date", "end_date")
     history = features.cut_at(folds.expand_folds(panel, windows), F.col("origin")).select(
         "fold_id", "station_id", "local_date", "local_hour", "target"
@@ -567,7 +568,8 @@ FROM panel p JOIN mapping m USING (station_id) JOIN target_keys t ON t.sensor_id
     ),
 )
 def traffic_lags(spark: SparkSession, folder: str) -> DataFrame:
-    out = features.traffic_features(dv.traffic(spark, folder), dv.panel(spark, folder), station_mapping(spark, folder))
+    out = features.traffic_features(
+        materialize(dv.traffic(spark, folder)), materialize(dv.panel(spark, folder)), materialize(station_mapping(spark, folder)))
     names = [
         f"traffic_{part}_lag_{n}d"
         for n in features.TRAFFIC_LAGS
@@ -608,7 +610,8 @@ LEFT JOIN city_w c ON c.local_hour = p.local_hour AND c.local_date = p.local_dat
     ),
 )
 def traffic_windows(spark: SparkSession, folder: str) -> DataFrame:
-    out = features.traffic_features(dv.traffic(spark, folder), dv.panel(spark, folder), station_mapping(spark, folder))
+    out = features.traffic_features(
+        materialize(dv.traffic(spark, folder)), materialize(dv.panel(spark, folder)), materialize(station_mapping(spark, folder)))
     names = [
         f"traffic_{part}_{s}_{n}d" for part in ("nearest", "city") for n in features.WINDOW_DAYS for s in ("mean", "median")
     ]
@@ -762,11 +765,11 @@ def feature_registry(spark: SparkSession, folder: str) -> DataFrame:
 
 def full_features(spark: SparkSession, folder: str) -> DataFrame:
     """The complete feature table of the panel's own rows, one origin at the panel's end."""
-    panel = dv.panel(spark, folder)
+    panel = materialize(dv.panel(spark, folder))
     return features.build_features(
         panel.select("station_id", "timestamp_utc", "local_date", "local_hour", "target", F.col("target").alias("visible")),
-        dv.stations(spark, folder), "visible", dv.weather(spark, folder), dv.traffic(spark, folder),
-        station_mapping(spark, folder),
+        dv.stations(spark, folder), "visible", dv.weather(spark, folder), materialize(dv.traffic(spark, folder)),
+        materialize(station_mapping(spark, folder)),
     )
 
 
