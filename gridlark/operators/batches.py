@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from gridlark.functions.calendar import HORIZON_DAYS, SERVICE_HOURS, lead_hours
 from gridlark.functions.hashing import digest
 from gridlark.functions.numeric import at_least_zero, half_up, is_finite
+from gridlark.operators.folds import target_grid
 
 # Fixed values.
 RECORD_COLUMNS = (
@@ -99,16 +100,21 @@ def champion_or_fallback(
     ).drop("_c", "_f")
 
 
-def batch_contract(
-    records: DataFrame,
-    grid: DataFrame,
-    hours: Sequence[int] = SERVICE_HOURS,
-    days: int = HORIZON_DAYS,
+def expected_grid(
+    records: DataFrame, stations: DataFrame, zone: str, days: int = HORIZON_DAYS, hours: Sequence[int] = SERVICE_HOURS
 ) -> DataFrame:
+    """What each batch must hold by its origin: every station, the next ``days`` local dates, the service hours."""
+    origins = records.groupBy("batch_id").agg(F.min("origin").alias("origin")).withColumn("_one", F.lit(1))
+    wanted = stations.select("station_id", F.lit(1).alias("_one")).join(origins, "_one")
+    grid = target_grid(wanted, F.col("origin"), zone, days, tuple(hours), keep=("batch_id",))
+    return grid.select("batch_id", "station_id", "local_date", "local_hour")
+
+
+def batch_contract(records: DataFrame, grid: DataFrame, hours: Sequence[int] = SERVICE_HOURS) -> DataFrame:
     """One row per batch with the parts of the contract it breaks.
 
     ``records`` carry local_date and local_hour; ``grid`` is the expected
-    (batch_id, station_id, local_date, local_hour) set.  Rows first shrink to
+    (batch_id, station_id, local_date, local_hour) set, see :func:`expected_grid`.  Rows first shrink to
     station-days, then to batches, so no batch is ever gathered.
     """
     value = F.col("forecast_continuous")

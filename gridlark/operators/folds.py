@@ -90,10 +90,11 @@ def target_grid(
     zone: str,
     days: int = HORIZON_DAYS,
     hours: tuple[int, ...] = SERVICE_HOURS,
+    keep: tuple[str, ...] = (),
 ) -> DataFrame:
-    """Every station on each of the next local dates at each service hour."""
+    """Every station on each of the next local dates at each service hour; ``keep`` names columns to carry."""
     first = F.date_add(F.to_date(F.from_utc_timestamp(origin, zone)), 1)
-    grid = stations.select("station_id", F.explode(F.sequence(first, F.date_add(first, days - 1))).alias("local_date"))
+    grid = stations.select("station_id", *keep, F.explode(F.sequence(first, F.date_add(first, days - 1))).alias("local_date"))
     grid = grid.select(
         "*", F.explode(F.array(*[F.lit(h).cast("short") for h in hours])).alias("local_hour")
     )

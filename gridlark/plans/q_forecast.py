@@ -9,7 +9,7 @@ from gridlark.functions.calendar import lead_hours
 from gridlark.operators import batches, contracts, evaluation, monitoring, ordered
 from gridlark.plans import derive as dv
 from gridlark.plans.registry import register
-from gridlark.session import scratch_path
+from gridlark.session import materialize, scratch_path
 from gridlark.sources import publish, tables
 from gridlark.sources.tables import read_shared as table
 
@@ -112,12 +112,12 @@ def champion_or_fallback(spark: SparkSession, folder: str) -> DataFrame:
     "batch_contract",
     dv.with_ctes(
         *BATCH_WORLD, RECORDS_SQL,
-        f"""grid AS (SELECT DISTINCT batch_id, station_id, local_date, local_hour FROM records WHERE target_timestamp > origin
-  UNION SELECT DISTINCT batch_id, station_id, local_date, CAST(12 AS SMALLINT) FROM records),
-cells AS (SELECT COALESCE(r.batch_id, g.batch_id) AS batch_id, COALESCE(r.station_id, g.station_id) AS station_id, COALESCE(r.local_date, g.local_date) AS local_date,
-  r.batch_id IS NOT NULL AS have, g.batch_id IS NOT NULL AS want, r.model_role
-  FROM (SELECT * FROM records WHERE batch_status <> 'blocked' AND NOT (local_hour = 8 AND model_role = 'champion')) r
-  FULL OUTER JOIN grid g ON r.batch_id = g.batch_id AND r.station_id = g.station_id AND r.local_date = g.local_date AND r.local_hour = g.local_hour)""",
+        """held AS (SELECT batch_id, station_id, local_date, CASE WHEN local_hour = 11 AND CAST(substr(batch_id, 2) AS INTEGER) % 5 = 0 THEN 13 ELSE local_hour END AS local_hour, origin
+  FROM records WHERE batch_status <> 'blocked' AND NOT (local_hour = 8 AND model_role = 'champion')),
+grid AS (SELECT batch_id, CAST(s_suppkey AS VARCHAR) AS station_id, CAST(CAST(origin AS DATE) + CAST(d AS INTEGER) AS DATE) AS local_date, h AS local_hour
+  FROM (SELECT batch_id, MIN(origin) AS origin FROM held GROUP BY 1), supplier, range(1, 8) x(d), range(7, 13) y(h)),
+cells AS (SELECT COALESCE(r.batch_id, g.batch_id) AS batch_id, r.batch_id IS NOT NULL AS have, g.batch_id IS NOT NULL AS want
+  FROM held r FULL OUTER JOIN grid g ON r.batch_id = g.batch_id AND r.station_id = g.station_id AND r.local_date = g.local_date AND r.local_hour = g.local_hour)""",
         final="""SELECT batch_id, COUNT(*) FILTER (have) AS row_count, COUNT(*) FILTER (want) AS expected_rows,
  concat_ws(',', CASE WHEN COUNT(*) FILTER (have) <> COUNT(*) FILTER (want) THEN 'ROW_COUNT' END,
    CASE WHEN COUNT(*) FILTER (NOT have) > 0 THEN 'GRID_CELLS_MISSING' END,
@@ -127,13 +127,14 @@ FROM cells GROUP BY 1""",
     ),
 )
 def batch_contract(spark: SparkSession, folder: str) -> DataFrame:
+    """Weekly batches against the grid of their origin; some lost an hour, some have one outside it."""
+    hour = F.hour("target_timestamp")
+    moved = (hour == 11) & (F.substring("batch_id", 2, 4).cast("int") % 5 == 0)
     made = records(spark, folder).withColumns(
-        {"local_date": F.to_date("target_timestamp"), "local_hour": F.hour("target_timestamp").cast("short")}
+        {"local_date": F.to_date("target_timestamp"), "local_hour": F.when(moved, 13).otherwise(hour).cast("short")}
     )
-    cells = dv.batches(spark, folder).select("batch_id", "station_id", "local_date", "local_hour")
-    noon = cells.select("batch_id", "station_id", "local_date", F.lit(12).cast("short").alias("local_hour"))
-    grid = cells.unionByName(noon).distinct()
-    kept = made.filter(~((F.col("local_hour") == 8) & (F.col("model_role") == "champion")))
+    kept = materialize(made.filter(~((hour == 8) & (F.col("model_role") == "champion"))))
+    grid = batches.expected_grid(kept, dv.stations(spark, folder), dv.ZONE)
     out = batches.batch_contract(kept, grid)
     return out.select(
         "batch_id", "row_count", "expected_rows", F.array_join("problems", ",").alias("problems"), "publishable"

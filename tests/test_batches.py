@@ -36,7 +36,14 @@ def test_grid_records_and_contract(spark):
          "local_hour": F.hour(F.from_utc_timestamp("target_timestamp", "Europe/Berlin")).cast("short")}
     )
     assert keyed.agg(F.array_sort(F.collect_set("local_hour"))).first()[0] == [7, 8, 9, 10, 11, 12]
-    good = batches.batch_contract(keyed, grid).first()
+    stations = grid.select("station_id").distinct()
+    expected = batches.expected_grid(keyed, stations, "Europe/Berlin")
+    cells = ["batch_id", "station_id", "local_date", "local_hour"]
+    assert expected.count() == 420 and expected.exceptAll(grid.select(*cells)).isEmpty()
+    # A station without any record is missing too.
+    more = batches.expected_grid(keyed, stations.unionByName(stations.limit(1).withColumn("station_id", F.lit("unseen"))), "Europe/Berlin")
+    assert batches.batch_contract(keyed, more).first().problems == ["ROW_COUNT", "GRID_CELLS_MISSING"]
+    good = batches.batch_contract(keyed, expected).first()
     assert good.publishable and good.row_count == 420 and good.full_station_days == 70
     hurt = keyed.filter("not (station_id = '3' and local_hour = 9)").withColumn(
         "model_role", F.when(F.col("station_id") == "1", "other").otherwise(F.col("model_role"))
