@@ -39,7 +39,7 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.round_trip(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-@query("op6_secret_scan")
+@query("op6_secret_scan", secrets.ORACLE)
 def op6(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.summary(secrets.find(table(spark, folder, "documents")))
 
@@ -72,11 +72,11 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.score(documents, toxicity.fit(documents, table(spark, folder, "labels")))
 
 
-@query("op7_near_duplicates")
+@query("op7_near_duplicates", neardup.ORACLE)
 def op7(spark: SparkSession, folder: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, folder, "documents"), k=4).drop("key_id")
 
 
-@query("op1_substring_dedup")
+@query("op1_substring_dedup", substring.ORACLE)
 def op1(spark: SparkSession, folder: str) -> DataFrame:
     return substring.digests(table(spark, folder, "documents"))

@@ -277,3 +277,30 @@ def brute_spans(text: str | None, rules: tuple[Rule, ...] = RULES) -> str:
 
 def sha(text: str) -> str:
     return hashlib.sha256(text.encode()).hexdigest()
+
+
+def _oracle() -> str:
+    """Positions come from the lengths of what lies between the matches."""
+
+    def matches(number: int, rule: Rule) -> str:
+        pattern = (rule.scan or rule.pattern).replace("'", "''")
+        # The engine folds more than ASCII letters, so the keywords are spelled out.
+        pattern = re.sub(r"\(\?ai:(.*?)\)", lambda m: "(?:" + re.sub("[a-z]", lambda c: f"[{c[0].upper()}{c[0]}]", m[1]) + ")", pattern)
+        group = f" AND length(regexp_extract(f[i], '{pattern}', {rule.least_group[0]})) >= {rule.least_group[1]}" if rule.least_group else ""
+        return f"""SELECT doc_id, {number} AS o, '{rule.kind}' AS kind, f[i] AS s,
+  (list_sum(list_transform(p[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(f[1:i-1], lambda x: length(x))), 0))::BIGINT AS a
+FROM (SELECT doc_id, string_split_regex(t, '{pattern}') AS p, regexp_extract_all(t, '{pattern}') AS f, unnest(range(1, len(regexp_extract_all(t, '{pattern}')) + 1)) AS i FROM d)
+WHERE length(f[i]) >= {rule.least}{group}"""
+
+    every = "\nUNION ALL ".join(matches(n, r) for n, r in enumerate(RULES))
+    base = ", ".join(f"'{r.kind}'" for r in BASE_RULES)
+    counts = ", ".join(f"count(*) FILTER (kind = '{r.kind}') AS n_{r.kind}" for r in BASE_RULES)
+    zeros = ", ".join(f"coalesce(n_{r.kind}, 0)::BIGINT AS n_{r.kind}" for r in BASE_RULES)
+    return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+m AS ({every}),
+g AS (SELECT doc_id, {counts}, string_agg(kind || ':' || a || ':' || (a + length(s)), ',' ORDER BY a, o) FILTER (kind IN ({base})) AS base,
+  string_agg(kind || ':' || a || ':' || (a + length(s)), ',' ORDER BY a, o) AS spans FROM m GROUP BY doc_id)
+SELECT doc_id, {zeros}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN g USING (doc_id)"""
+
+
+ORACLE = _oracle()
