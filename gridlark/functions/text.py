@@ -87,15 +87,17 @@ def _any_word(text: Column, words: tuple[str, ...]) -> Column:
 
 
 def screening_forms(df: DataFrame, text: str) -> DataFrame:
-    """Adds the letters-only form of a normalised text column and a folded twin.
+    """Adds the letters-only form of a normalised text column, a folded twin, and its words where a pattern may match.
 
     Case-insensitive patterns take the dotless and the dotted capital i for an i,
     so the folded form does too.
     """
     letters = F.regexp_replace(F.col(text), "[^a-zA-ZÀ-ž]+", "")
-    return df.withColumn("_letters", letters).select(
+    forms = df.withColumn("_letters", letters).select(
         *df.columns, F.lower("_letters").alias("_compact"), F.lower(F.translate("_letters", "İı", "ii")).alias("_folded")
     )
+    words = sorted({w.replace(" ", "") for needed in _NEEDED_WORDS.values() for w in needed})
+    return forms.withColumn("_spaced", F.when(_any_word(F.col("_folded"), tuple(words)), collapsed_form(F.col(text))))
 
 
 def injection_codes(text: str) -> Column:
@@ -104,7 +106,7 @@ def injection_codes(text: str) -> Column:
     A pattern can only match, on the text or on its words, where the letters of
     one of its needed words follow each other; other texts skip the pattern.
     """
-    whole, spaced = F.col(text), collapsed_form(F.col(text))
+    whole, spaced = F.col(text), F.col("_spaced")
     tests = []
     for code, pattern in INJECTION_PATTERNS.items():
         words = tuple(w.replace(" ", "") for w in _NEEDED_WORDS[code])
