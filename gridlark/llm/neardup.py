@@ -3,21 +3,24 @@
 A document's set holds its distinct runs of `shingle` words; it is signed by
 SLOTS minwise hashes of 16 bits. Signatures are split into CHUNKS chunks of
 WIDE slots. By the pigeonhole principle, two signatures that differ in at most
-CHUNKS * (ERRORS + 1) - 1 = 23 of the 60 slots have a chunk with at most one
-wrong slot. So every chunk is posted once for each slot that may be wrong, the
-slot left out: pairs within the distance meet in some bucket for certain. At
-similarity 0.8 a pair differs in 12 slots on average, and in over 23 with
-probability below 0.0002; even those meet nearly always, since a chunk with at
-most one error suffices. Candidates are confirmed on the full sets.
+DISTANCE = CHUNKS * (ERRORS + 1) - 1 slots have a chunk with at most one wrong
+slot. So every chunk is posted once for each slot that may be wrong, the slot
+left out: pairs within the distance meet in some bucket for certain. At
+similarity 0.8 a pair differs in a fifth of the slots on average; should it
+differ in more than DISTANCE, a chunk with at most one error still brings it
+together but for a chance near 0.000002. Candidates are confirmed on the full
+sets.
 
 Scale: equal sets are one class with one representative from the start. A
 bucket's pairs are never all listed. First each representative is compared
 with the leaders of two of its buckets, and what links is merged; STAR_ROUNDS
 times more, in buckets that still hold several components, with members of
-other components. What is left of such buckets is compared by signature, in
-blocks, across components, each pair in the first bucket it shares, and pairs
-within the distance are confirmed. So no link between components is lost, and
-a group of thousands of copies costs a few comparisons each.
+other components. What is left of such buckets is compared in blocks, across
+components, each pair in the first bucket it shares. A sketch
+of the set's SKETCH smallest hashes, the whole set of a short document, keeps
+out pairs that cannot be similar enough; the others are confirmed. So no link
+between components is lost, and a group of thousands of copies costs a few
+comparisons each.
 
 NULL texts and texts without words have an empty set, no links, and are their
 own component. A NULL id comes after all others and is told apart by its text;
@@ -39,13 +42,15 @@ from gridlark.llm.common import NO_ID, gram_hashes, hash_words, id_key, mix, nar
 from gridlark.llm.graph import components
 
 BLOCK_BYTES = 4_000_000
-SLOTS, CHUNKS, WIDE, ERRORS = 60, 12, 5, 1
+SLOTS, CHUNKS, WIDE, ERRORS = 50, 10, 5, 1
 #: Slots in which signatures may differ, and still be found for certain.
 DISTANCE = CHUNKS * (ERRORS + 1) - 1
 #: Members of a bucket that one task compares with as many others.
 BLOCK = 2048
 #: Tasks among which the members compared with one leader are dealt.
 SALT = 32
+#: Smallest hashes of a set in its sketch.
+SKETCH = 192
 #: Times that components are compared through single members before all of them are.
 STAR_ROUNDS = 2
 
@@ -151,17 +156,17 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def across(mixed: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components in a bucket whose signatures and sizes may fit.
+    """Pairs of different components in a bucket whose sets may fit by their sketches.
 
-    mixed: key, rep, component, n, signature, and members (of the key). A bucket of many members
+    mixed: key, rep, component, n, signature, sketch, and members (of the key). A bucket of many members
     is compared block by block, each pair of blocks in a group of its own.
     """
     own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
     blocked = mixed.withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int")).withColumn("own", own)
     spread = blocked.select(
-        "key", "rep", "component", "n", "signature", "own",
+        "key", "rep", "component", "n", "signature", "sketch", "own",
         F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"),
-    ).select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "rep", "component", "n", "signature")
+    ).select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "rep", "component", "n", "signature", "sketch")
 
     def compare(group: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
         table = pa.Table.from_batches(group)
@@ -171,6 +176,7 @@ def across(mixed: DataFrame, percent: int) -> DataFrame:
         bucket = int(np.flatnonzero(keys(sig[0]) == table["key"][0].as_py())[0])
         left = np.flatnonzero(own == low)
         right = np.flatnonzero(own == high)
+        sketches = [np.frombuffer(x, np.uint32) for x in table["sketch"].to_pylist()]
         a, b = [], []
         for i in left.tolist():
             js = right[(comp[right] != comp[i])]
@@ -179,8 +185,9 @@ def across(mixed: DataFrame, percent: int) -> DataFrame:
             js = js[np.minimum(n[js], n[i]) * 100 >= percent * np.maximum(n[js], n[i])]
             if len(js):
                 same = sig[js] == sig[i]
-                near = (same.sum(axis=1) >= SLOTS - DISTANCE) & (first_bucket(same) == bucket)
-                js = js[near]
+                js = js[first_bucket(same) == bucket]
+            if len(js):
+                js = js[may_fit(sketches[i], n[i], [sketches[j] for j in js.tolist()], n[js], percent)]
                 a.append(np.full(len(js), rep[i]))
                 b.append(rep[js])
         return (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, np.int64), np.zeros(0, np.int64))
@@ -212,6 +219,29 @@ def across(mixed: DataFrame, percent: int) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long")
 
 
+def may_fit(own: np.ndarray, n_own: int, others: list[np.ndarray], n_others: np.ndarray, percent: int) -> np.ndarray:
+    """Which sets can share `percent` of their union with this one, by sketches.
+
+    Compared are all hashes up to the last one that both sketches would hold.
+    That is exact for sets within their sketches; else a sample of the union,
+    and its share is allowed to fall short by four standard errors.
+    """
+    flat = np.concatenate(others)
+    sizes = np.fromiter(map(len, others), np.int64, len(others))
+    ends = np.cumsum(sizes)
+    most = np.uint32(0xFFFFFFFF)
+    limit = np.where(n_others > SKETCH, flat[ends - 1], most)
+    if n_own > SKETCH:
+        limit = np.minimum(limit, own[-1])
+    inside = flat <= np.repeat(limit, sizes)
+    found = inside & (own[np.minimum(np.searchsorted(own, flat), len(own) - 1)] == flat)
+    both = np.add.reduceat(found, ends - sizes, dtype=np.int64)
+    union = np.searchsorted(own, limit, side="right") + np.add.reduceat(inside, ends - sizes, dtype=np.int64) - both
+    share = percent / 100
+    slack = np.where((n_others > SKETCH) | (n_own > SKETCH), 4 * np.sqrt(share * (1 - share) / np.maximum(union, 1)), 0.01)
+    return both >= (share - slack) * union
+
+
 def first_bucket(same: np.ndarray) -> np.ndarray:
     """Number of the first bucket that pairs share, from their equal slots (pairs, SLOTS); all share one."""
     chunks = same.reshape(-1, CHUNKS, WIDE)
@@ -250,11 +280,13 @@ def near_duplicates(df: DataFrame, k: int = 5, percent: int = 80, id_col: str =
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in pieces(batches, "text", BLOCK_BYTES):
+            grams = [shingles(t, k) for t in block["text"].to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [block["rep"], pa.array([shingles(t, k).tobytes() for t in block["text"].to_pylist()], pa.binary())], ["rep", "grams"])
+                [block["rep"], pa.array([x.tobytes() for x in grams], pa.binary()), pa.array([(x[:SKETCH] >> np.uint64(32)).astype(np.uint32).tobytes() for x in grams], pa.binary())],
+                ["rep", "grams", "sketch"])
 
     texts = keyed(df, id_col, text_col).select(F.col("key_id").alias("rep"), "text")
-    sets = store(texts.join(suspects, "rep", "left_semi").mapInArrow(gather, "rep long, grams binary"), "sets")
+    sets = store(texts.join(suspects, "rep", "left_semi").mapInArrow(gather, "rep long, grams binary, sketch binary"), "sets")
     stars = buckets.groupBy("rep").agg(
         F.min(F.when(F.col("leader") != F.col("rep"), F.col("leader"))).alias("x"), F.min(F.when(F.col("other") != F.col("rep"), F.col("other"))).alias("y"))
     links = store(confirm(edges(stars, "x", "y"), sets, percent), "links")
@@ -268,7 +300,7 @@ def near_duplicates(df: DataFrame, k: int = 5, percent: int = 80, id_col: str =
         links = store(links.unionByName(confirm(edges(stars, "x", "y"), sets, percent)), f"links-{number}")
         merged = store(components(links), f"merged-{number}")
     labelled, still = mixed_buckets(buckets, merged)
-    mixed = labelled.join(still, "key").join(reps.select("rep", "n", "signature"), "rep")
+    mixed = labelled.join(still, "key").join(reps.select("rep", "n", "signature"), "rep").join(sets.select("rep", "sketch").dropDuplicates(["rep"]), "rep")
     more = store(confirm(store(across(mixed, percent), "candidates"), sets, percent), "more-links")
     final = store(components(links.unionByName(more)), "final")
     by_rep = signed.join(reps.select("set_id", "rep"), "set_id", "left")

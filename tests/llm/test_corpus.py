@@ -276,6 +276,23 @@ def test_near_signatures_share_a_bucket():
         assert set(neardup.keys(a).tolist()) & set(neardup.keys(b).tolist())
 
 
+def test_sketches_keep_every_similar_pair():
+    rng = np.random.default_rng(6)
+    for size in (20, 150, 192, 193, 400, 3000):
+        base = np.unique(rng.integers(0, 1 << 63, size, dtype=np.uint64))
+        others = []
+        for share in (1.0, 0.95, 0.9, 0.5):
+            fresh = rng.integers(0, 1 << 63, len(base), dtype=np.uint64)
+            others.append(np.unique(np.where(rng.random(len(base)) < share, base, fresh)))
+        short = [(x[: neardup.SKETCH] >> np.uint64(32)).astype(np.uint32) for x in (base, *others)]
+        fits = neardup.may_fit(short[0], len(base), short[1:], np.array([len(x) for x in others]), 80)
+        for other, fit in zip(others, fits):
+            both = len(np.intersect1d(base, other))
+            similar = 100 * both >= 80 * (len(base) + len(other) - both)
+            assert fit or not similar
+        assert not fits[-1]
+
+
 def test_deduplicate_keeps_one_of_each(odd):
     made = neardup.deduplicate(odd, 5)
     assert made.schema == odd.schema
