@@ -26,7 +26,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from gridlark.llm.common import CACHE_WORDS, narrow, pieces
+from gridlark.llm.common import CACHE_WORDS, claim, narrow, pieces
 
 BLOCK_BYTES = 2_000_000
 SHORT = 256
@@ -139,11 +139,17 @@ class Coder:
         return " ".join([self.names[i] for i in ids.tolist() if i in self.names])
 
 
-@lru_cache(maxsize=2)
-def coder(path: str) -> Coder:
+@lru_cache(maxsize=1)
+def _coder(path: str) -> Coder:
     return Coder(path)
 
 
+def coder(path: str) -> Coder:
+    """The worker's coder, with what it remembers."""
+    claim("bpe", _coder.cache_clear)
+    return _coder(path)
+
+
 def encode(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, ids array<int> of every row."""
 

@@ -6,9 +6,10 @@ columns, whatever their names, cannot clash with its own.
 
 from __future__ import annotations
 
+import gc
 import re
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +23,7 @@ from gridlark.session import scratch_path
 #: White space that separates words: space and \\t \\n \\v \\f \\r. bytes.split() splits at the same.
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 #: Words kept in one worker's caches.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 400_000
 
 
 def narrow(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -53,6 +54,18 @@ def pieces(batches: Iterable[pa.RecordBatch], column: str, limit: int) -> Iterat
             yield batch.slice(low, high - low)
 
 
+_HELD: list[tuple[str, Callable[[], None]]] = []
+
+
+def claim(owner: str, release: Callable[[], None]) -> None:
+    """Workers outlive tasks: what one operator remembers in a worker goes when another takes the worker over."""
+    if _HELD and _HELD[0][0] != owner:
+        _HELD.pop()[1]()
+        gc.collect()
+    if not _HELD:
+        _HELD.append((owner, release))
+
+
 class WordHashes(dict):
     """64-bit hash of a word's UTF-8 bytes, remembered."""
 
@@ -67,6 +80,7 @@ _HASHES = WordHashes()
 
 
 def hash_words(words: list[bytes]) -> np.ndarray:
+    claim("hashes", _HASHES.clear)
     return np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
 
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridlark.llm.common import narrow, pieces
+from gridlark.llm.common import claim, narrow, pieces
 
 BLOCK_BYTES = 4_000_000
 #: Alternatives that a derived query may have; a larger one is weakened, never wrong.
@@ -210,11 +210,16 @@ class Index:
         return out
 
 
-@lru_cache(maxsize=4)
-def index_of(rules: tuple[Rule, ...]) -> Index:
+@lru_cache(maxsize=1)
+def _index(rules: tuple[Rule, ...]) -> Index:
     return Index(rules)
 
 
+def index_of(rules: tuple[Rule, ...]) -> Index:
+    claim("secrets", _index.cache_clear)
+    return _index(rules)
+
+
 def find(df: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and spans array<struct<kind, start, end>> (code points, end exclusive) of every row."""
 

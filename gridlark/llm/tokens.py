@@ -16,8 +16,10 @@ from itertools import chain
 import numpy as np
 from tokenizers import Tokenizer
 
+from gridlark.llm.common import claim
+
 #: Entries that a worker remembers, each of about 200 bytes.
-CHUNKS, CORES = 300_000, 700_000
+CHUNKS, CORES = 250_000, 500_000
 #: Runs of white space and the marker need the whole text at once.
 _WHOLE = re.compile(r"\s\s|\x00")
 _ENDS = frozenset(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")
@@ -94,6 +96,12 @@ class ChunkEncoder:
         return [b"".join(map(get, chunks)) for chunks in lists]
 
 
-@lru_cache(maxsize=4)
-def encoder(path: str, cut: str, dtype: str = "<u4") -> ChunkEncoder:
+@lru_cache(maxsize=1)
+def _encoder(path: str, cut: str, dtype: str) -> ChunkEncoder:
     return ChunkEncoder(path, cut, dtype)
+
+
+def encoder(path: str, cut: str, dtype: str = "<u4") -> ChunkEncoder:
+    """The worker's encoder, with what it remembers."""
+    claim("tokens", _encoder.cache_clear)
+    return _encoder(path, cut, dtype)

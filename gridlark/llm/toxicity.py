@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridlark.llm.common import narrow, pieces
+from gridlark.llm.common import claim, narrow, pieces
 
 WINDOW, STEP = 32, 24
 WORD_DIM, CHAR_DIM, HIDDEN, ATTEND = 12, 12, 8, 8
@@ -351,6 +351,7 @@ def score(df: DataFrame, network: Network | None, id_col: str = "doc_id", text_c
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in pieces(batches, "text", BLOCK_BYTES):
+            claim("toxicity", lambda: None)
             net = shared.value
             scores = net.score(block["text"].to_pylist()) if net else np.zeros(block.num_rows)
             yield pa.RecordBatch.from_arrays([block["doc_id"], pa.array(scores)], ["doc_id", "score"])
@@ -365,6 +366,7 @@ def drop_toxic(df: DataFrame, network: Network | None, text_col: str = "text", l
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in pieces(batches, text_col, BLOCK_BYTES):
+            claim("toxicity", lambda: None)
             net = shared.value
             yield block.filter(pa.array(net.score(block[text_col].to_pylist()) < limit)) if net else block
 
