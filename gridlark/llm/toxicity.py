@@ -11,7 +11,9 @@ Training is numpy on the driver, over a bounded sample of labelled rows: at
 most `train_docs` documents of each class (those whose hashed ids are
 smallest) and `train_windows` windows of each. A toxic document is not toxic
 throughout: at first its windows with a word typical of toxic ones count as
-toxic, after two passes those that the network takes for it. Scoring covers all rows and all text,
+toxic, after two passes those that the network takes for it. A fifth of the
+documents of each class calibrates instead of training, on their largest
+logits over all their windows, as in scoring. Scoring covers all rows and all text,
 in tasks that share nothing, so a hot source or a lost executor costs nothing
 more.
 
@@ -34,7 +36,7 @@ from pyspark.sql import functions as F
 
 from gridlark.llm.common import claim, narrow, pieces
 
-WINDOW, STEP = 32, 24
+WINDOW, STEP = 32, 16
 WORD_DIM, CHAR_DIM, HIDDEN, ATTEND = 12, 12, 8, 8
 VOCABULARY, GRAMS = 8192, 1 << 14
 BLOCK_BYTES = 1_500_000
@@ -179,14 +181,14 @@ class Network:
         np.add.at(g["char"], codes, np.repeat(dx[:, WORD_DIM:] / counts[:, None], counts.astype(np.int64), axis=0))
         return g, logits
 
-    def score(self, texts: list[str | None]) -> np.ndarray:
-        """Probability of each text's most toxic window."""
+    def largest(self, texts: list[str | None]) -> np.ndarray:
+        """Logit of each text's most toxic window, -inf without words."""
         lists = [t.encode("utf-8", "replace").split() if t else [] for t in texts]
         number: dict[bytes, int] = {}
         flat = np.array([number.setdefault(w, len(number)) for w in chain.from_iterable(lists)], np.int64)
-        scores = np.zeros(len(texts))
+        most = np.full(len(texts), -np.inf)
         if not len(flat):
-            return scores
+            return most
         x, _ = self.inputs(list(number))
         flat = np.append(flat, np.full(WINDOW, -1))
         sizes = np.fromiter(map(len, lists), np.int64, len(lists))
@@ -202,9 +204,15 @@ class Network:
             used, at = np.unique(at, return_inverse=True)  # inputs of this batch alone are projected
             pad = int(used[0] == -1)
             logits[low : low + BATCH] = self.read(x[used[pad:]], at.reshape(-1, WINDOW) - pad)[0]
-        most = np.full(len(texts), -np.inf)
         np.maximum.at(most, doc, logits)
-        scores[sizes > 0] = sigmoid(self.slope * most[sizes > 0] + self.shift)
+        return most
+
+    def score(self, texts: list[str | None]) -> np.ndarray:
+        """Probability of each text's most toxic window, 0 without words."""
+        most = self.largest(texts)
+        some = np.isfinite(most)
+        scores = np.zeros(len(texts))
+        scores[some] = sigmoid(self.slope * most[some] + self.shift)
         return scores
 
 
@@ -233,21 +241,12 @@ def telling(samples: list[Sample], share: float = 0.02, ratio: float = 8.0, docs
     return [bool(toxic) and not typical.isdisjoint(signs(words)) for _, words, toxic in samples]
 
 
-def calibrate(net: Network, samples: list[Sample], toxic_share: float) -> None:
+def calibrate(net: Network, most: list[tuple[float, int]], toxic_share: float) -> None:
     """Fit slope and shift so that the score of a document's largest logit is its chance to be toxic.
 
-    samples: of documents that did not train; toxic_share: of all labelled documents.
+    most: largest logit over all windows, and label, of documents that did not train; toxic_share: of all labelled documents.
     """
-    number: dict[bytes, int] = {}
-    at = np.full((len(samples), WINDOW), -1)
-    for row, (_, words, _) in enumerate(samples):
-        at[row, : len(words)] = [number.setdefault(w, len(number)) for w in words]
-    most: dict[int, tuple[float, int]] = {}
-    if samples:
-        logits = net.read(net.inputs(list(number))[0], at)[0]
-        for (doc, _, toxic), logit in zip(samples, logits.tolist()):
-            most[doc] = max(most.get(doc, (-np.inf, toxic)), (logit, toxic))
-    x, y = np.array([v for v, _ in most.values()]), np.array([t for _, t in most.values()], float)
+    x, y = np.array([v for v, _ in most]), np.array([t for _, t in most], float)
     if len(set(y.tolist())) < 2:
         return
     weight = np.where(y == 1, toxic_share / y.mean(), (1 - toxic_share) / (1 - y.mean()))
@@ -262,15 +261,8 @@ def calibrate(net: Network, samples: list[Sample], toxic_share: float) -> None:
         net.slope, net.shift = float(fitted[0]), float(fitted[1])
 
 
-def train(samples: list[Sample], toxic_share: float | None = None, seed: int = 7, batch: int = 192, rate: float = 0.02, eps: float = 1e-3, rare: int = 5) -> Network | None:
-    """A network from windows; None without both classes. The order of the samples counts.
-
-    A fifth of the documents calibrates instead of training.
-    """
-    docs = {doc: toxic for doc, _, toxic in samples}
-    toxic_share = sum(docs.values()) / max(1, len(docs)) if toxic_share is None else toxic_share
-    spare = set(np.random.default_rng(seed).permutation(sorted(docs))[: len(docs) // 5].tolist())
-    held_back, samples = [s for s in samples if s[0] in spare], [s for s in samples if s[0] not in spare]
+def train(samples: list[Sample], seed: int = 7, batch: int = 192, rate: float = 0.02, eps: float = 1e-3, rare: int = 5) -> Network | None:
+    """A network from windows, not calibrated; None without both classes. The order of the samples counts."""
     epochs = int(np.clip(-(-300 * batch // max(1, len(samples))), 3, 8))
     labels = np.array([y for _, _, y in samples])
     if len(set(labels.tolist())) < 2:
@@ -305,7 +297,6 @@ def train(samples: list[Sample], toxic_share: float | None = None, seed: int = 7
                 value -= rate * (first[name] / (1 - 0.9**step)) / (np.sqrt(second[name] / (1 - 0.99**step)) + eps)
         if epoch >= 1 and ((labels == 1) & (found > 0)).any():
             target = np.where((labels == 1) & (found > 0), 1, 0).astype(np.float32)
-    calibrate(net, held_back, toxic_share)
     return net
 
 
@@ -314,8 +305,8 @@ def held_out(id_column: Column) -> Column:
     return F.crc32(F.coalesce(id_column.cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
-def training_windows(df: DataFrame, labels: DataFrame, train_docs: int, train_windows: int, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> tuple[list[Sample], float]:
-    """At most 2 * train_docs * train_windows windows, in a fixed order, and the toxic share of all labelled documents."""
+def training_documents(labels: DataFrame, train_docs: int, id_col: str = "doc_id", label_col: str = "toxic") -> tuple[dict[int, int], float]:
+    """Labels of at most 2 * train_docs documents, in a fixed order, and the toxic share of all labelled documents."""
     marked = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("toxic")).where("toxic IN (0, 1) AND doc_id IS NOT NULL")
     marked = marked.where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     share = marked.agg(F.coalesce(F.avg("toxic"), F.lit(0.0)).alias("share")).first()["share"]
@@ -323,6 +314,27 @@ def training_windows(df: DataFrame, labels: DataFrame, train_docs: int, train_wi
     for kind in (1, 0):
         part = marked.where(F.col("toxic") == kind).orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_docs)
         chosen = part if chosen is None else chosen.unionByName(part)
+    return {r["doc_id"]: r["toxic"] for r in sorted(chosen.collect())}, share
+
+
+def split(docs: dict[int, int], seed: int = 7) -> tuple[dict[int, int], dict[int, int]]:
+    """Documents that train, and a fifth of each class that calibrates."""
+    rng = np.random.default_rng(seed)
+    spare: set[int] = set()
+    for kind in (0, 1):
+        ids = [d for d, toxic in docs.items() if toxic == kind]
+        spare.update(rng.permutation(ids)[: len(ids) // 5].tolist())
+    return {d: t for d, t in docs.items() if d not in spare}, {d: t for d, t in docs.items() if d in spare}
+
+
+def texts_of(df: DataFrame, docs: dict[int, int], id_col: str, text_col: str) -> DataFrame:
+    """doc_id, toxic, text of the documents; there are at most 2 * train_docs ids, which bounds the broadcast."""
+    chosen = df.sparkSession.createDataFrame(list(docs.items()), "doc_id long, toxic int")
+    return narrow(df, id_col, text_col).join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "text")
+
+
+def training_windows(df: DataFrame, docs: dict[int, int], train_windows: int, id_col: str = "doc_id", text_col: str = "text") -> list[Sample]:
+    """At most train_windows windows of each document, in a fixed order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in pieces(batches, "text", BLOCK_BYTES):
@@ -336,13 +348,31 @@ def training_windows(df: DataFrame, labels: DataFrame, train_docs: int, train_wi
             yield pa.RecordBatch.from_arrays(
                 [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.int64(), pa.binary()))], ["doc_id", "toxic", "start", "words"])
 
-    # The chosen ids are at most 2 * train_docs rows: that bounds the broadcast.
-    rows = narrow(df, id_col, text_col).join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "text").mapInArrow(run, "doc_id long, toxic int, start long, words binary").distinct().collect()
-    return [(r["doc_id"], bytes(r["words"]).split(), r["toxic"]) for r in sorted(rows, key=lambda r: (r["doc_id"], r["start"], bytes(r["words"])))], share
+    rows = texts_of(df, docs, id_col, text_col).mapInArrow(run, "doc_id long, toxic int, start long, words binary").distinct().collect()
+    return [(r["doc_id"], bytes(r["words"]).split(), r["toxic"]) for r in sorted(rows, key=lambda r: (r["doc_id"], r["start"], bytes(r["words"])))]
+
+
+def largest_logits(df: DataFrame, docs: dict[int, int], network: Network, id_col: str = "doc_id", text_col: str = "text") -> list[tuple[float, int]]:
+    """Largest logit over all windows, and label, of each document with words; one row of each comes back."""
+    shared = df.sparkSession.sparkContext.broadcast(network)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in pieces(batches, "text", BLOCK_BYTES):
+            most = shared.value.largest(block["text"].to_pylist())
+            yield pa.RecordBatch.from_arrays([block["doc_id"], block["toxic"], pa.array(most)], ["doc_id", "toxic", "most"])
+
+    found = texts_of(df, docs, id_col, text_col).mapInArrow(run, "doc_id long, toxic int, most double").where(F.col("most") > float("-inf"))
+    rows = found.groupBy("doc_id", "toxic").agg(F.max("most").alias("most")).collect()
+    return [(r["most"], r["toxic"]) for r in sorted(rows)]
 
 
-def fit(df: DataFrame, labels: DataFrame, train_docs: int = 1500, train_windows: int = 12, **columns: str) -> Network | None:
-    return train(*training_windows(df, labels, train_docs, train_windows, **columns))
+def fit(df: DataFrame, labels: DataFrame, train_docs: int = 1500, train_windows: int = 12, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Network | None:
+    docs, share = training_documents(labels, train_docs, id_col, label_col)
+    training, spare = split(docs)
+    net = train(training_windows(df, training, train_windows, id_col, text_col))
+    if net and spare:
+        calibrate(net, largest_logits(df, spare, net, id_col, text_col), share)
+    return net
 
 
 def score(df: DataFrame, network: Network | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -411,6 +411,37 @@ def toxic_rows():
     return rows
 
 
+@pytest.fixture(scope="module")
+def long_rows():
+    """Texts of 5 to 400 windows; a toxic one has one bad passage wherever."""
+    rng = random.Random(8)
+    rows = []
+    for i in range(500):
+        words = prose(rng, rng.choice([100, 100, 400, 1600, 6000])).split()
+        if i % 3 == 0:
+            at = rng.randrange(len(words) - 20)
+            for j in range(at, at + 12, 3):
+                words[j] = rng.choice(["vileword", "Grubling,", "snotface"])
+        rows.append((i, " ".join(words), int(i % 3 == 0)))
+    return rows
+
+
+def test_calibration_sees_what_scoring_sees(spark, long_rows, monkeypatch):
+    seen = []
+    keep = toxicity.calibrate
+    monkeypatch.setattr(toxicity, "calibrate", lambda net, most, share: (seen.append(most), keep(net, most, share)))
+    docs = spark.createDataFrame([r[:2] for r in long_rows], "doc_id long, text string")
+    net = toxicity.fit(docs, spark.createDataFrame([(r[0], r[2]) for r in long_rows], "doc_id long, toxic int"))
+    truth = {d: t for d, _, t in long_rows}
+    training, spare = toxicity.split({d: t for d, t in truth.items() if zlib.crc32(str(d).encode()) % 5})
+    assert not training.keys() & spare.keys() and set(spare.values()) == {0, 1}
+    want = sorted((net.largest([text])[0], t) for d, text, t in long_rows if d in spare)
+    assert np.allclose(sorted(seen[0]), want, atol=1e-3) and len(seen[0]) == len(spare)
+    rows = [(len(long_rows[r["doc_id"]][1].split()), r["predicted"], truth[r["doc_id"]]) for r in toxicity.score(docs, net).collect() if r["held_out"]]
+    long = [(p, t) for n, p, t in rows if n >= 1600]
+    assert len(long) > 20 and np.mean([p == t for p, t in long]) >= 0.9
+
+
 def test_toxicity_on_held_out_rows(spark, toxic_rows, odd, none):
     docs = spark.createDataFrame([r[:2] for r in toxic_rows], "doc_id long, text string")
     labels = spark.createDataFrame([(r[0], 1, r[2]) for r in toxic_rows], "doc_id long, quality int, toxic int")
