@@ -1,62 +1,84 @@
 """Review state machine on a stream of revision attempts.
 
 The attempts of a review count in the order of their ids, in whatever order
-files bring them. State holds a review's attempts so far, which its workflow
-bounds; each micro-batch replays the reviews it touches and sends their new
-standing. The standing that rests on the most attempts is the current one, so
-the end result depends on the set of attempts alone.
+files bring them. The stream stages them by micro-batch and keeps no state.
+Once it is drained they are folded in rounds: the first legal attempt after a
+review's last applied one takes it to its next version. No state of the
+workflow comes back, so there are at most as many rounds as states. A round
+finds the first attempt by minima over blocks of a review's attempts, so a
+review with very many attempts is never gathered in one task.
+
+An id that comes again is the same attempt; of different contents under one id
+the one that sorts first counts.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from functools import reduce
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming.state import GroupState
 
-from gridlark.operators.review import NEXT_STATES
+from gridlark.operators.review import NEXT_STATES, may_follow
+from gridlark.session import scratch_path
 from gridlark.streaming.common import append_epochs, drain
 
 ATTEMPT_COLUMNS = ("review_id", "attempt_id", "expected_version", "state", "actor_id")
-OUTPUT = "review_id bigint, attempts bigint, version bigint, state string, applied bigint, refused bigint"
-STATE = "ids array<bigint>, versions array<bigint>, states array<string>, actors array<string>"
-
+UNOWNED = ("PENDING", "CLAIMED", "ERP_CREATED")
 
-def _machine():
-    """The replay of one review; nested so that workers need no package."""
-    allowed = {state: set(after) for state, after in NEXT_STATES.items()}
-    unowned = {"PENDING", "CLAIMED", "ERP_CREATED"}
 
-    def replay(attempts: list[tuple]) -> tuple:
-        version, current, owner = 0, None, None
-        for _, expected, wanted, actor in attempts:
-            legal = wanted in (allowed[current] if current else {"PENDING"})
-            if expected != version or not legal or (wanted not in unowned and owner not in (None, actor)):
-                continue
-            version, current = version + 1, wanted
-            owner = actor if wanted == "CLAIMED" else owner
-        return version, current, version, len(attempts) - version
+def run(attempts: DataFrame, table: str, checkpoint: str) -> None:
+    """Stages every attempt until the input is drained; a replay stages nothing twice."""
+    drain(attempts.select(*ATTEMPT_COLUMNS).writeStream.foreachBatch(append_epochs(table)), checkpoint)
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        known = list(zip(*state.get)) if state.exists else []
-        for batch in batches:
-            known += list(batch[["attempt_id", "expected_version", "state", "actor_id"]].itertuples(index=False, name=None))
-        # An id that comes again is the same attempt.
-        attempts = sorted({int(a[0]): (int(a[0]), int(a[1]), a[2], a[3]) for a in reversed(known)}.values())
-        state.update(tuple(list(column) for column in zip(*attempts)))
-        yield pd.DataFrame([(key[0], len(attempts), *replay(attempts))], columns=["review_id", "attempts", "version", "state", "applied", "refused"])
 
-    return step
+def _stored(df: DataFrame, label: str) -> DataFrame:
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def run(attempts: DataFrame, table: str, checkpoint: str) -> None:
-    """Appends the standing of every review that a micro-batch touches until the input is drained."""
-    standing = attempts.select(*ATTEMPT_COLUMNS).groupBy("review_id").applyInPandasWithState(_machine(), OUTPUT, STATE, "update", "NoTimeout")
-    drain(standing.writeStream.outputMode("update").foreachBatch(append_epochs(table)), checkpoint)
+def _advanced(held: DataFrame, due: DataFrame) -> DataFrame:
+    """Reviews that move on from `held`, by the first legal one of the attempts that expect their version."""
+    # Each block of a review's attempts meets its own copy of the review's standing.
+    blocks = due.select("review_id", "block").distinct()
+    own = held.select(F.col("review_id").alias("_review"), "last", F.col("state").alias("before"), "owner")
+    spread = blocks.join(own, F.col("review_id").eqNullSafe(F.col("_review"))).select("_review", F.col("block").alias("_block"), "last", "before", "owner")
+    met = due.join(spread, F.col("review_id").eqNullSafe(F.col("_review")) & (F.col("block") == F.col("_block")))
+    allowed = F.col("state").isin(*UNOWNED) | F.col("owner").isNull() | (F.col("owner") == F.col("actor_id"))
+    legal = met.where((F.col("attempt_id") > F.col("last")) & may_follow(F.col("before"), F.col("state")) & allowed)
+    return legal.groupBy("review_id").agg(F.min(F.struct("attempt_id", "state", "actor_id", "owner")).alias("a")).select(
+        "review_id", F.col("a.attempt_id").alias("last"), "a.state",
+        F.when(F.col("a.state") == "CLAIMED", F.col("a.actor_id")).otherwise(F.col("a.owner")).alias("owner"),
+    )
 
 
 def current_states(spark: SparkSession, table: str) -> DataFrame:
     """Version, state and counts of each review after all attempts."""
-    newest = F.max_by(F.struct("version", "state", "applied", "refused"), "attempts")
-    return spark.read.parquet(table).groupBy("review_id").agg(newest.alias("s")).select("review_id", "s.*")
+    staged = spark.read.parquet(table)
+    blocks = F.lit(int(spark.conf.get("spark.sql.shuffle.partitions")))
+    attempts = _stored(
+        staged.groupBy("review_id", "attempt_id").agg(F.min(F.struct("expected_version", "state", "actor_id")).alias("a"))
+        .select("review_id", "attempt_id", "a.*", F.pmod(F.xxhash64("attempt_id"), blocks).cast("int").alias("block")),
+        "attempts",
+    )
+    first = attempts.where((F.col("expected_version") == 0) & (F.col("state") == "PENDING") & F.col("attempt_id").isNotNull())
+    held = _stored(
+        first.groupBy("review_id").agg(F.min("attempt_id").alias("last")).select(
+            "review_id", "last", F.lit("PENDING").alias("state"), F.lit(None).cast(attempts.schema["actor_id"].dataType).alias("owner")
+        ),
+        "reviews-1",
+    )
+    reached = [held.select("review_id", F.lit(1).cast("bigint").alias("version"), "state")]
+    for version in range(1, len(NEXT_STATES)):
+        held = _stored(_advanced(held, attempts.where(F.col("expected_version") == version)), f"reviews-{version + 1}")
+        if held.isEmpty():
+            break
+        reached.append(held.select("review_id", F.lit(version + 1).cast("bigint").alias("version"), "state"))
+    counted = attempts.groupBy("review_id").agg(F.count(F.lit(1)).alias("attempts"))
+    newest = reduce(DataFrame.unionByName, reached).groupBy(F.col("review_id").alias("_review")).agg(
+        F.max("version").alias("version"), F.max_by("state", "version").alias("state")
+    )
+    version = F.coalesce("version", F.lit(0).cast("bigint"))
+    return counted.join(newest, F.col("review_id").eqNullSafe(F.col("_review")), "left").select(
+        "review_id", version.alias("version"), "state", version.alias("applied"), (F.col("attempts") - version).alias("refused")
+    )

@@ -1,10 +1,11 @@
 import datetime as dt
+import os
 import uuid
 
 import pytest
 from pyspark.sql import functions as F
 
-from gridlark.operators import batches, contracts, folds, messages, monitoring
+from gridlark.operators import batches, contracts, folds, messages, monitoring, review
 from gridlark.session import scratch_path
 from gridlark.sources import publish, tables
 from gridlark.streaming import common, dedup, monitor, publish as stream_publish, review as stream_review
@@ -168,6 +169,25 @@ def test_stream_review_counts_attempts_in_the_order_of_their_ids(spark):
     assert results[0] == results[1] == results[2]
 
 
+def test_stream_review_spreads_the_attempts_of_one_review(spark):
+    """One review with nearly all attempts: it equals the sequential fold, and its attempts are not state of one task."""
+    states = ("PENDING", "CLAIMED", "CORRECTED", "REVALIDATED", "WRITE_PENDING", "ERP_CREATED", "APPROVED", "REJECTED")
+    rows = [(1, a, a * 5 % 9, states[a * 5 % 9 % 7], f"p{a // 9 % 3}") for a in range(5000)] + [(None, 1, 0, "PENDING", None), (2, 1, 0, "REJECTED", "p")]
+    df = spark.createDataFrame(rows, "review_id bigint, attempt_id bigint, expected_version bigint, state string, actor_id string")
+    base = scratch_path(spark, "test-hot-review")
+    df.repartition(3).write.parquet(f"{base}/in")
+    stream_review.run(common.read_table(spark, f"{base}/in", 1), f"{base}/out", f"{base}/checkpoint")
+    version, current, owner = 0, None, None
+    for _, _, expected, wanted, actor in rows[:5000]:
+        legal = wanted in (review.NEXT_STATES[current] if current else ("PENDING",))
+        if expected == version and legal and (wanted in stream_review.UNOWNED or owner in (None, actor)):
+            version, current, owner = version + 1, wanted, actor if wanted == "CLAIMED" else owner
+    assert version == 7
+    got = {r.review_id: tuple(r)[1:] for r in stream_review.current_states(spark, f"{base}/out").collect()}
+    assert got == {1: (version, current, version, 5000 - version), None: (1, "PENDING", 1, 0), 2: (0, None, 0, 1)}
+    assert not os.path.exists(f"{base}/checkpoint/state")
+
+
 def test_stream_monitor_counts_every_file_order_alike(spark):
     start = dt.datetime(2025, 1, 1)
     rows = [(start + dt.timedelta(minutes=17 * i), f"s{i % 2}", i % 3 > 0) for i in range(120)]
