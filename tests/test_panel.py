@@ -6,7 +6,8 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from gridlark.operators import baselines, contracts, evaluation, features, folds, spatial
+from gridlark.operators import baselines, contracts, evaluation, features, folds, models, spatial
+from gridlark.plans import q_models
 
 DAY = dt.date(2025, 1, 1)
 
@@ -225,3 +226,25 @@ def test_gaps_and_lookup_problems(spark):
     dim = spark.createDataFrame([("x", 1), ("x", 2)], "k string, v int")
     _, problems = contracts.lookup(facts, dim, ["k"])
     assert sorted((r.k, r.problem) for r in problems.collect()) == [("x", "KEY_REPEATED"), ("y", "KEY_UNMATCHED")]
+
+
+def test_model_queries_run_the_whole_search(spark, monkeypatch):
+    """All 38 seeded trials, five families, three folds and all columns; costs are measured."""
+    rows = spark.createDataFrame(
+        [(f"fold_{f}", role, f"s{i % 2}", float(i % 5), float(i % 3), float(i % 7)) for f in (1, 2, 3) for role in ("train", "validation") for i in range(30)],
+        "fold_id string, role string, station_id string, target double, traffic_index double, hour double",
+    )
+    calls = []
+    study, ablate = models.study, models.ablate
+    monkeypatch.setattr(q_models, "prepared", lambda *_: rows)
+    monkeypatch.setattr(q_models, "inputs", lambda df: ["station_id", "traffic_index", "hour"])
+    monkeypatch.setattr(models, "study", lambda *a: calls.append(a) or study([models.Candidate("tweedie_00", "tweedie")], *a[1:]))
+    monkeypatch.setattr(models, "ablate", lambda *a: calls.append(a) or ablate(models.Candidate("tweedie_00", "tweedie"), *a[1:], ("calendar",)))
+    found = q_models.candidate_search(spark, "").collect()
+    assert len(found) == 1 and found[0].selected and found[0].folds == 3
+    assert found[0].inference_latency_ms > 0 and found[0].artifact_size_bytes > 0
+    q_models.family_ablation(spark, "")
+    (trials, _, folds_used, columns), ablated = calls
+    assert trials == models.sample_candidates(models.Budget()) and len(trials) == 38
+    assert folds_used == ablated[2] == ("fold_1", "fold_2", "fold_3") and columns == ablated[3] == ["station_id", "traffic_index", "hour"]
+    assert len(ablated) == 4 and len(models.FEATURE_FAMILIES) == 5
