@@ -18,8 +18,9 @@ times more, in buckets that still hold several components, with members of
 other components. What is left of such buckets is compared in blocks, across
 components, each pair in the first bucket it shares. A sketch
 of the set's SKETCH smallest hashes, the whole set of a short document, keeps
-out pairs that cannot be similar enough; the others are confirmed. So no link
-between components is lost, and a group of thousands of copies costs a few
+out pairs that cannot be similar enough (of long documents, but for a chance
+below 1e-9 a pair); the others are confirmed. So
+no other link between components is lost, and a group of thousands of copies costs a few
 comparisons each.
 
 NULL texts and texts without words have an empty set, no links, and are their
@@ -51,6 +52,8 @@ BLOCK = 2048
 SALT = 32
 #: Smallest hashes of a set in its sketch.
 SKETCH = 192
+#: Standard errors that a sampled share may fall short.
+SLACK = 7
 #: Times that components are compared through single members before all of them are.
 STAR_ROUNDS = 2
 
@@ -224,7 +227,8 @@ def may_fit(own: np.ndarray, n_own: int, others: list[np.ndarray], n_others: np.
 
     Compared are all hashes up to the last one that both sketches would hold.
     That is exact for sets within their sketches; else a sample of the union,
-    and its share is allowed to fall short by four standard errors.
+    and its share is allowed to fall short by SLACK standard errors: a pair at
+    similarity 0.8 falls shorter with a chance below 1e-9.
     """
     flat = np.concatenate(others)
     sizes = np.fromiter(map(len, others), np.int64, len(others))
@@ -238,7 +242,7 @@ def may_fit(own: np.ndarray, n_own: int, others: list[np.ndarray], n_others: np.
     both = np.add.reduceat(found, ends - sizes, dtype=np.int64)
     union = np.searchsorted(own, limit, side="right") + np.add.reduceat(inside, ends - sizes, dtype=np.int64) - both
     share = percent / 100
-    slack = np.where((n_others > SKETCH) | (n_own > SKETCH), 4 * np.sqrt(share * (1 - share) / np.maximum(union, 1)), 0.01)
+    slack = np.where((n_others > SKETCH) | (n_own > SKETCH), SLACK * np.sqrt(share * (1 - share) / np.maximum(union, 1)), 0.01)
     return both >= (share - slack) * union
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -293,6 +294,30 @@ def test_sketches_keep_every_similar_pair():
         assert not fits[-1]
 
 
+def test_sketches_keep_pairs_at_the_threshold():
+    """At 0.80 to 0.81, also where the sample falls short by five standard errors."""
+    n = neardup.SKETCH
+    for union in range(n, 2 * n):
+        least = (0.8 - neardup.SLACK * math.sqrt(0.16 / union)) * union
+        assert sum(math.comb(union, i) * 0.8**i * 0.2 ** (union - i) for i in range(math.ceil(least))) < 1e-9
+    rng = np.random.default_rng(3)
+    for size, short in [(size, low) for size in (400, 3000, 9000) for low in (0, 0, 5)]:
+        union = np.unique(rng.integers(0, 1 << 63, size, dtype=np.uint64))
+        both = np.zeros(len(union), bool)
+        both[rng.permutation(len(union))[: math.ceil(0.8 * len(union))]] = True
+        if short:  # the smallest hashes share less than the sets do
+            head = both[:220]
+            head[:] = rng.permutation(220) < round(220 * (0.8 - short * math.sqrt(0.16 / 220)))
+            lack = math.ceil(0.8 * len(union)) - both.sum()
+            spare = np.flatnonzero(~both)
+            both[spare[spare >= 220][:lack]] = True
+        mine = both | (rng.random(len(union)) < 0.5)
+        a, b = union[mine], union[both | ~mine]
+        assert 0.8 <= len(np.intersect1d(a, b)) / len(union) <= 0.81
+        cut = [(x[:n] >> np.uint64(32)).astype(np.uint32) for x in (a, b)]
+        assert neardup.may_fit(cut[0], len(a), cut[1:], np.array([len(b)]), 80)[0]
+
+
 def test_deduplicate_keeps_one_of_each(odd):
     made = neardup.deduplicate(odd, 5)
     assert made.schema == odd.schema
