@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from gridlark.llm import bpe, hamming, lines, neardup, packing, secrets, substring, tokenbin, toxicity, urls
+from gridlark.llm import bpe, conversations, hamming, lines, neardup, packing, secrets, substring, tokenbin, toxicity, urls
 
 Builder = Callable[[SparkSession, str], DataFrame]
 
@@ -80,3 +80,8 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
 @query("op1_substring_dedup", substring.ORACLE)
 def op1(spark: SparkSession, folder: str) -> DataFrame:
     return substring.digests(table(spark, folder, "documents"))
+
+
+@query("op11_conversation_repair")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    return conversations.audit(conversations.damage(table(spark, folder, "conversations")))
