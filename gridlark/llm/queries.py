@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from gridlark.llm import bpe, conversations, hamming, lines, neardup, packing, secrets, substring, tokenbin, toxicity, urls
+from gridlark.llm import bpe, conversations, hamming, lines, neardup, packing, secrets, spelling, substring, tokenbin, toxicity, urls
 
 Builder = Callable[[SparkSession, str], DataFrame]
 
@@ -85,3 +85,8 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
 @query("op11_conversation_repair")
 def op11(spark: SparkSession, folder: str) -> DataFrame:
     return conversations.audit(conversations.damage(table(spark, folder, "conversations")))
+
+
+@query("op12_spelling_variants")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.variants(table(spark, folder, "documents"))
