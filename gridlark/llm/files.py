@@ -33,3 +33,13 @@ def read_array(path: str, dtype: str) -> np.ndarray:
     store, place = fs.FileSystem.from_uri(path)
     with store.open_input_file(place) as f:
         return np.frombuffer(f.read(), dtype)
+
+
+def remove(path: str) -> None:
+    if (place := local(path)) is not None:
+        os.remove(place)
+        return
+    from pyarrow import fs
+
+    store, place = fs.FileSystem.from_uri(path)
+    store.delete_file(place)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from gridlark.llm import bpe, conversations, hamming, lines, neardup, packing, secrets, spelling, substring, tokenbin, toxicity, urls
+from gridlark.llm import bpe, conversations, hamming, lines, neardup, packing, secrets, spelling, substring, suffixes, tokenbin, toxicity, urls
 
 Builder = Callable[[SparkSession, str], DataFrame]
 
@@ -90,3 +90,8 @@ def op11(spark: SparkSession, folder: str) -> DataFrame:
 @query("op12_spelling_variants")
 def op12(spark: SparkSession, folder: str) -> DataFrame:
     return spelling.variants(table(spark, folder, "documents"))
+
+
+@query("op13_suffix_dedup", suffixes.ORACLE)
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return suffixes.digests(table(spark, folder, "documents"))
