@@ -10,10 +10,11 @@ one anchor form a passage, of at most 2 * WINDOW - ANCHOR bytes.
    (all their windows start earlier), and gives the anchors of the others.
 2. Anchors that come once in the corpus match nothing. The passages of the
    others are cut out of their documents and dealt by anchor.
-3. A task gathers whole anchors to a collection, builds its transform and its
-   common prefixes column by column (`columns`), and reads the suffixes in
-   order: runs with common prefixes of WINDOW or more are equal windows, and
-   all but the first in the corpus start earlier elsewhere.
+3. A task gathers whole anchors to a collection of different passages, each
+   with all its places, builds its transform and its common prefixes column by
+   column (`columns`), and reads the suffixes in order: runs with common
+   prefixes of WINDOW or more are equal windows, and of all their places all
+   but the first in the corpus start earlier elsewhere.
 
 Passages are short, so a round inserts one byte of every passage and the
 number of rounds is bounded, whatever the length of the documents. Anchors
@@ -39,6 +40,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gridlark.llm import columns
 from gridlark.llm.common import id_key, mix, parts, pieces, store
@@ -117,44 +119,45 @@ def unpacked(raw: bytes | None) -> tuple[np.ndarray, np.ndarray]:
 
 
 def survey(docs: DataFrame) -> DataFrame:
-    """anchor, doc, sub, spans: a row per passage that is new in its block, and per document what its block decides."""
+    """anchor, ref, spans: a row per passage that is new in its block, and per document what its block decides."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in pieces(batches, "text", BLOCK_BYTES):
-            doc, sub = (block[c].to_numpy() for c in ("doc", "sub"))
+            doc, sub, ref = (block[c].to_numpy() for c in ("doc", "sub", "ref"))
+            texts = block["text"]
             seen: dict[bytes, int] = {}
-            found: list[tuple[np.ndarray, int]] = []
+            fresh: list[np.ndarray] = []
+            anchors: list[np.ndarray] = []
             decided: list[tuple[int, bytes]] = []
-            texts = block["text"]
-            for row in np.lexsort((sub, doc)).tolist():
+            at = 0
+            order = np.lexsort((sub, doc))
+            # Rows that repeat an id and its text are one document.
+            same = np.zeros(len(order), bool)
+            same[1:] = (doc[order[1:]] == doc[order[:-1]]) & (sub[order[1:]] == sub[order[:-1]])
+            for row, again in zip(order.tolist(), same.tolist()):
                 raw = texts[row].as_py().encode("utf-8", "replace")
-                anchor, start, n = passages(raw)
+                anchor, start, n = passages(b"" if again else raw)
                 if not len(anchor):
                     continue
-                firsts = [seen.setdefault(raw[s : s + k + WINDOW - 1], row) for s, k in zip(start.tolist(), n.tolist())] if len(start) else []
-                first = np.array(firsts)
-                # A place in this row may be the first or a repeat in the same row.
-                new = first == row
-                if new.any():
-                    own: set[bytes] = set()
-                    for i in np.flatnonzero(new).tolist():
-                        piece = raw[start[i] : start[i] + n[i] + WINDOW - 1]
-                        new[i] = piece not in own
-                        own.add(piece)
-                same = np.array([doc[f] == doc[row] and sub[f] == sub[row] and f != row for f in firsts])
-                late = ~new & ~same
-                if late.any():
-                    decided.append((row, packed(*spans_of(start[late], n[late]))))
-                found.append((anchor[new], row))
-            rows = np.concatenate([np.full(len(a), r) for a, r in found] + [np.array([r for r, _ in decided], np.int64)]).astype(np.int64)
-            if not len(rows):
+                put, ends = seen.setdefault, (start + n + WINDOW - 1).tolist()
+                first = np.array([put(raw[s:e], i) for i, (s, e) in enumerate(zip(start.tolist(), ends), at)])
+                new = first == np.arange(at, at + len(first))
+                at += len(first)
+                if not new.all():
+                    decided.append((row, packed(*spans_of(start[~new], n[~new]))))
+                anchors.append(anchor[new])
+                fresh.append(np.full(int(new.sum()), row))
+            if not at:
                 continue
-            anchors = np.concatenate([a for a, _ in found] + [np.zeros(len(decided), np.int64)])
+            rows = np.concatenate([*fresh, np.array([r for r, _ in decided], np.int64)])
             none = np.arange(len(rows)) >= len(rows) - len(decided)
-            spans = pa.array([None] * (len(rows) - len(decided)) + [s for _, s in decided], pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(anchors, pa.int64(), mask=none), pa.array(doc[rows]), pa.array(sub[rows]), spans], ["anchor", "doc", "sub", "spans"])
+            spans = [{"doc": int(doc[r]), "sub": int(sub[r]), "runs": s} for r, s in decided]
+            kinds = pa.struct([("doc", pa.int64()), ("sub", pa.int64()), ("runs", pa.binary())])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate([*anchors, np.zeros(len(decided), np.int64)]), pa.int64(), mask=none), pa.array(ref[rows]),
+                 pa.array([None] * (len(rows) - len(decided)) + spans, kinds)], ["anchor", "ref", "spans"])
 
-    return docs.mapInArrow(run, "anchor long, doc long, sub long, spans binary")
+    return docs.mapInArrow(run, "anchor long, ref long, spans struct<doc:long,sub:long,runs:binary>")
 
 
 def cut(text: bytes, start: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -186,43 +189,52 @@ def finished(raw: bytes, start: np.ndarray, n: np.ndarray, finish: Callable) ->
     return len(raw), int((end - begin).sum()), len(begin), finish(raw, begin, end)
 
 
+def schema_of(rest: T.StructField, more: str) -> T.StructType:
+    return T.StructType([rest, *T._parse_datatype_string(more).fields])
+
+
 def extract(docs: DataFrame, finish: Callable) -> DataFrame:
     """docs: doc, sub, rest, text, marks (anchors that repeat, with whether they are hot), spans (decided). Finished rows, or rows with open passages."""
-    rest_type = docs.schema["rest"].dataType.simpleString()
     opened_type = pa.list_(pa.struct([("key", pa.int64()), ("start", pa.int32()), ("passage", pa.binary())]))
     types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), opened_type)
 
+    def open_passages(raw: bytes, marks: pa.StructScalar, start: np.ndarray, n: np.ndarray) -> list[tuple[int, int, bytes]]:
+        anchor, first, size = passages(raw)
+        listed, hot = (marks.values.field(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+        wanted = np.isin(anchor, listed)
+        if len(start):
+            # What the block decides needs no collection.
+            start, n = spans_of(start, n)
+            span = np.searchsorted(start, first, side="right") - 1
+            wanted &= (span < 0) | (first + size > (start + n)[span])
+        out = []
+        for key, begin, count in zip(anchor[wanted].tolist(), first[wanted].tolist(), size[wanted].tolist()):
+            if not hot.any() or key not in listed[hot]:
+                out.append((key, begin, raw[begin : begin + count + WINDOW - 1]))
+                continue
+            windows = [raw[at : at + WINDOW] for at in range(begin, begin + count)]
+            out += [(window_key(w), at, w) for at, w in enumerate(windows, begin)]
+        return out
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in pieces(batches, "text", BLOCK_BYTES):
             rows: list[tuple] = []
-            window_seen: set[bytes] = set()
-            for text, marks, spans in zip(*(block[c].to_pylist() for c in ("text", "marks", "spans"))):
+            for doc, sub, text, marks, spans in zip(*(block[c].to_pylist() for c in ("doc", "sub", "text")), block["marks"], block["spans"].to_pylist()):
                 raw = text.encode("utf-8", "replace")
-                done = [unpacked(s) for s in spans or ()]
+                done = [unpacked(s["runs"]) for s in spans or () if (s["doc"], s["sub"]) == (doc, sub)]
                 start, n = (np.concatenate([d[i] for d in done] + [np.zeros(0, np.int64)]) for i in (0, 1))
-                opened = []
-                if marks:
-                    anchor, first, size = passages(raw)
-                    listed = np.array([m["anchor"] for m in marks], np.int64)
-                    hot = np.isin(anchor, listed[[m["hot"] for m in marks]])
-                    for i in np.flatnonzero(np.isin(anchor, listed)).tolist():
-                        begin, count = int(first[i]), int(size[i])
-                        if not hot[i]:
-                            opened.append((int(anchor[i]), begin, raw[begin : begin + count + WINDOW - 1]))
-                            continue
-                        for at in range(begin, begin + count):
-                            window = raw[at : at + WINDOW]
-                            opened.append((window_key(window), at, window))
+                opened = open_passages(raw, marks, start, n) if marks.is_valid and len(marks) else []
                 if opened:
-                    items = [{"key": k, "start": s, "passage": p} for k, s, p in opened]
-                    rows.append((None, None, None, text, packed(start, n), items))
+                    keys, starts, cuts = zip(*opened)
+                    rows.append((None, None, None, text, packed(start, n), [{"key": k, "start": s, "passage": p} for k, s, p in zip(keys, starts, cuts)]))
                 else:
                     rows.append((*finished(raw, start, n, finish), None, None))
             yield pa.RecordBatch.from_arrays(
                 [block["doc"], block["sub"], block["rest"], *(pa.array([r[i] for r in rows], t) for i, t in enumerate(types))],
                 ["doc", "sub", "rest", "n_bytes", "n_removed", "n_spans", "result", "spans", "open"])
 
-    schema = f"doc long, sub long, rest {rest_type}, {RESULT}, spans binary, open array<struct<key:long,start:int,passage:binary>>"
+    more = f"{RESULT}, spans binary, open array<struct<key:long,start:int,passage:binary>>"
+    schema = T.StructType([docs.schema["doc"], docs.schema["sub"], *schema_of(docs.schema["rest"], more).fields])
     return docs.select("doc", "sub", "rest", "text", "marks", "spans").mapInArrow(run, schema)
 
 
@@ -230,12 +242,18 @@ def window_key(window: bytes) -> int:
     return int.from_bytes(hashlib.blake2b(window, digest_size=8).digest(), "little", signed=True)
 
 
-def late_windows(sequences: list[bytes], order: list[tuple[int, int, int]], folder: str | None = None, **sizes: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sequence and offset of each window that an earlier place holds too. order: (doc, sub, start) of each sequence, ascending."""
+def late_windows(passages_: list[bytes], order: list[tuple[int, int, int]], folder: str | None = None, **sizes: int) -> tuple[np.ndarray, np.ndarray]:
+    """Passage and offset of each window that an earlier place holds too. order: (doc, sub, start) of each passage, ascending."""
     place = np.array(order, np.int64).reshape(-1, 3)
-    # Sequences of one document in one number, so that a window's place is one number too.
+    # Documents get one number, so that a window's place is one number too.
     ids = np.zeros(len(place), np.int64)
     ids[1:] = np.cumsum((place[1:, :2] != place[:-1, :2]).any(axis=1))
+    rank = ids << 40 | place[:, 2]
+    numbers: dict[bytes, int] = {}
+    which = np.array([numbers.setdefault(p, len(numbers)) for p in passages_], np.int64)
+    sequences = list(numbers)
+    first = np.full(len(sequences), np.iinfo(np.int64).max)
+    np.minimum.at(first, which, rank)
     lengths = np.fromiter(map(len, sequences), np.int64, len(sequences))
     built = columns.build(sequences, folder=folder, **sizes)
     labels, groups, now = [], [], 0
@@ -249,15 +267,18 @@ def late_windows(sequences: list[bytes], order: list[tuple[int, int, int]], fold
     label, group = np.concatenate(labels), np.concatenate(groups)
     sequence = label >> columns.LENGTH_BITS
     offset = lengths[sequence] - (label & ((1 << columns.LENGTH_BITS) - 1))
-    rank = ids[sequence] << 40 | (place[sequence, 2] + offset)
     new = np.ones(len(group), bool)
     new[1:] = group[1:] != group[:-1]
-    at = np.flatnonzero(new)
-    if not len(at):
-        return sequence, offset
-    first = np.minimum.reduceat(rank, at)[np.cumsum(new) - 1]
-    late = rank > first
-    return sequence[late], offset[late]
+    least = np.minimum.reduceat(first[sequence] + offset, np.flatnonzero(new))[np.cumsum(new) - 1]
+    # Every place of a passage has the windows of its sequence.
+    by_sequence = np.lexsort((offset, sequence))
+    least = least[by_sequence]
+    count = lengths - WINDOW + 1
+    begin = np.cumsum(count) - count
+    copies = np.repeat(np.arange(len(which)), count[which])
+    step = np.arange(len(copies)) - np.repeat(np.cumsum(count[which]) - count[which], count[which])
+    late = rank[copies] + step > least[begin[which[copies]] + step]
+    return copies[late], step[late]
 
 
 def match(opened: DataFrame) -> DataFrame:
@@ -302,16 +323,16 @@ def match(opened: DataFrame) -> DataFrame:
 
 def remove(docs: DataFrame, finish: Callable[[bytes, np.ndarray, np.ndarray], str]) -> DataFrame:
     """docs: doc, sub, text, rest. Gives rest and RESULT, where result is finish(bytes, begins, ends of removed runs)."""
-    found = store(survey(docs.select("doc", "sub", "text")), "suffix-survey")
+    docs = docs.withColumn("ref", F.xxhash64("doc", "sub"))
+    found = store(survey(docs.select("doc", "sub", "ref", "text")), "suffix-survey")
     group = Window.partitionBy("anchor")
-    repeats = found.where("anchor IS NOT NULL").select("anchor", "doc", "sub").withColumn("n", F.count(F.lit(1)).over(group)).where("n > 1")
-    marks = repeats.select("doc", "sub", F.struct("anchor", (F.col("n") > HOT).alias("hot")).alias("mark"), F.lit(None).cast("binary").alias("spans"))
-    decided = found.where("anchor IS NULL").select("doc", "sub", F.lit(None).cast(marks.schema["mark"].dataType).alias("mark"), "spans")
-    by_doc = marks.unionByName(decided).groupBy("doc", "sub").agg(F.collect_set("mark").alias("marks"), F.collect_set("spans").alias("spans"))
-    once = store(extract(docs.join(by_doc, ["doc", "sub"], "left"), finish), "suffix-passages")
+    repeats = found.where("anchor IS NOT NULL").select("anchor", "ref").withColumn("n", F.count(F.lit(1)).over(group)).where("n > 1")
+    marks = repeats.select("ref", F.struct("anchor", (F.col("n") > HOT).alias("hot")).alias("mark"), F.lit(None).cast(found.schema["spans"].dataType).alias("spans"))
+    decided = found.where("anchor IS NULL").select("ref", F.lit(None).cast(marks.schema["mark"].dataType).alias("mark"), "spans")
+    by_doc = marks.unionByName(decided).groupBy("ref").agg(F.collect_set("mark").alias("marks"), F.collect_set("spans").alias("spans"))
+    once = stored_small(extract(docs.join(by_doc, "ref", "left"), finish), "suffix-passages")
     opened = once.where("open IS NOT NULL").select("doc", "sub", F.explode("open").alias("o")).select("o.key", "doc", "sub", "o.start", "o.passage")
     late = store(match(opened), "suffix-late").groupBy("doc", "sub").agg(F.collect_list("spans").alias("late"))
-    rest_type = docs.schema["rest"].dataType.simpleString()
 
     def complete(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types = (pa.int64(), pa.int64(), pa.int64(), pa.string())
@@ -326,7 +347,14 @@ def remove(docs: DataFrame, finish: Callable[[bytes, np.ndarray, np.ndarray], st
 
     names = ["rest", "n_bytes", "n_removed", "n_spans", "result"]
     waiting = once.where("open IS NOT NULL").select("doc", "sub", "rest", "result", "spans").join(late, ["doc", "sub"], "left")
-    return once.where("open IS NULL").select(names).unionByName(waiting.mapInArrow(complete, f"rest {rest_type}, {RESULT}"))
+    return once.where("open IS NULL").select(names).unionByName(waiting.mapInArrow(complete, schema_of(docs.schema["rest"], RESULT)))
+
+
+def stored_small(df: DataFrame, label: str) -> DataFrame:
+    """As store(), with the compression that sees through passages which overlap."""
+    path = scratch_path(df.sparkSession, label)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def keyed(df: DataFrame, id_col: str, text_col: str, rest: list) -> DataFrame:
