@@ -3,11 +3,16 @@
 An embedding's code has one bit for the sign of each of its first 64
 components. Codes are cut into four segments of 16 bits. If two codes differ
 in at most 4 * (r + 1) - 1 bits, some segment differs in at most r. So radius
-r is grown from 0: the open queries probe every segment with all masks of up
-to r bits, candidates are verified by their full distance, and a query is
-closed once k verified rows lie within the distance that radius r provably
-covers. Once a query would probe more values than the index has codes, its
-candidates are all codes instead, in blocks.
+r is grown from 0: the distinct segment values of the open queries are probed
+with all masks of exactly r bits, those that the index holds bring their
+codes, and these are verified by their full distance. A query is closed once
+its k-th best row lies within the distance that radius r provably covers. This
+holds for every size of the table; there is no other path.
+
+A pair counts in the first segment of the smallest difference, so it comes
+once in all rounds. A query keeps its k best codes between rounds. A segment
+has at most 65,536 values, which bounds the probes of a round whatever the
+number of queries; joins are by shuffle, never by a broadcast.
 
 Equal codes are one entry with a count and its k smallest ids, so a vector
 that a third of all rows share is one candidate and one query. Rounds are
@@ -15,13 +20,13 @@ stored tables below the shared folder. Ties are broken by the smaller id.
 
 NULL embeddings are not indexed and find nothing; missing or NULL components
 count as not positive. With fewer than k rows all are returned. Repeated ids
-are rows of their own. An empty table gives an empty result.
+are rows of their own. An empty table gives an empty result. Only the id and
+the vector are read, so other columns cannot clash; there are no texts.
 """
 
 from __future__ import annotations
 
 from itertools import combinations
-from math import comb
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -30,7 +35,6 @@ from gridlark.llm.common import store
 
 BITS, SEGMENTS = 64, 4
 WIDTH = BITS // SEGMENTS
-BLOCK = 8192
 
 
 def code_of(embedding: Column) -> Column:
@@ -51,7 +55,8 @@ def distance(a: Column, b: Column) -> Column:
 
 
 def masks(radius: int) -> list[int]:
-    return [sum(1 << i for i in chosen) for r in range(radius + 1) for chosen in combinations(range(WIDTH), r)]
+    """All segment values with exactly `radius` bits."""
+    return [sum(1 << i for i in chosen) for chosen in combinations(range(WIDTH), radius)]
 
 
 def smallest_ids(rows: DataFrame, k: int) -> DataFrame:
@@ -61,6 +66,29 @@ def smallest_ids(rows: DataFrame, k: int) -> DataFrame:
     return first.groupBy("code").agg(F.sort_array(F.collect_list("id")).alias("ids")).join(counted, "code")
 
 
+def segments(codes: DataFrame, *kept: str) -> DataFrame:
+    """A row (s, value) for each segment of each code."""
+    return codes.select(*kept, F.posexplode(F.array(*(segment(F.col("code"), i) for i in range(SEGMENTS)))).alias("s", "value"))
+
+
+def probe(open_: DataFrame, index: DataFrame, radius: int) -> DataFrame:
+    """query, code, distance, n, ids: pairs whose closest segment differs in exactly `radius` bits."""
+    asked = segments(open_, "code").withColumnRenamed("code", "query")
+    # One literal instead of thousands keeps the plan small.
+    mask_list = F.split(F.lit(",".join(map(str, masks(radius)))), ",").cast("array<int>")
+    tried = asked.select("s", F.col("value").alias("own")).distinct().select("s", "own", F.explode(mask_list).alias("mask"))
+    tried = tried.select("s", "own", F.col("own").bitwiseXOR(F.col("mask")).alias("value"))
+    entries = segments(index, "code", "n", "ids")
+    found = tried.join(entries.select("s", "value").distinct().hint("merge"), ["s", "value"])
+    asked = asked.withColumnRenamed("value", "own").join(found.hint("merge"), ["s", "own"])
+    pairs = asked.join(entries.hint("merge"), ["s", "value"])
+    first = F.lit(True)
+    for i in range(SEGMENTS):
+        apart = distance(segment(F.col("query"), i), segment(F.col("code"), i))
+        first = first & F.when(F.col("s") > i, apart > radius).otherwise(apart >= radius)
+    return pairs.where(first).select("query", "code", distance(F.col("query"), F.col("code")).alias("distance"), "n", "ids")
+
+
 def search(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, distance: for each query the k nearest rows, itself included."""
 
@@ -70,23 +98,22 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "v
 
     index = store(smallest_ids(coded(vectors), k), "codes")
     asked = store(coded(queries), "queries")
-    size = index.agg(F.count(F.lit(1)).alias("codes"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows")).first()
-    wanted = min(k, size["rows"])
+    wanted = min(k, index.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows")).first()["rows"])
     open_ = store(asked.select("code").distinct(), "open-queries")
+    nearest = Window.partitionBy("query").orderBy("distance", F.get("ids", F.lit(0)))
+    held = None
     done = []
     for radius in range(WIDTH + 1):
         if not wanted or open_.isEmpty():
             break
-        bound = SEGMENTS * (radius + 1) - 1
-        probes = SEGMENTS * sum(comb(WIDTH, r) for r in range(radius + 1))
-        if probes <= size["codes"]:
-            near = probe(open_, index, radius, bound)
-        else:
-            near = scan(open_, index, size["codes"], bound := BITS if size["codes"] <= BLOCK // 2 else bound)
-        found = store(near, f"near-{radius}")
-        closed = found.groupBy("query").agg(F.sum("n").alias("rows")).where(F.col("rows") >= wanted).select("query")
-        done.append(found.join(closed, "query", "left_semi"))
-        open_ = store(open_.join(closed, open_["code"] == closed["query"], "left_anti"), f"open-{radius}")
+        found = probe(open_, index, radius)
+        if held is not None:
+            found = found.unionByName(held.join(open_.select(F.col("code").alias("query")).hint("merge"), "query", "left_semi"))
+        held = store(found.withColumn("at", F.row_number().over(nearest)).where(F.col("at") <= k).drop("at"), f"near-{radius}")
+        covered = held.where(F.col("distance") < SEGMENTS * (radius + 1)).groupBy("query").agg(F.sum("n").alias("rows"))
+        closed = store(covered.where(F.col("rows") >= wanted).select("query"), f"closed-{radius}")
+        done.append(held.join(closed.hint("merge"), "query", "left_semi"))
+        open_ = store(open_.join(closed.hint("merge"), open_["code"] == closed["query"], "left_anti"), f"open-{radius}")
     if not done:
         return asked.limit(0).select(F.col("id").alias("query_id"), F.lit(0).alias("rank"), F.col("id").alias("vec_id"), F.lit(0).alias("distance"))
     all_near = done[0]
@@ -98,41 +125,11 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "v
         .withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     )
     return (
-        asked.select(F.col("id").alias("query_id"), F.col("code").alias("query")).join(best, "query")
+        asked.select(F.col("id").alias("query_id"), F.col("code").alias("query")).join(best.hint("merge"), "query")
         .select("query_id", "rank", F.col("id").alias("vec_id"), "distance")
     )
 
 
-def entries(index: DataFrame) -> DataFrame:
-    """A row for each segment of each code."""
-    return index.select("code", "n", "ids", F.posexplode(F.array(*(segment(F.col("code"), i) for i in range(SEGMENTS)))).alias("s", "value"))
-
-
-def probe(open_: DataFrame, index: DataFrame, radius: int, bound: int) -> DataFrame:
-    """Verified pairs within the bound that share a segment up to `radius` bits; each pair once."""
-    tried = open_.select(F.col("code").alias("query"), F.posexplode(F.array(*(segment(F.col("code"), i) for i in range(SEGMENTS)))).alias("qs", "own"))
-    # One literal instead of thousands keeps the plan small.
-    mask_list = F.split(F.lit(",".join(map(str, masks(radius)))), ",").cast("array<int>")
-    tried = tried.select("query", "qs", F.explode(mask_list).alias("mask"), "own")
-    tried = tried.select("query", "qs", F.col("own").bitwiseXOR(F.col("mask")).alias("try"))
-    posted = entries(index)
-    # A pair counts in the first segment that brings it.
-    earlier = F.lit(False)
-    for i in range(SEGMENTS - 1):
-        earlier = earlier | ((F.col("s") > i) & (distance(segment(F.col("query"), i), segment(F.col("code"), i)) <= radius))
-    on = (F.col("qs") == F.col("s")) & (F.col("try") == F.col("value")) & (distance(F.col("query"), F.col("code")) <= bound) & ~earlier
-    return tried.join(posted, on).select("query", distance(F.col("query"), F.col("code")).alias("distance"), "n", "ids")
-
-
-def scan(open_: DataFrame, index: DataFrame, codes: int, bound: int) -> DataFrame:
-    """Verified pairs within the bound, from every code, in blocks of about BLOCK codes."""
-    blocks = -(-codes // BLOCK)
-    tried = open_.select(F.col("code").alias("query"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("qb"))
-    posted = index.withColumn("b", F.pmod(F.xxhash64("code"), F.lit(blocks)).cast("int"))
-    on = (F.col("qb") == F.col("b")) & (distance(F.col("query"), F.col("code")) <= bound)
-    return tried.join(posted, on).select("query", distance(F.col("query"), F.col("code")).alias("distance"), "n", "ids")
-
-
 ORACLE = f"""
 WITH c AS (SELECT vec_id, list_sum([CASE WHEN embedding[j + 1] > 0 THEN 1::HUGEINT << j ELSE 0 END FOR j IN range({BITS})])::HUGEINT AS code FROM embeddings WHERE embedding IS NOT NULL),
 p AS (SELECT q.vec_id AS query_id, x.vec_id, bit_count(xor(q.code, x.code))::INT AS distance FROM c q, c x WHERE q.vec_id % 20 = 0)

@@ -573,20 +573,29 @@ def test_exact_top_k(spark, n, k):
     assert hamming.search(df.limit(0), df, k).count() == 0
 
 
-def test_probes_find_what_a_scan_finds(spark):
-    """With few bits apart, probing is cheaper than a scan and must give the same."""
+def test_probes_find_what_brute_force_finds(spark):
+    """All pairs within what the radii so far cover, each once."""
     rng = np.random.default_rng(1)
     centres = rng.normal(0, 1, (40, 64))
     vectors = np.repeat(centres, 100, axis=0) * np.where(rng.random((4000, 64)) < 0.04, -1, 1)
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
     index = hamming.store(hamming.smallest_ids(df.select(F.col("vec_id").alias("id"), hamming.code_of(F.col("embedding")).alias("code")), 5), "test-codes")
-    asked = index.where("n >= 1").limit(30).select("code")
-    asked = hamming.store(asked, "test-asked")
-    for radius in (0, 1, 2):
-        bound = hamming.SEGMENTS * (radius + 1) - 1
-        a = hamming.probe(asked, index, radius, bound).select("query", "distance", "ids").collect()
-        b = hamming.scan(asked, index, index.count(), bound).select("query", "distance", "ids").collect()
-        assert Counter(map(str, a)) == Counter(map(str, b))
+    asked = hamming.store(index.orderBy("code").limit(30).select("code"), "test-asked")
+    codes = [r["code"] for r in index.collect()]
+    found = []
+    for radius in range(4):
+        found += [tuple(r) for r in hamming.probe(asked, index, radius).select("query", "code", "distance").collect()]
+        bound = hamming.SEGMENTS * (radius + 1)
+        want = {(q["code"], c) for q in asked.collect() for c in codes if ((q["code"] ^ c) & (1 << 64) - 1).bit_count() < bound}
+        assert len(found) == len({f[:2] for f in found}) and {f[:2] for f in found if f[2] < bound} == want
+        assert all(d == ((q ^ c) & (1 << 64) - 1).bit_count() for q, c, d in found)
+
+
+def test_search_plans_no_broadcast(spark):
+    df = spark.range(500).selectExpr("id AS vec_id", "transform(sequence(0, 63), j -> sin(id * 64 + j)) AS embedding")
+    index = df.select(hamming.code_of(F.col("embedding")).alias("code"), F.lit(1).alias("n"), F.array("vec_id").alias("ids"))
+    plan = hamming.probe(index.select("code"), index, 2)._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "NestedLoop" not in plan
 
 
 # --- the pipeline ---------------------------------------------------------------------------------
