@@ -110,50 +110,45 @@ def expected_grid(
     return grid.select("batch_id", "station_id", "local_date", "local_hour")
 
 
-def batch_contract(records: DataFrame, grid: DataFrame, hours: Sequence[int] = SERVICE_HOURS) -> DataFrame:
-    """One row per batch with the parts of the contract it breaks.
+PARTS = ("origin", "model_role", "batch_status")
 
-    ``records`` carry local_date and local_hour; ``grid`` is the expected
-    (batch_id, station_id, local_date, local_hour) set, see :func:`expected_grid`.  Rows first shrink to
-    station-days, then to batches, so no batch is ever gathered.
-    """
+
+def _cells(records: DataFrame) -> DataFrame:
+    """Records by batch, station, date and hour: how many, how many bad, and the range of what a batch must agree on."""
     value = F.col("forecast_continuous")
     invalid = ~is_finite(value) | (value < 0)
-    cell = records.groupBy("batch_id", "station_id", "local_date", "local_hour").agg(
+    return records.groupBy("batch_id", "station_id", "local_date", "local_hour").agg(
         F.count(F.lit(1)).alias("n"),
         F.count_if(invalid).alias("bad"),
         F.count_if(~F.coalesce(half_up(value) == F.col("forecast_count"), F.lit(False))).alias("unrounded"),
-        *[F.min(c).alias(f"lo_{c}") for c in ("origin", "model_role", "batch_status")],
-        *[F.max(c).alias(f"hi_{c}") for c in ("origin", "model_role", "batch_status")],
+        *[F.min(c).alias(f"lo_{c}") for c in PARTS],
+        *[F.max(c).alias(f"hi_{c}") for c in PARTS],
     )
-    mark = grid.select("batch_id", "station_id", "local_date", "local_hour", F.lit(1).alias("_want"))
-    both = cell.withColumn("_have", F.lit(1)).join(
-        mark, ["batch_id", "station_id", "local_date", "local_hour"], "full_outer"
-    )
-    day = both.groupBy("batch_id", "station_id", "local_date").agg(
+
+
+def _judged(cells: DataFrame, hours: Sequence[int], expected: Column) -> DataFrame:
+    """The contract of cells that know whether they are held (_have) and wanted (_want); ``expected`` is the batch's number of wanted cells."""
+    day = cells.groupBy("batch_id", "station_id", "local_date").agg(
         F.count("_have").alias("have"), F.count("_want").alias("want"),
+        F.count(F.when(F.col("_want").isNotNull(), F.col("_have"))).alias("inside"),
         F.sum("n").alias("n"), F.sum("bad").alias("bad"), F.sum("unrounded").alias("unrounded"),
-        F.count_if(F.col("n") > 1).alias("doubled"),
-        F.count_if(F.col("_have").isNull()).alias("lost"), F.count_if(F.col("_want").isNull()).alias("extra"),
-        *[F.min(f"lo_{c}").alias(f"lo_{c}") for c in ("origin", "model_role", "batch_status")],
-        *[F.max(f"hi_{c}").alias(f"hi_{c}") for c in ("origin", "model_role", "batch_status")],
+        F.count_if(F.col("n") > 1).alias("doubled"), F.count_if(F.col("_want").isNull()).alias("extra"),
+        *[F.min(f"lo_{c}").alias(f"lo_{c}") for c in PARTS],
+        *[F.max(f"hi_{c}").alias(f"hi_{c}") for c in PARTS],
     )
     batch = day.groupBy("batch_id").agg(
-        F.coalesce(F.sum("n"), F.lit(0)).alias("row_count"), F.sum("want").alias("expected_rows"),
+        F.coalesce(F.sum("n"), F.lit(0)).alias("row_count"), expected.alias("expected_rows"),
         F.count_if(F.col("have") == len(hours)).alias("full_station_days"),
         F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"), F.coalesce(F.sum("unrounded"), F.lit(0)).alias("unrounded"),
-        F.sum("doubled").alias("doubled"), F.sum("lost").alias("lost"), F.sum("extra").alias("extra"),
-        *[
-            (~F.min(f"lo_{c}").eqNullSafe(F.max(f"hi_{c}"))).alias(f"mixed_{c}")
-            for c in ("origin", "model_role", "batch_status")
-        ],
+        F.sum("doubled").alias("doubled"), F.sum("inside").alias("inside"), F.sum("extra").alias("extra"),
+        *[(~F.min(f"lo_{c}").eqNullSafe(F.max(f"hi_{c}"))).alias(f"mixed_{c}") for c in PARTS],
     )
     code = lambda hit, name: F.when(hit, name)
     problems = F.array_compact(
         F.array(
             code(F.col("row_count") != F.col("expected_rows"), "ROW_COUNT"),
             code(F.col("doubled") > 0, "KEY_REPEATED"),
-            code(F.col("lost") > 0, "GRID_CELLS_MISSING"),
+            code(F.col("inside") < F.col("expected_rows"), "GRID_CELLS_MISSING"),
             code(F.col("extra") > 0, "OUTSIDE_GRID"),
             code(F.col("bad") > 0, "FORECAST_INVALID"),
             code(F.col("unrounded") > 0, "ROUNDING"),
@@ -164,3 +159,38 @@ def batch_contract(records: DataFrame, grid: DataFrame, hours: Sequence[int] = S
     return batch.select("batch_id", "row_count", "expected_rows", "full_station_days", problems.alias("problems")).withColumn(
         "publishable", F.size("problems") == 0
     )
+
+
+def batch_contract(records: DataFrame, grid: DataFrame, hours: Sequence[int] = SERVICE_HOURS) -> DataFrame:
+    """One row per batch with the parts of the contract it breaks.
+
+    ``records`` carry local_date and local_hour; ``grid`` is any expected
+    (batch_id, station_id, local_date, local_hour) set, see :func:`expected_grid`.  Rows first shrink to
+    station-days, then to batches, so no batch is ever gathered.
+    """
+    keys = ["batch_id", "station_id", "local_date", "local_hour"]
+    mark = grid.select(*keys, F.lit(1).alias("_want"))
+    both = _cells(records).withColumn("_have", F.lit(1)).join(mark, keys, "full_outer")
+    return _judged(both, hours, F.sum("want"))
+
+
+def origin_contract(
+    records: DataFrame, stations: DataFrame, zone: str, days: int = HORIZON_DAYS, hours: Sequence[int] = SERVICE_HOURS
+) -> DataFrame:
+    """:func:`batch_contract` against the grid of each batch's origin, without building it.
+
+    A cell is wanted if its station is known and its date and hour lie in the
+    horizon of the batch's first origin; how many cells are wanted is stations
+    times days times hours.  Repeated stations count once.
+    """
+    known = stations.filter("station_id is not null").select("station_id").distinct()
+    wanted = known.agg(F.count(F.lit(1)) * (days * len(hours))).scalar()
+    origins = records.groupBy("batch_id").agg(F.min("origin").alias("_origin"))
+    first = F.date_add(F.to_date(F.from_utc_timestamp("_origin", zone)), 1)
+    due = F.col("local_date").between(first, F.date_add(first, days - 1)) & F.col("local_hour").isin(*hours)
+    cells = (
+        _cells(records).withColumn("_have", F.lit(1))
+        .join(origins, "batch_id").join(known.withColumn("_known", F.lit(1)), "station_id", "left")
+        .withColumn("_want", F.when(due, F.col("_known")))
+    )
+    return _judged(cells, hours, F.max(wanted))

@@ -134,8 +134,7 @@ def batch_contract(spark: SparkSession, folder: str) -> DataFrame:
         {"local_date": F.to_date("target_timestamp"), "local_hour": F.when(moved, 13).otherwise(hour).cast("short")}
     )
     kept = materialize(made.filter(~((hour == 8) & (F.col("model_role") == "champion"))))
-    grid = batches.expected_grid(kept, dv.stations(spark, folder), dv.ZONE)
-    out = batches.batch_contract(kept, grid)
+    out = batches.origin_contract(kept, dv.stations(spark, folder), dv.ZONE)
     return out.select(
         "batch_id", "row_count", "expected_rows", F.array_join("problems", ",").alias("problems"), "publishable"
     )

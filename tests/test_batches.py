@@ -44,13 +44,18 @@ def test_grid_records_and_contract(spark):
     # A station without any record is missing too.
     more = batches.expected_grid(keyed, stations.unionByName(stations.limit(1).withColumn("station_id", F.lit("unseen"))), "Europe/Berlin")
     assert batches.batch_contract(keyed, more).first().problems == ["ROW_COUNT", "GRID_CELLS_MISSING"]
+    assert batches.origin_contract(keyed, more.select("station_id"), "Europe/Berlin").first() == batches.batch_contract(keyed, more).first()
     good = batches.batch_contract(keyed, expected).first()
+    assert batches.origin_contract(keyed, stations, "Europe/Berlin").first() == good
     assert good.publishable and good.row_count == 420 and good.full_station_days == 70
     hurt = keyed.filter("not (station_id = '3' and local_hour = 9)").withColumn(
         "model_role", F.when(F.col("station_id") == "1", "other").otherwise(F.col("model_role"))
     )
     bad = batches.batch_contract(hurt.unionByName(keyed.limit(1)), grid).first()
     assert {"GRID_CELLS_MISSING", "KEY_REPEATED", "MIXED_ROLE_OR_STATUS", "ROW_COUNT"} <= set(bad.problems)
+    assert batches.origin_contract(hurt.unionByName(keyed.limit(1)), stations, "Europe/Berlin").first() == bad
+    moved = keyed.withColumn("local_hour", F.when(F.col("local_hour") == 9, 14).otherwise(F.col("local_hour")).cast("short"))
+    assert batches.origin_contract(moved, stations, "Europe/Berlin").first() == batches.batch_contract(moved, grid).first()
 
 
 def test_one_bad_champion_row_turns_the_batch(spark):
