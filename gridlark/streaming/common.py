@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import DataStreamWriter
 
 
@@ -29,3 +32,27 @@ def drain(writer: DataStreamWriter, checkpoint: str) -> None:
     """Runs a stream over all available input and stops."""
     query = writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
+
+
+def keep_state(spark: SparkSession) -> None:
+    """Arbitrary state lives in RocksDB, which spills to disk and uploads its changes to the checkpoint folder."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+def combined(rows: DataFrame, keys: list[str], sums: list[str] = (), least: list[str] = (), most: list[str] = ()) -> DataFrame:
+    """Rows of one key are merged inside each Arrow batch, before the shuffle to their state.
+
+    The result carries no watermark of its own, so the state operator after it
+    sees late rows too and can account for them.
+    """
+    schema = T.StructType([rows.schema[c] for c in (*keys, *sums, *least, *most)])
+    merges = [*((c, "sum") for c in sums), *((c, "min") for c in least), *((c, "max") for c in most)]
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                made = pa.Table.from_batches([batch]).group_by(list(keys)).aggregate(merges)
+                made = made.select([*keys, *(f"{c}_{how}" for c, how in merges)]).rename_columns([*keys, *(c for c, _ in merges)])
+                yield from made.cast(pa.schema([batch.schema.field(c) for c in made.column_names])).to_batches()
+
+    return rows.select(*schema.names).mapInArrow(merge, schema)

@@ -1,18 +1,30 @@
 """Message dedup on a stream of deliveries.
 
-State is a streaming aggregate per (message, digest): counts and first order
+:func:`run` keeps every group for ever. State is a streaming aggregate per (message, digest): counts and first order
 merge on the map side before the shuffle, so a message with very many deliveries
 costs one row per task and batch.  Every batch appends the groups it changed;
 the newest row of a group is its state.
+
+:func:`expiring` forgets. The deliveries of a message that follow each other
+within the horizon are one job; a message that comes again later is a new job,
+a defined and visible one, not a conflict. State is one row per digest of a
+job that is still open, with a timer at its last delivery plus the horizon;
+when the watermark passes it the job is appended and its state goes. Of the
+deliveries of one task and batch, those of one message, digest and day reach
+the state as one row.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from collections.abc import Iterator
+from typing import Any
+
+from pyspark.sql import DataFrame, Row, SparkSession, functions as F, types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from gridlark.functions.hashing import message_key
 from gridlark.operators.messages import CONFLICT_CODE, KEY, add_code
-from gridlark.streaming.common import append_epochs, drain
+from gridlark.streaming.common import append_epochs, combined, drain, keep_state
 
 
 def content_groups(deliveries: DataFrame) -> DataFrame:
@@ -54,3 +66,86 @@ def jobs(spark: SparkSession, table: str) -> DataFrame:
 def first_only(deliveries: DataFrame, horizon: str = "7 days") -> DataFrame:
     """Plain dedup where only the first delivery within a horizon matters."""
     return deliveries.withWatermark("received_at", horizon).dropDuplicatesWithinWatermark(KEY)
+
+
+DAY_MS = 86_400_000
+JOB = "first_at long, last_at long, deliveries long, digests long, conflicts long"
+
+
+class Jobs(StatefulProcessor):
+    """Open jobs of a message: spans of deliveries by digest, closed once the horizon has passed."""
+
+    def __init__(self, horizon_ms: int, names: list[str]) -> None:
+        self.horizon, self.row = horizon_ms, Row(*names)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        #: (first, last) of a stretch of one digest -> its digest and deliveries.
+        self.open = handle.getListState("open", "first_at long, last_at long, digest string, n long")
+
+    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
+        spans = [tuple(s) for s in self.open.get()]
+        spans += [(r.first_at, r.last_at, r.content_digest, r.n) for r in rows]
+        yield from self.settle(key, spans, timerValues)
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
+        yield from self.settle(key, [tuple(s) for s in self.open.get()], timerValues)
+
+    def settle(self, key: Any, spans: list[tuple], timerValues: Any) -> Iterator[Row]:
+        """Close the jobs that nothing on time can reach any more; keep one span per digest of the others."""
+        closed_before = timerValues.getCurrentWatermarkInMs() - self.horizon
+        kept: list[tuple] = []
+        job: list[tuple] = []
+
+        def close() -> Row | None:
+            if not job:
+                return None
+            last = max(s[1] for s in job)
+            by_digest: dict[str, list] = {}
+            for first, end, digest, n in job:
+                held = by_digest.setdefault(digest, [first, end, 0])
+                held[0], held[1], held[2] = min(held[0], first), max(held[1], end), held[2] + n
+            if last >= closed_before:
+                kept.extend((f, e, d, n) for d, (f, e, n) in by_digest.items())
+                self.handle.registerTimer(last + self.horizon + 1)
+                return None
+            own = min(by_digest.items(), key=lambda item: (item[1][0], item[0] or ""))
+            total = sum(v[2] for v in by_digest.values())
+            return self.row(*key, min(s[0] for s in job), last, total, len(by_digest), total - own[1][2])
+
+        reach = None
+        for span in sorted(spans, key=lambda s: (s[0], s[2] or "")):
+            if reach is not None and span[0] > reach + self.horizon:
+                if (row := close()) is not None:
+                    yield row
+                job = []
+                reach = None
+            job.append(span)
+            reach = span[1] if reach is None else max(reach, span[1])
+        if (row := close()) is not None:
+            yield row
+        if kept:
+            self.open.put(kept)
+        else:
+            self.open.clear()
+
+    def close(self) -> None:
+        pass
+
+
+def expiring(deliveries: DataFrame, horizon_days: int = 7, delay: str = "1 day") -> DataFrame:
+    """KEY..., first_at, last_at, deliveries, digests, conflicts of each job that is closed."""
+    keep_state(deliveries.sparkSession)
+    at = F.unix_millis(F.col("received_at").cast("timestamp"))
+    rows = deliveries.filter("received_at is not null").withWatermark("received_at", delay).select(
+        *KEY, "content_digest", F.floor(at / DAY_MS).alias("day"), F.lit(1).cast("bigint").alias("n"), at.alias("first_at"), at.alias("last_at")
+    )
+    merged = combined(rows, [*KEY, "content_digest", "day"], sums=["n"], least=["first_at"], most=["last_at"])
+    schema = T.StructType([*(merged.schema[c] for c in KEY), *T._parse_datatype_string(JOB).fields])
+    out = merged.groupBy(*KEY).transformWithState(Jobs(horizon_days * DAY_MS, schema.names), schema, "append", "EventTime")
+    return out.withColumns({c: F.timestamp_millis(c) for c in ("first_at", "last_at")})
+
+
+def run_expiring(deliveries: DataFrame, table: str, checkpoint: str, horizon_days: int = 7, delay: str = "1 day") -> None:
+    """Appends closed jobs until the input is drained."""
+    drain(expiring(deliveries, horizon_days, delay).writeStream.outputMode("append").foreachBatch(append_epochs(table)), checkpoint)

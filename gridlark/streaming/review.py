@@ -10,17 +10,29 @@ review with very many attempts is never gathered in one task.
 
 An id that comes again is the same attempt; of different contents under one id
 the one that sorts first counts.
+
+:func:`follow` is incremental. Attempts count in the order of their time, then
+their id. A review's state is its standing after all attempts that are final,
+and those ahead that could still apply; attempts that no order can apply are
+counted and dropped at once. A timer at the oldest one ahead makes it final
+when the watermark passes it. Each micro-batch gives the standing of the
+reviews that it touched as if all that has arrived were all there is. Attempts
+older than what a review has made final are late: they come out as rows of
+their own and change nothing.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
+from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Row, SparkSession, functions as F, types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from gridlark.operators.review import NEXT_STATES, may_follow
 from gridlark.session import scratch_path
-from gridlark.streaming.common import append_epochs, drain
+from gridlark.streaming.common import append_epochs, drain, keep_state
 
 ATTEMPT_COLUMNS = ("review_id", "attempt_id", "expected_version", "state", "actor_id")
 UNOWNED = ("PENDING", "CLAIMED", "ERP_CREATED")
@@ -82,3 +94,110 @@ def current_states(spark: SparkSession, table: str) -> DataFrame:
     return counted.join(newest, F.col("review_id").eqNullSafe(F.col("_review")), "left").select(
         "review_id", version.alias("version"), "state", version.alias("applied"), (F.col("attempts") - version).alias("refused")
     )
+
+
+def _reachable() -> list[set[str]]:
+    """For each expected version, the states that some review of that version may take."""
+    now, out = {None}, []
+    while now:
+        targets = {t for s in now for t in (("PENDING",) if s is None else NEXT_STATES[s])}
+        out.append(targets)
+        now = targets
+    return out
+
+
+REACHABLE = _reachable()
+STANDING = "version long, state string, owner string, refused long, final_until long"
+Attempt = tuple  # (time in milliseconds, id, expected version, state, actor)
+
+
+def fold(standing: tuple, attempts: list[Attempt]) -> tuple:
+    """The standing (version, state, owner, refused) after attempts in order."""
+    version, state, owner, refused = standing
+    for _, _, expected, wanted, actor in attempts:
+        follows = wanted == "PENDING" if state is None else wanted in NEXT_STATES[state]
+        if expected == version and follows and (wanted in UNOWNED or owner is None or owner == actor):
+            version, state, owner = version + 1, wanted, actor if wanted == "CLAIMED" else owner
+        else:
+            refused += 1
+    return version, state, owner, refused
+
+
+class Standings(StatefulProcessor):
+    """One review: what is final, and the attempts ahead of it that may still apply."""
+
+    row = Row("review_id", "kind", "version", "state", "refused", "attempt_id")
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.standing = handle.getValueState("standing", STANDING)
+        self.ahead = handle.getListState("ahead", "at long, attempt_id long, expected_version long, state string, actor_id string")
+
+    def load(self) -> tuple[tuple, int, list[Attempt]]:
+        held = self.standing.get()
+        standing, final = (tuple(held[:4]), held[4]) if held is not None else ((0, None, None, 0), -1)
+        return standing, final, [tuple(a) for a in self.ahead.get()]
+
+    def keep(self, standing: tuple, final: int, ahead: list[Attempt]) -> None:
+        self.standing.update((*standing, final))
+        if ahead:
+            self.ahead.put(ahead)
+            self.handle.registerTimer(ahead[0][0] + 1)
+        else:
+            self.ahead.clear()
+
+    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
+        standing, final, ahead = self.load()
+        known = {a[1] for a in ahead}
+        for row in sorted((tuple(r)[1:] for r in rows), key=lambda a: (a[0], a[1], a[2] is not None, a[2] or 0, a[3] or "", a[4] or "")):
+            at, attempt, expected, state, _ = row
+            if attempt in known:
+                continue
+            if at < final:
+                yield self.row(key[0], "late", standing[0], standing[1], standing[3], attempt)
+                continue
+            known.add(attempt)
+            if expected is None or not standing[0] <= expected < len(REACHABLE) or state not in REACHABLE[expected]:
+                standing = (*standing[:3], standing[3] + 1)  # refused in any order
+            else:
+                ahead.append(row)
+        ahead.sort(key=lambda a: a[:2])
+        self.keep(standing, final, ahead)
+        version, state, _, refused = fold(standing, ahead)
+        yield self.row(key[0], "standing", version, state, refused, None)
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
+        standing, final, ahead = self.load()
+        final = max(final, timerValues.getCurrentWatermarkInMs())
+        due = [a for a in ahead if a[0] < final]
+        standing = fold(standing, due)
+        self.keep(standing, final, ahead[len(due) :])
+        yield from ()
+
+    def close(self) -> None:
+        pass
+
+
+def follow(attempts: DataFrame, delay: str = "1 day") -> DataFrame:
+    """review_id, kind (standing or late), version, state, refused, attempt_id (of a late attempt); attempts: ATTEMPT_COLUMNS and attempted_at."""
+    keep_state(attempts.sparkSession)
+    timed = attempts.filter("attempted_at is not null and attempt_id is not null").withWatermark("attempted_at", delay)
+    # The copy of the time carries no watermark, so late attempts reach the state.
+    rows = timed.select(
+        "review_id", F.unix_millis(F.col("attempted_at").cast("timestamp")).alias("at"), F.col("attempt_id").cast("bigint"),
+        F.col("expected_version").cast("bigint"), F.col("state").cast("string"), F.col("actor_id").cast("string"),
+    )
+    schema = T.StructType([rows.schema["review_id"], *T._parse_datatype_string("kind string, version long, state string, refused long, attempt_id long").fields])
+    return rows.groupBy("review_id").transformWithState(Standings(), schema, "update", "EventTime")
+
+
+def run_follow(attempts: DataFrame, table: str, checkpoint: str, delay: str = "1 day") -> None:
+    """Appends the standings that each micro-batch changes, and late attempts, until the input is drained."""
+    drain(follow(attempts, delay).writeStream.outputMode("update").foreachBatch(append_epochs(table)), checkpoint)
+
+
+def standings(spark: SparkSession, table: str) -> DataFrame:
+    """Newest standing of each review."""
+    rows = spark.read.parquet(table).filter("kind = 'standing'")
+    newest = rows.groupBy("review_id").agg(F.max_by(F.struct("version", "state", "refused"), "epoch").alias("s"))
+    return newest.select("review_id", "s.version", "s.state", F.col("s.version").alias("applied"), "s.refused")
