@@ -14,7 +14,9 @@ one anchor form a passage, of at most 2 * WINDOW - ANCHOR bytes.
    with all its places, builds its transform and its common prefixes column by
    column (`columns`), and reads the suffixes in order: runs with common
    prefixes of WINDOW or more are equal windows, and of all their places all
-   but the first in the corpus start earlier elsewhere.
+   but the first in the corpus start earlier elsewhere. Of an anchor whose
+   passages are all the same bytes there is nothing to build: the windows of a
+   passage differ from each other, so all its places but the first go.
 
 Passages are short, so a round inserts one byte of every passage and the
 number of rounds is bounded, whatever the length of the documents. Anchors
@@ -43,7 +45,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gridlark.llm import columns
-from gridlark.llm.common import id_key, mix, parts, pieces, store
+from gridlark.llm.common import id_key, mix, parts, pieces, store, sweep
 from gridlark.session import scratch_path
 
 WINDOW, ANCHOR = 100, 24
@@ -160,8 +162,8 @@ def survey(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "anchor long, ref long, spans struct<doc:long,sub:long,runs:binary>")
 
 
-def cut(text: bytes, start: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Edges of the maximal removed runs of bytes."""
+def cut(start: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges of the maximal runs of bytes that runs of windows cover."""
     if not len(start):
         return start, start
     start, n = spans_of(start, n + WINDOW - 1)
@@ -182,23 +184,13 @@ def kept_text(raw: bytes, begin: np.ndarray, end: np.ndarray) -> str:
 
 
 RESULT = "n_bytes long, n_removed long, n_spans long, result string"
+SPANS = "struct<doc:long,sub:long,runs:binary>"
 
 
-def finished(raw: bytes, start: np.ndarray, n: np.ndarray, finish: Callable) -> tuple[int, int, int, str]:
-    begin, end = cut(raw, start, n)
-    return len(raw), int((end - begin).sum()), len(begin), finish(raw, begin, end)
+def open_passages(docs: DataFrame) -> DataFrame:
+    """key, doc, sub, start, passage of docs (doc, sub, text, marks, spans): marks are anchors that repeat, with whether they are hot; spans are decided."""
 
-
-def schema_of(rest: T.StructField, more: str) -> T.StructType:
-    return T.StructType([rest, *T._parse_datatype_string(more).fields])
-
-
-def extract(docs: DataFrame, finish: Callable) -> DataFrame:
-    """docs: doc, sub, rest, text, marks (anchors that repeat, with whether they are hot), spans (decided). Finished rows, or rows with open passages."""
-    opened_type = pa.list_(pa.struct([("key", pa.int64()), ("start", pa.int32()), ("passage", pa.binary())]))
-    types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), opened_type)
-
-    def open_passages(raw: bytes, marks: pa.StructScalar, start: np.ndarray, n: np.ndarray) -> list[tuple[int, int, bytes]]:
+    def found(raw: bytes, marks: pa.ListScalar, start: np.ndarray, n: np.ndarray) -> tuple[list[int], list[int], list[bytes]]:
         anchor, first, size = passages(raw)
         listed, hot = (marks.values.field(i).to_numpy(zero_copy_only=False) for i in (0, 1))
         wanted = np.isin(anchor, listed)
@@ -207,53 +199,72 @@ def extract(docs: DataFrame, finish: Callable) -> DataFrame:
             start, n = spans_of(start, n)
             span = np.searchsorted(start, first, side="right") - 1
             wanted &= (span < 0) | (first + size > (start + n)[span])
-        out = []
-        for key, begin, count in zip(anchor[wanted].tolist(), first[wanted].tolist(), size[wanted].tolist()):
-            if not hot.any() or key not in listed[hot]:
-                out.append((key, begin, raw[begin : begin + count + WINDOW - 1]))
-                continue
-            windows = [raw[at : at + WINDOW] for at in range(begin, begin + count)]
-            out += [(window_key(w), at, w) for at, w in enumerate(windows, begin)]
-        return out
+        anchor, first, size = anchor[wanted], first[wanted], size[wanted]
+        if not hot.any():
+            return anchor.tolist(), first.tolist(), [raw[a:b] for a, b in zip(first.tolist(), (first + size + WINDOW - 1).tolist())]
+        # Windows of hot anchors are passages of their own.
+        split = np.isin(anchor, listed[hot])
+        count = np.where(split, size, 1)
+        step = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        start = np.repeat(first, count) + step
+        end = start + np.where(split, 1, size).repeat(count) + WINDOW - 1
+        cuts = [raw[a:b] for a, b in zip(start.tolist(), end.tolist())]
+        keys = [window_key(c) if s else a for c, s, a in zip(cuts, split.repeat(count).tolist(), anchor.repeat(count).tolist())]
+        return keys, start.tolist(), cuts
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in pieces(batches, "text", BLOCK_BYTES):
-            rows: list[tuple] = []
+        for block in pieces(batches, "text", BLOCK_BYTES // 4):
+            keys, starts, cuts, counts = [], [], [], []
             for doc, sub, text, marks, spans in zip(*(block[c].to_pylist() for c in ("doc", "sub", "text")), block["marks"], block["spans"].to_pylist()):
-                raw = text.encode("utf-8", "replace")
-                done = [unpacked(s["runs"]) for s in spans or () if (s["doc"], s["sub"]) == (doc, sub)]
+                done = [unpacked(s["runs"]) for s in spans if (s["doc"], s["sub"]) == (doc, sub)]
                 start, n = (np.concatenate([d[i] for d in done] + [np.zeros(0, np.int64)]) for i in (0, 1))
-                opened = open_passages(raw, marks, start, n) if marks.is_valid and len(marks) else []
-                if opened:
-                    keys, starts, cuts = zip(*opened)
-                    rows.append((None, None, None, text, packed(start, n), [{"key": k, "start": s, "passage": p} for k, s, p in zip(keys, starts, cuts)]))
-                else:
-                    rows.append((*finished(raw, start, n, finish), None, None))
-            yield pa.RecordBatch.from_arrays(
-                [block["doc"], block["sub"], block["rest"], *(pa.array([r[i] for r in rows], t) for i, t in enumerate(types))],
-                ["doc", "sub", "rest", "n_bytes", "n_removed", "n_spans", "result", "spans", "open"])
+                made = found(text.encode("utf-8", "replace"), marks, start, n)
+                for held, more in zip((keys, starts, cuts), made):
+                    held += more
+                counts.append(len(made[0]))
+            doc, sub = (np.repeat(block[c].to_numpy(), counts) for c in ("doc", "sub"))
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(doc), pa.array(sub), pa.array(starts, pa.int32()), pa.array(cuts, pa.binary())],
+                                             ["key", "doc", "sub", "start", "passage"])
 
-    more = f"{RESULT}, spans binary, open array<struct<key:long,start:int,passage:binary>>"
-    schema = T.StructType([docs.schema["doc"], docs.schema["sub"], *schema_of(docs.schema["rest"], more).fields])
-    return docs.select("doc", "sub", "rest", "text", "marks", "spans").mapInArrow(run, schema)
+    return docs.select("doc", "sub", "text", "marks", "spans").mapInArrow(run, "key long, doc long, sub long, start int, passage binary")
 
 
 def window_key(window: bytes) -> int:
     return int.from_bytes(hashlib.blake2b(window, digest_size=8).digest(), "little", signed=True)
 
 
-def late_windows(passages_: list[bytes], order: list[tuple[int, int, int]], folder: str | None = None, **sizes: int) -> tuple[np.ndarray, np.ndarray]:
-    """Passage and offset of each window that an earlier place holds too. order: (doc, sub, start) of each passage, ascending."""
-    place = np.array(order, np.int64).reshape(-1, 3)
+def late_windows(keys: list[int], places: list[tuple[int, int, int]], cuts: list[bytes], folder: str | None = None, **sizes: int) -> tuple[np.ndarray, np.ndarray]:
+    """Passage and offset of each window that an earlier place holds too. places: (doc, sub, start) of each passage, ascending."""
+    place = np.array(places, np.int64).reshape(-1, 3)
     # Documents get one number, so that a window's place is one number too.
     ids = np.zeros(len(place), np.int64)
     ids[1:] = np.cumsum((place[1:, :2] != place[:-1, :2]).any(axis=1))
     rank = ids << 40 | place[:, 2]
-    numbers: dict[bytes, int] = {}
-    which = np.array([numbers.setdefault(p, len(numbers)) for p in passages_], np.int64)
-    sequences = list(numbers)
-    first = np.full(len(sequences), np.iinfo(np.int64).max)
+    numbers: dict[tuple[int, bytes], int] = {}
+    which = np.array([numbers.setdefault(c, len(numbers)) for c in zip(keys, cuts)], np.int64)
+    first = np.full(len(numbers), np.iinfo(np.int64).max)
     np.minimum.at(first, which, rank)
+    count = np.fromiter((len(c) for _, c in numbers), np.int64, len(numbers)) - WINDOW + 1
+    begin = np.cumsum(count) - count
+    # The first place of every window of every different passage: its own, unless a collection knows better.
+    least = np.repeat(first - begin, count) + np.arange(count.sum())
+    key = np.fromiter((k for k, _ in numbers), np.int64, len(numbers))
+    _, group, members = np.unique(key, return_inverse=True, return_counts=True)
+    several = np.flatnonzero(members[group] > 1)
+    if len(several):
+        different = list(numbers)
+        sequence, offset, earliest = earliest_places([different[i][1] for i in several.tolist()], first[several], folder, **sizes)
+        least[begin[several][sequence] + offset] = earliest
+    # Every place of a passage has the windows of its sequence.
+    own = count[which]
+    copies = np.repeat(np.arange(len(which)), own)
+    step = np.arange(len(copies)) - np.repeat(np.cumsum(own) - own, own)
+    late = rank[copies] + step > least[begin[which[copies]] + step]
+    return copies[late], step[late]
+
+
+def earliest_places(sequences: list[bytes], first: np.ndarray, folder: str | None, **sizes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sequence, offset and the least place of all equal windows, for each window of the sequences, which start at `first`."""
     lengths = np.fromiter(map(len, sequences), np.int64, len(sequences))
     built = columns.build(sequences, folder=folder, **sizes)
     labels, groups, now = [], [], 0
@@ -269,16 +280,7 @@ def late_windows(passages_: list[bytes], order: list[tuple[int, int, int]], fold
     offset = lengths[sequence] - (label & ((1 << columns.LENGTH_BITS) - 1))
     new = np.ones(len(group), bool)
     new[1:] = group[1:] != group[:-1]
-    least = np.minimum.reduceat(first[sequence] + offset, np.flatnonzero(new))[np.cumsum(new) - 1]
-    # Every place of a passage has the windows of its sequence.
-    by_sequence = np.lexsort((offset, sequence))
-    least = least[by_sequence]
-    count = lengths - WINDOW + 1
-    begin = np.cumsum(count) - count
-    copies = np.repeat(np.arange(len(which)), count[which])
-    step = np.arange(len(copies)) - np.repeat(np.cumsum(count[which]) - count[which], count[which])
-    late = rank[copies] + step > least[begin[which[copies]] + step]
-    return copies[late], step[late]
+    return sequence, offset, np.minimum.reduceat(first[sequence] + offset, np.flatnonzero(new))[np.cumsum(new) - 1]
 
 
 def match(opened: DataFrame) -> DataFrame:
@@ -293,7 +295,7 @@ def match(opened: DataFrame) -> DataFrame:
         def close() -> pa.RecordBatch:
             nonlocal size
             held.sort(key=lambda r: r[1:4])
-            sequence, offset = late_windows([r[4] for r in held], [r[1:4] for r in held], folder)
+            sequence, offset = late_windows([r[0] for r in held], [r[1:4] for r in held], [r[4] for r in held], folder)
             place = np.array([r[1:4] for r in held], np.int64).reshape(-1, 3)[sequence]
             start = place[:, 2] + offset
             order = np.lexsort((start, place[:, 1], place[:, 0]))
@@ -323,38 +325,37 @@ def match(opened: DataFrame) -> DataFrame:
 
 def remove(docs: DataFrame, finish: Callable[[bytes, np.ndarray, np.ndarray], str]) -> DataFrame:
     """docs: doc, sub, text, rest. Gives rest and RESULT, where result is finish(bytes, begins, ends of removed runs)."""
+    spark = docs.sparkSession
     docs = docs.withColumn("ref", F.xxhash64("doc", "sub"))
     found = store(survey(docs.select("doc", "sub", "ref", "text")), "suffix-survey")
     group = Window.partitionBy("anchor")
     repeats = found.where("anchor IS NOT NULL").select("anchor", "ref").withColumn("n", F.count(F.lit(1)).over(group)).where("n > 1")
-    marks = repeats.select("ref", F.struct("anchor", (F.col("n") > HOT).alias("hot")).alias("mark"), F.lit(None).cast(found.schema["spans"].dataType).alias("spans"))
-    decided = found.where("anchor IS NULL").select("ref", F.lit(None).cast(marks.schema["mark"].dataType).alias("mark"), "spans")
-    by_doc = marks.unionByName(decided).groupBy("ref").agg(F.collect_set("mark").alias("marks"), F.collect_set("spans").alias("spans"))
-    once = stored_small(extract(docs.join(by_doc, "ref", "left"), finish), "suffix-passages")
-    opened = once.where("open IS NOT NULL").select("doc", "sub", F.explode("open").alias("o")).select("o.key", "doc", "sub", "o.start", "o.passage")
-    late = store(match(opened), "suffix-late").groupBy("doc", "sub").agg(F.collect_list("spans").alias("late"))
-
-    def complete(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    marks = repeats.select("ref", F.struct("anchor", (F.col("n") > HOT).alias("hot")).alias("mark"), F.lit(None).cast(SPANS).alias("spans"))
+    decided = found.where("anchor IS NULL").select("ref", "spans")
+    marked = marks.unionByName(decided, allowMissingColumns=True).groupBy("ref").agg(F.collect_set("mark").alias("marks"), F.collect_set("spans").alias("spans"))
+    marked = store(marked.where(F.size("marks") > 0), "suffix-marks")
+    sweep(spark)
+    opened = open_passages(docs.select("doc", "sub", "ref", "text").join(marked, "ref"))
+    late = store(match(opened), "suffix-late")
+    sweep(spark)
+    late = late.select(F.xxhash64("doc", "sub").alias("ref"), F.struct("doc", "sub", F.col("spans").alias("runs")).alias("spans"))
+    gone = decided.union(late).groupBy("ref").agg(F.collect_list("spans").alias("spans"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types = (pa.int64(), pa.int64(), pa.int64(), pa.string())
-        for block in pieces(batches, "result", BLOCK_BYTES):
+        for block in pieces(batches, "text", BLOCK_BYTES):
             rows = []
-            for text, spans, more in zip(*(block[c].to_pylist() for c in ("result", "spans", "late"))):
-                both = [unpacked(s) for s in (spans, *(more or ()))]
-                start, n = (np.concatenate([b[i] for b in both]) for i in (0, 1))
-                rows.append(finished(text.encode("utf-8", "replace"), start, n, finish))
+            for doc, sub, text, spans in zip(*(block[c].to_pylist() for c in ("doc", "sub", "text", "spans"))):
+                own = [unpacked(s["runs"]) for s in spans or () if (s["doc"], s["sub"]) == (doc, sub)]
+                start, n = (np.concatenate([d[i] for d in own] + [np.zeros(0, np.int64)]) for i in (0, 1))
+                raw = text.encode("utf-8", "replace")
+                begin, end = cut(start, n)
+                rows.append((len(raw), int((end - begin).sum()), len(begin), finish(raw, begin, end)))
             yield pa.RecordBatch.from_arrays([block["rest"], *(pa.array([r[i] for r in rows], t) for i, t in enumerate(types))],
                                              ["rest", "n_bytes", "n_removed", "n_spans", "result"])
 
-    names = ["rest", "n_bytes", "n_removed", "n_spans", "result"]
-    waiting = once.where("open IS NOT NULL").select("doc", "sub", "rest", "result", "spans").join(late, ["doc", "sub"], "left")
-    return once.where("open IS NULL").select(names).unionByName(waiting.mapInArrow(complete, schema_of(docs.schema["rest"], RESULT)))
-
-
-def stored_small(df: DataFrame, label: str) -> DataFrame:
-    """As store(), with the compression that sees through passages which overlap."""
-    path = scratch_path(df.sparkSession, label)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    schema = T.StructType([docs.schema["rest"], *T._parse_datatype_string(RESULT).fields])
+    return docs.join(gone, "ref", "left").select("doc", "sub", "rest", "text", "spans").mapInArrow(run, schema)
 
 
 def keyed(df: DataFrame, id_col: str, text_col: str, rest: list) -> DataFrame:

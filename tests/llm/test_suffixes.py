@@ -121,8 +121,9 @@ def test_late_windows_through_files(tmp_path):
     starts = sorted(rng.sample(range(430), 25))
     sequences = [text[s : s + rng.randint(100, 170)] for s in starts]
     order = [(i, 0, 7) for i in range(len(sequences))]
-    plainly = suffixes.late_windows(sequences, order)
-    filed = suffixes.late_windows(sequences, order, str(tmp_path), memory=0, segment=500)
+    keys = [5] * len(sequences)
+    plainly = suffixes.late_windows(keys, order, sequences)
+    filed = suffixes.late_windows(keys, order, sequences, str(tmp_path), memory=0, segment=500)
     assert sorted(zip(*(x.tolist() for x in plainly))) == sorted(zip(*(x.tolist() for x in filed)))
     first, want = {}, []
     for n, s in enumerate(sequences):
