@@ -3,16 +3,18 @@
 An embedding's code has one bit for the sign of each of its first 64
 components. Codes are cut into four segments of 16 bits. If two codes differ
 in at most 4 * (r + 1) - 1 bits, some segment differs in at most r. So radius
-r is grown from 0: the distinct segment values of the open queries are probed
-with all masks of exactly r bits, those that the index holds bring their
-codes, and these are verified by their full distance. A query is closed once
-its k-th best row lies within the distance that radius r provably covers. This
-holds for every size of the table; there is no other path.
-
-A pair counts in the first segment of the smallest difference, so it comes
-once in all rounds. A query keeps its k best codes between rounds. A segment
-has at most 65,536 values, which bounds the probes of a round whatever the
-number of queries; joins are by shuffle, never by a broadcast.
+r is grown from 0: the segment values of the open queries are probed with all
+masks of exactly r bits, the codes that hold such a value are candidates, and
+these are verified by their full distance. A query is closed once its k-th
+best row lies within the distance that radius r provably covers. This holds
+for every size of the table; there is no other path.
+
+The index is dealt in blocks of bounded size, each with one table for every
+segment, and blocks of queries meet them; candidates are verified where they
+are found and never become rows. A pair counts in the first segment of the
+smallest difference, so it comes once in all rounds; a block gives at most k
+codes for a query and round, and a query keeps its k best between rounds.
+Nothing is broadcast.
 
 Equal codes are one entry with a count and its k smallest ids, so a vector
 that a third of all rows share is one candidate and one query. Rounds are
@@ -28,13 +30,18 @@ from __future__ import annotations
 
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridlark.llm.common import store
+from gridlark.llm.common import parts, store
 
 BITS, SEGMENTS = 64, 4
 WIDTH = BITS // SEGMENTS
+#: Codes or queries of a block; probes that a task makes at once.
+BLOCK, PROBES = 200_000, 1 << 19
 
 
 def code_of(embedding: Column) -> Column:
@@ -46,14 +53,6 @@ def code_of(embedding: Column) -> Column:
     return code
 
 
-def segment(code: Column, i: int) -> Column:
-    return F.shiftrightunsigned(code, WIDTH * i).bitwiseAND((1 << WIDTH) - 1).cast("int")
-
-
-def distance(a: Column, b: Column) -> Column:
-    return F.bit_count(a.bitwiseXOR(b))
-
-
 def masks(radius: int) -> list[int]:
     """All segment values with exactly `radius` bits."""
     return [sum(1 << i for i in chosen) for chosen in combinations(range(WIDTH), radius)]
@@ -66,27 +65,60 @@ def smallest_ids(rows: DataFrame, k: int) -> DataFrame:
     return first.groupBy("code").agg(F.sort_array(F.collect_list("id")).alias("ids")).join(counted, "code")
 
 
-def segments(codes: DataFrame, *kept: str) -> DataFrame:
-    """A row (s, value) for each segment of each code."""
-    return codes.select(*kept, F.posexplode(F.array(*(segment(F.col("code"), i) for i in range(SEGMENTS)))).alias("s", "value"))
-
-
-def probe(open_: DataFrame, index: DataFrame, radius: int) -> DataFrame:
-    """query, code, distance, n, ids: pairs whose closest segment differs in exactly `radius` bits."""
-    asked = segments(open_, "code").withColumnRenamed("code", "query")
-    # One literal instead of thousands keeps the plan small.
-    mask_list = F.split(F.lit(",".join(map(str, masks(radius)))), ",").cast("array<int>")
-    tried = asked.select("s", F.col("value").alias("own")).distinct().select("s", "own", F.explode(mask_list).alias("mask"))
-    tried = tried.select("s", "own", F.col("own").bitwiseXOR(F.col("mask")).alias("value"))
-    entries = segments(index, "code", "n", "ids")
-    found = tried.join(entries.select("s", "value").distinct().hint("merge"), ["s", "value"])
-    asked = asked.withColumnRenamed("value", "own").join(found.hint("merge"), ["s", "own"])
-    pairs = asked.join(entries.hint("merge"), ["s", "value"])
-    first = F.lit(True)
-    for i in range(SEGMENTS):
-        apart = distance(segment(F.col("query"), i), segment(F.col("code"), i))
-        first = first & F.when(F.col("s") > i, apart > radius).otherwise(apart >= radius)
-    return pairs.where(first).select("query", "code", distance(F.col("query"), F.col("code")).alias("distance"), "n", "ids")
+def closest(query: np.ndarray, code: np.ndarray, least_id: np.ndarray, radius: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of query and code and their distance: for each query the k best codes whose closest segment differs in exactly `radius` bits."""
+    flips = np.array(masks(radius), np.uint64)
+    low = np.uint64((1 << WIDTH) - 1)
+    tables = []
+    for s in range(SEGMENTS):
+        value = (code >> np.uint64(WIDTH * s) & low).astype(np.int64)
+        tables.append((np.argsort(value, kind="stable"), np.append(0, np.cumsum(np.bincount(value, minlength=1 << WIDTH)))))
+    best: list[tuple[np.ndarray, ...]] = []
+    width = max(1, PROBES // len(flips))
+    for begin in range(0, len(query), width):
+        asked = query[begin : begin + width]
+        found = []
+        for s, (order, start) in enumerate(tables):
+            tried = ((asked >> np.uint64(WIDTH * s) & low)[:, None] ^ flips).astype(np.int64)
+            count = start[tried + 1] - start[tried]
+            who = np.repeat(np.arange(len(asked)), count.sum(axis=1))
+            count, first = count.ravel(), start[tried].ravel()
+            at = order[np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(first, count)]
+            apart = asked[who] ^ code[at]
+            new = np.ones(len(at), bool)
+            for t in range(SEGMENTS):
+                bits = np.bitwise_count(apart >> np.uint64(WIDTH * t) & low)
+                new &= bits > radius if t < s else bits >= radius
+            found.append((who[new] + begin, at[new], np.bitwise_count(apart[new])))
+        who, at, apart = (np.concatenate(x) for x in zip(*found))
+        order = np.lexsort((least_id[at], apart, who))
+        who, at, apart = who[order], at[order], apart[order]
+        rank = np.arange(len(who)) - np.searchsorted(who, who)
+        best.append((who[rank < k], at[rank < k], apart[rank < k]))
+    return tuple(np.concatenate(x) for x in zip(*best))
+
+
+def probe(open_: DataFrame, index: DataFrame, radius: int, k: int, codes: int, queries: int) -> DataFrame:
+    """query, code, distance, n, ids: the k best of each block for each open query, of pairs whose closest segment differs in exactly `radius` bits."""
+    blocks = max(parts(index.sparkSession), -(-codes // BLOCK))
+    groups = -(-queries // BLOCK)
+    entries = index.select("*", F.pmod(F.xxhash64("code"), F.lit(blocks)).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("part"))
+    asked = open_.select(F.col("code").alias("query"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"),
+                         F.pmod(F.xxhash64("code"), F.lit(groups)).cast("int").alias("part"))
+
+    pairs = pa.schema([("query", pa.int64()), ("code", pa.int64()), ("distance", pa.int32()), ("n", pa.int64()), ("ids", pa.list_(pa.int64()))])
+
+    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return pairs.empty_table()
+        code, query = (t.column(c).to_numpy().view(np.uint64) for t, c in ((left, "code"), (right, "query")))
+        least = pc.list_element(left.column("ids"), 0).to_numpy()
+        who, at, apart = closest(query, code, least, radius, k)
+        rows = left.select(["code", "n", "ids"]).take(pa.array(at))
+        return pa.table({"query": right.column("query").take(pa.array(who)), "code": rows["code"], "distance": pa.array(apart, pa.int32()), "n": rows["n"], "ids": rows["ids"]}).cast(pairs)
+
+    grouped = entries.groupBy("block", "part").cogroup(asked.groupBy("block", "part"))
+    return grouped.applyInArrow(meet, "query long, code long, distance int, n long, ids array<long>")
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -98,15 +130,16 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "v
 
     index = store(smallest_ids(coded(vectors), k), "codes")
     asked = store(coded(queries), "queries")
-    wanted = min(k, index.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows")).first()["rows"])
+    size = index.agg(F.count(F.lit(1)).alias("codes"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows")).first()
+    wanted = min(k, size["rows"])
     open_ = store(asked.select("code").distinct(), "open-queries")
     nearest = Window.partitionBy("query").orderBy("distance", F.get("ids", F.lit(0)))
     held = None
     done = []
     for radius in range(WIDTH + 1):
-        if not wanted or open_.isEmpty():
+        if not wanted or not (left := open_.count()):
             break
-        found = probe(open_, index, radius)
+        found = probe(open_, index, radius, k, size["codes"], left)
         if held is not None:
             found = found.unionByName(held.join(open_.select(F.col("code").alias("query")).hint("merge"), "query", "left_semi"))
         held = store(found.withColumn("at", F.row_number().over(nearest)).where(F.col("at") <= k).drop("at"), f"near-{radius}")
