@@ -1,9 +1,15 @@
-"""Exact encoding with a public tokenizer file, one library call per new word.
+"""Exact encoding with a public tokenizer file, each new piece of text encoded once.
 
 A text is cut where the tokenizer cuts anyway, so the ids of a text are the
 ids of its chunks in order. Full stops and commas after a letter or digit are
 a piece of their own for these tokenizers, so a chunk is a core and a tail.
-Each worker remembers bounded numbers of chunks and of cores; what is not
+The missing cores of a block go to the library as one text, joined by a
+special token, which the tokenizer always takes out before anything else; the
+ids between its ids are those of the cores.
+
+A worker remembers chunks and cores in two generations: what a block uses is
+moved to the young one, and when that is full the old one goes. So frequent
+chunks stay whenever they first come, and memory is bounded; what is not
 remembered is encoded again.
 """
 
@@ -18,13 +24,41 @@ from tokenizers import Tokenizer
 
 from gridlark.llm.common import claim
 
-#: Entries that a worker remembers, each of about 200 bytes.
-CHUNKS, CORES = 250_000, 500_000
+#: Entries of one generation, each of about 200 bytes.
+CHUNKS, CORES = 200_000, 250_000
+#: Cores in one call of the library.
+JOINED = 2_000
 #: Runs of white space and the marker need the whole text at once.
 _WHOLE = re.compile(r"\s\s|\x00")
 _ENDS = frozenset(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")
 
 
+class Memory:
+    """Packed ids by text, in two generations."""
+
+    def __init__(self, size: int) -> None:
+        self.size = size
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+
+    def find(self, wanted: set[bytes]) -> tuple[dict[bytes, bytes], list[bytes]]:
+        """What is remembered of the wanted texts, and what is not."""
+        young, old = self.young, self.old
+        found = {w: young[w] for w in young.keys() & wanted} if len(wanted) < len(young) else {w: v for w, v in young.items() if w in wanted}
+        missing = []
+        for text in wanted - found.keys():
+            if (ids := old.get(text)) is None:
+                missing.append(text)
+            else:
+                found[text] = young[text] = ids
+        return found, missing
+
+    def add(self, made: dict[bytes, bytes]) -> None:
+        self.young.update((w, v) for w, v in made.items() if len(w) < 64)
+        if len(self.young) > self.size:
+            self.old, self.young = self.young, {}
+
+
 class ChunkEncoder:
     """Texts to packed ids.
 
@@ -40,8 +74,11 @@ class ChunkEncoder:
         self.dtype = np.dtype(dtype)
         self.chunks = {"word": self.words, "byte": self.spaced}[cut]
         self.folds = cut == "word"
-        self.known: dict[bytes, bytes] = {}
-        self.cores: dict[bytes, bytes] = {}
+        self.known, self.cores = Memory(CHUNKS), Memory(CORES)
+        # A special token that takes no white space with it parts joined cores.
+        parting = [(i, t.content) for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special and not (t.lstrip or t.rstrip or t.normalized or t.single_word)]
+        self.part_id, self.part = parting[0] if parting else (None, None)
+        self.specials = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
 
     @staticmethod
     def words(text: str) -> list[bytes]:
@@ -58,8 +95,22 @@ class ChunkEncoder:
         return np.array(ids, self.dtype).tobytes()
 
     def library(self, pieces: list[bytes]) -> dict[bytes, bytes]:
-        made = self.tokenizer.encode_batch_fast([p.decode("utf-8") for p in pieces], add_special_tokens=False)
-        return {p: self.pack(e.ids) for p, e in zip(pieces, made)}
+        """Packed ids of each piece."""
+        alone = [p for p in pieces if self.part is None or any(s in p for s in self.specials)]
+        made = self.tokenizer.encode_batch_fast([p.decode("utf-8") for p in alone], add_special_tokens=False)
+        out = {p: self.pack(e.ids) for p, e in zip(alone, made)}
+        if len(alone) == len(pieces):
+            return out
+        joint = [p for p in pieces if p not in out]
+        width = self.dtype.itemsize
+        for low in range(0, len(joint), JOINED):
+            group = joint[low : low + JOINED]
+            text = self.part.join([p.decode("utf-8") for p in group])
+            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int64)
+            cuts = np.flatnonzero(ids == self.part_id)
+            raw = ids.astype(self.dtype).tobytes() if self.part_id <= np.iinfo(self.dtype).max else np.where(ids == self.part_id, 0, ids).astype(self.dtype).tobytes()
+            out.update((p, raw[a:b]) for p, a, b in zip(group, [0, *((cuts + 1) * width).tolist()], [*(cuts * width).tolist(), len(raw)]))
+        return out
 
     def split(self, chunk: bytes) -> tuple[bytes, bytes]:
         """Core and tail: encoded apart, they give the ids of the chunk."""
@@ -72,27 +123,22 @@ class ChunkEncoder:
     def learn(self, new: list[bytes]) -> dict[bytes, bytes]:
         """Packed ids of chunks that are not remembered."""
         halves = [self.split(c) for c in new]
-        missing = list({p for pair in halves for p in pair if p not in self.cores})
-        fresh = self.library(missing) if missing else {}
-        cores = self.cores
-        made = {c: (fresh[a] if a in fresh else cores[a]) + (fresh[b] if b in fresh else cores[b]) for c, (a, b) in zip(new, halves)}
-        if len(cores) < CORES:
-            cores.update((p, v) for p, v in fresh.items() if len(p) < 64)
-        if len(self.known) < CHUNKS:
-            self.known.update((c, v) for c, v in made.items() if len(c) < 64)
+        cores, missing = self.cores.find({p for pair in halves for p in pair})
+        if missing:
+            fresh = self.library(missing)
+            cores.update(fresh)
+            self.cores.add(fresh)
+        made = {c: cores[a] + cores[b] if b else cores[a] for c, (a, b) in zip(new, halves)}
+        self.known.add(made)
         return made
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text, little-endian; none for NULL."""
         lists = [self.chunks(t) if t else [] for t in texts]
-        known = self.known
-        distinct = set(chain.from_iterable(lists))
-        new = [c for c in distinct if c not in known]
+        found, new = self.known.find(set(chain.from_iterable(lists)))
         if new:
-            made = self.learn(new)
-            # Chunks of this block alone: what is not remembered must still be found.
-            known = {c: made[c] if c in made else known[c] for c in distinct}
-        get = known.__getitem__
+            found.update(self.learn(new))
+        get = found.__getitem__
         return [b"".join(map(get, chunks)) for chunks in lists]
 
 
