@@ -18,6 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridlark.operators.ordered import number_rows
 from gridlark.session import scratch_path
 
 #: White space that separates words: space and \\t \\n \\v \\f \\r. bytes.split() splits at the same.
@@ -121,3 +122,13 @@ NO_ID = 1 << 62
 def id_key(id_col: Column, text: Column) -> Column:
     """An id for joins and order: a NULL id comes after all others and is told apart by its text."""
     return F.coalesce(id_col.cast("long"), F.xxhash64(text.cast("string")).bitwiseAND(NO_ID - 1) + F.lit(NO_ID))
+
+
+def tell_apart(docs: DataFrame, key: str = "doc", text: str = "text") -> DataFrame:
+    """The documents with keys of their own: where a key comes with several texts, keys become places in the order of (key, hash of the text)."""
+    marks = docs.select(key, F.xxhash64(text).alias("_mark"))
+    if marks.groupBy(key).agg(F.min("_mark").alias("low"), F.max("_mark").alias("high")).where("low <> high").isEmpty():
+        return docs
+    places = number_rows(marks.distinct(), [key, "_mark"], "_place").withColumnRenamed(key, "_key")
+    joined = docs.join(places, (F.col(key) == F.col("_key")) & (F.xxhash64(text) == F.col("_mark")))
+    return joined.withColumn(key, F.col("_place")).select(docs.columns)

@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridlark.llm.common import NO_ID, gram_hashes, hash_words, id_key, mix, narrow, pieces, store
+from gridlark.llm.common import NO_ID, gram_hashes, hash_words, id_key, mix, narrow, pieces, store, tell_apart
 from gridlark.llm.graph import components
 
 BLOCK_BYTES = 4_000_000
@@ -317,11 +317,10 @@ def near_duplicates(df: DataFrame, k: int = 5, percent: int = 80, id_col: str =
 
 
 def deduplicate(df: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each component, with all its columns."""
-    kept = near_duplicates(df, k, percent, id_col, text_col).where("kept").select(F.col("key_id").alias("kept_id")).distinct()
-    key = id_key(F.col(id_col), F.col(text_col))
-    rows = df.select(F.struct(*df.columns).alias("row"), key.alias("kept_id")).join(kept, "kept_id", "left_semi")
-    return rows.dropDuplicates(["kept_id"]).select("row.*")
+    """One row of each component, with all its columns. Texts that differ under one id are documents of their own."""
+    rows = tell_apart(df.select(F.struct(*df.columns).alias("row"), id_key(F.col(id_col), F.col(text_col)).alias("doc"), F.col(text_col).cast("string").alias("text")))
+    kept = near_duplicates(rows, k, percent, "doc", "text").where("kept").select(F.col("key_id").alias("doc")).distinct()
+    return rows.join(kept, "doc", "left_semi").dropDuplicates(["doc"]).select("row.*")
 
 
 #: For sets of four-word runs and 80 %.

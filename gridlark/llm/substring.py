@@ -22,7 +22,9 @@ one for each distinct window. The result does not depend on which are.
 Windows are judged on the input. NULL and short texts lose nothing. A NULL id
 comes after all others, told apart by its text. A row that repeats an id and
 its text is the same document and starts nowhere earlier; texts that differ
-under one id are outside the contract (each gets the removals of both).
+under one id are documents of their own, in the order of their hashes. Texts
+are taken whole, however long; an empty table gives no rows. Only the id and
+the text are read, so other columns cannot clash.
 """
 
 from __future__ import annotations
@@ -36,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridlark.llm.common import gram_hashes, hash_words, id_key, mix, parts, pieces, store
+from gridlark.llm.common import gram_hashes, hash_words, id_key, mix, parts, pieces, store, tell_apart
 
 WINDOW, ANCHOR = 20, 6
 BLOCK_BYTES = 4_000_000
@@ -250,6 +252,7 @@ def kept_text(raw: bytes, gone: np.ndarray | None) -> str:
 def remove(docs: DataFrame, finish: Callable[[bytes, np.ndarray | None], str]) -> DataFrame:
     """docs: doc, text, rest. Gives doc, rest, n_words, n_removed and result, which is finish(text, removed words); NULL for NULL."""
     spark = docs.sparkSession
+    docs = tell_apart(docs)
     texts = docs.select("doc", "text")
     sample = find_passages(texts.sample(SAMPLE, seed=11), np.zeros(0, np.uint64)).where(~F.col("decided")).groupBy("anchor").agg(F.count(F.lit(1)).alias("n"))
     sample = store(sample, "anchor-sample")
