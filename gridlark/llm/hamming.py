@@ -10,7 +10,7 @@ best row lies within the distance that radius r provably covers. This holds
 for every size of the table; there is no other path.
 
 The index is dealt in blocks of bounded size, each with one table for every
-segment, and blocks of queries meet them; candidates are verified where they
+segment, and a fixed number of groups of queries meet each; candidates are verified where they
 are found and never become rows. A pair counts in the first segment of the
 smallest difference, so it comes once in all rounds; a block gives at most k
 codes for a query and round, and a query keeps its k best between rounds.
@@ -36,12 +36,12 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridlark.llm.common import parts, store
+from gridlark.llm.common import store
 
 BITS, SEGMENTS = 64, 4
 WIDTH = BITS // SEGMENTS
-#: Codes or queries of a block; probes that a task makes at once.
-BLOCK, PROBES = 200_000, 1 << 19
+#: Codes of a block; groups of queries that meet each block; probes that a task makes at once.
+BLOCK, GROUPS, PROBES = 200_000, 16, 1 << 19
 
 
 def code_of(embedding: Column) -> Column:
@@ -98,13 +98,12 @@ def closest(query: np.ndarray, code: np.ndarray, least_id: np.ndarray, radius: i
     return tuple(np.concatenate(x) for x in zip(*best))
 
 
-def probe(open_: DataFrame, index: DataFrame, radius: int, k: int, codes: int, queries: int) -> DataFrame:
+def probe(open_: DataFrame, index: DataFrame, radius: int, k: int, codes: int) -> DataFrame:
     """query, code, distance, n, ids: the k best of each block for each open query, of pairs whose closest segment differs in exactly `radius` bits."""
-    blocks = max(parts(index.sparkSession), -(-codes // BLOCK))
-    groups = -(-queries // BLOCK)
-    entries = index.select("*", F.pmod(F.xxhash64("code"), F.lit(blocks)).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("part"))
+    blocks = -(-codes // BLOCK)
+    entries = index.select("*", F.pmod(F.xxhash64("code"), F.lit(blocks)).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(GROUPS - 1))).alias("part"))
     asked = open_.select(F.col("code").alias("query"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"),
-                         F.pmod(F.xxhash64("code"), F.lit(groups)).cast("int").alias("part"))
+                         F.pmod(F.xxhash64("code"), F.lit(GROUPS)).cast("int").alias("part"))
 
     pairs = pa.schema([("query", pa.int64()), ("code", pa.int64()), ("distance", pa.int32()), ("n", pa.int64()), ("ids", pa.list_(pa.int64()))])
 
@@ -137,9 +136,9 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "v
     held = None
     done = []
     for radius in range(WIDTH + 1):
-        if not wanted or not (left := open_.count()):
+        if not wanted or open_.isEmpty():
             break
-        found = probe(open_, index, radius, k, size["codes"], left)
+        found = probe(open_, index, radius, k, size["codes"])
         if held is not None:
             found = found.unionByName(held.join(open_.select(F.col("code").alias("query")).hint("merge"), "query", "left_semi"))
         held = store(found.withColumn("at", F.row_number().over(nearest)).where(F.col("at") <= k).drop("at"), f"near-{radius}")

@@ -584,7 +584,7 @@ def test_probes_find_what_brute_force_finds(spark):
     codes = [r["code"] for r in index.collect()]
     found = []
     for radius in range(4):
-        found += [tuple(r) for r in hamming.probe(asked, index, radius, 10_000, 9, 30).select("query", "code", "distance").collect()]
+        found += [tuple(r) for r in hamming.probe(asked, index, radius, 10_000, len(codes)).select("query", "code", "distance").collect()]
         bound = hamming.SEGMENTS * (radius + 1)
         want = {(q["code"], c) for q in asked.collect() for c in codes if ((q["code"] ^ c) & (1 << 64) - 1).bit_count() < bound}
         assert len(found) == len({f[:2] for f in found}) and {f[:2] for f in found if f[2] < bound} == want
@@ -597,9 +597,10 @@ def test_search_in_many_blocks(spark, monkeypatch):
     whole = sorted(map(tuple, hamming.search(df, df, 4).collect()))
     monkeypatch.setattr(hamming, "BLOCK", 40)
     monkeypatch.setattr(hamming, "PROBES", 100)
+    monkeypatch.setattr(hamming, "GROUPS", 3)
     assert sorted(map(tuple, hamming.search(df, df, 4).collect())) == whole
     index = df.select(hamming.code_of(F.col("embedding")).alias("code"), F.lit(1).alias("n"), F.array("vec_id").alias("ids"))
-    plan = hamming.probe(index.select("code"), index, 2, 4, 300, 300)._jdf.queryExecution().executedPlan().toString()
+    plan = hamming.probe(index.select("code"), index, 2, 4, 300)._jdf.queryExecution().executedPlan().toString()
     assert "Broadcast" not in plan and "NestedLoop" not in plan and "SortMergeJoin" not in plan
 
 
