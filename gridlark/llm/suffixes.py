@@ -40,6 +40,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -233,27 +234,31 @@ def window_key(window: bytes) -> int:
     return int.from_bytes(hashlib.blake2b(window, digest_size=8).digest(), "little", signed=True)
 
 
-def late_windows(keys: list[int], places: list[tuple[int, int, int]], cuts: list[bytes], folder: str | None = None, **sizes: int) -> tuple[np.ndarray, np.ndarray]:
-    """Passage and offset of each window that an earlier place holds too. places: (doc, sub, start) of each passage, ascending."""
-    place = np.array(places, np.int64).reshape(-1, 3)
-    # Documents get one number, so that a window's place is one number too.
-    ids = np.zeros(len(place), np.int64)
-    ids[1:] = np.cumsum((place[1:, :2] != place[:-1, :2]).any(axis=1))
-    rank = ids << 40 | place[:, 2]
-    numbers: dict[tuple[int, bytes], int] = {}
-    which = np.array([numbers.setdefault(c, len(numbers)) for c in zip(keys, cuts)], np.int64)
+def late_windows(key: np.ndarray, doc: np.ndarray, sub: np.ndarray, start: np.ndarray, cuts: list[bytes], folder: str | None = None, **sizes: int) -> tuple[np.ndarray, np.ndarray]:
+    """Passage and offset of each window that an earlier place (doc, sub, start) holds too, of the passages `cuts`."""
+    # Documents get a number in their order, so that a window's place is one number.
+    order = np.lexsort((sub, doc))
+    new = np.ones(len(order), bool)
+    new[1:] = (doc[order[1:]] != doc[order[:-1]]) | (sub[order[1:]] != sub[order[:-1]])
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.cumsum(new) << 40
+    rank += start
+    numbers: dict[bytes, int] = {}
+    put = numbers.setdefault
+    which = np.array([put(c, len(numbers)) for c in cuts], np.int64)
     first = np.full(len(numbers), np.iinfo(np.int64).max)
     np.minimum.at(first, which, rank)
-    count = np.fromiter((len(c) for _, c in numbers), np.int64, len(numbers)) - WINDOW + 1
+    count = np.fromiter(map(len, numbers), np.int64, len(numbers)) - WINDOW + 1
     begin = np.cumsum(count) - count
     # The first place of every window of every different passage: its own, unless a collection knows better.
     least = np.repeat(first - begin, count) + np.arange(count.sum())
-    key = np.fromiter((k for k, _ in numbers), np.int64, len(numbers))
-    _, group, members = np.unique(key, return_inverse=True, return_counts=True)
+    keys = np.empty(len(numbers), np.int64)
+    keys[which] = key
+    _, group, members = np.unique(keys, return_inverse=True, return_counts=True)
     several = np.flatnonzero(members[group] > 1)
     if len(several):
         different = list(numbers)
-        sequence, offset, earliest = earliest_places([different[i][1] for i in several.tolist()], first[several], folder, **sizes)
+        sequence, offset, earliest = earliest_places([different[i] for i in several.tolist()], first[several], folder, **sizes)
         least[begin[several][sequence] + offset] = earliest
     # Every place of a passage has the windows of its sequence.
     own = count[which]
@@ -287,37 +292,45 @@ def match(opened: DataFrame) -> DataFrame:
     """doc, sub, spans: windows that start earlier. opened: key, doc, sub, start, passage."""
     folder = scratch_path(opened.sparkSession, "suffix-columns")
 
+    def close(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        rows = pa.Table.from_batches(held)
+        key, doc, sub, start = (rows.column(c).to_numpy().astype(np.int64) for c in ("key", "doc", "sub", "start"))
+        copy, offset = late_windows(key, doc, sub, start, rows.column("passage").to_pylist(), folder)
+        doc, sub, start = doc[copy], sub[copy], start[copy] + offset
+        order = np.lexsort((start, sub, doc))
+        doc, sub, start = doc[order], sub[order], start[order]
+        # Runs of windows that follow each other, then the runs of each document.
+        other = np.ones(len(doc), bool)
+        other[1:] = (doc[1:] != doc[:-1]) | (sub[1:] != sub[:-1])
+        opens = other.copy()
+        opens[1:] |= start[1:] > start[:-1] + 1
+        run = np.flatnonzero(opens)
+        n = start[np.append(run[1:], len(start)) - 1] - start[run] + 1 if len(run) else run
+        at = np.append(np.flatnonzero(other[run]), len(run))
+        spans = [packed(start[run[a:b]], n[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
+        lead = run[at[:-1]]
+        return pa.RecordBatch.from_arrays([pa.array(doc[lead]), pa.array(sub[lead]), pa.array(spans, pa.binary())], ["doc", "sub", "spans"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[int, int, int, int, bytes]] = []
+        held: list[pa.RecordBatch] = []
         size = 0
-        last = None
-
-        def close() -> pa.RecordBatch:
-            nonlocal size
-            held.sort(key=lambda r: r[1:4])
-            sequence, offset = late_windows([r[0] for r in held], [r[1:4] for r in held], [r[4] for r in held], folder)
-            place = np.array([r[1:4] for r in held], np.int64).reshape(-1, 3)[sequence]
-            start = place[:, 2] + offset
-            order = np.lexsort((start, place[:, 1], place[:, 0]))
-            place, start = place[order], start[order]
-            new = np.ones(len(start), bool)
-            new[1:] = (place[1:, :2] != place[:-1, :2]).any(axis=1)
-            at = np.append(np.flatnonzero(new), len(start))
-            spans = [packed(*spans_of(start[a:b], np.ones(b - a, np.int64))) for a, b in zip(at[:-1], at[1:])]
-            at = at[:-1]
-            held.clear()
-            size = 0
-            return pa.RecordBatch.from_arrays([pa.array(place[at, 0]), pa.array(place[at, 1]), pa.array(spans, pa.binary())], ["doc", "sub", "spans"])
-
-        for batch in batches:
-            for row in zip(*(batch[c].to_pylist() for c in ("key", "doc", "sub", "start", "passage"))):
-                if row[0] != last and size >= COLLECTION:
-                    yield close()
-                last = row[0]
-                held.append(row)
-                size += len(row[4])
+        for batch in (b for b in batches if b.num_rows):
+            # A collection ends with an anchor, never inside one.
+            key = batch["key"].to_numpy()
+            total = size + np.cumsum(pc.binary_length(batch["passage"]).to_numpy())
+            ends = np.append(np.flatnonzero(key[1:] != key[:-1]) + 1, [])
+            if held and held[-1]["key"][-1].as_py() != key[0]:
+                ends = np.append(0, ends)
+            low, base = 0, 0
+            for end in ends.astype(np.int64).tolist():
+                if (total[end - 1] if end else size) - base >= COLLECTION:
+                    held.append(batch.slice(low, end - low))
+                    yield close(held)
+                    held, low, base = [], end, int(total[end - 1] if end else size)
+            held.append(batch.slice(low))
+            size = int(total[-1]) - base
         if held:
-            yield close()
+            yield close(held)
 
     dealt = opened.repartition(parts(opened.sparkSession), "key").sortWithinPartitions("key")
     return dealt.mapInArrow(run, "doc long, sub long, spans binary")

@@ -120,10 +120,10 @@ def test_late_windows_through_files(tmp_path):
     text = bytes(rng.choices(b"abcdef", k=600))
     starts = sorted(rng.sample(range(430), 25))
     sequences = [text[s : s + rng.randint(100, 170)] for s in starts]
-    order = [(i, 0, 7) for i in range(len(sequences))]
-    keys = [5] * len(sequences)
-    plainly = suffixes.late_windows(keys, order, sequences)
-    filed = suffixes.late_windows(keys, order, sequences, str(tmp_path), memory=0, segment=500)
+    same = np.zeros(len(sequences), np.int64)
+    places = (same + 5, np.arange(len(sequences)), same, same + 7)
+    plainly = suffixes.late_windows(*places, sequences)
+    filed = suffixes.late_windows(*places, sequences, str(tmp_path), memory=0, segment=500)
     assert sorted(zip(*(x.tolist() for x in plainly))) == sorted(zip(*(x.tolist() for x in filed)))
     first, want = {}, []
     for n, s in enumerate(sequences):
