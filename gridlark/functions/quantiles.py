@@ -85,27 +85,22 @@ def whole_median(df: DataFrame, value: str) -> float | None:
 
 
 def exact_median(df: DataFrame, keys: Sequence[str], value: str, name: str) -> DataFrame:
-    """Exact median per group without holding any group in one place.
+    """Exact median per group without holding any group in one place; of the whole column by :func:`whole_median`.
 
     A mergeable sketch with a proven rank error brackets the median; then only
     the counts below the bracket and the few distinct values inside it matter.
     """
+    if not keys:
+        return df.sparkSession.createDataFrame([(whole_median(df, value),)], f"`{name}` double")
     known = df.select(*keys, value).filter(F.col(value).isNotNull())
     bracket = known.groupBy(*keys).agg(
         F.percentile_approx(value, [_LOW, _HIGH], _ACCURACY).alias("_b"),
         F.count(F.lit(1)).alias("_n"),
     )
     low, high = F.col("_b")[0], F.col("_b")[1]
-    if keys:
-        placed = known.join(bracket, list(keys))
-    else:
-        one = bracket.select(F.struct("_b", "_n").alias("_s")).scalar()
-        placed = known.withColumn("_s", one).select(value, "_s._b", "_s._n")
+    placed = known.join(bracket, list(keys))
     below = F.sum(F.when(F.col(value) < low, 1).otherwise(0)).alias("_below")
-    if keys:
-        under = placed.groupBy(*keys, "_n").agg(below)
-    else:
-        under = placed.groupBy("_n").agg(below)
+    under = placed.groupBy(*keys, "_n").agg(below)
     inside = (
         placed.filter(F.col(value).between(low, high))
         .groupBy(*keys, "_n", value)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from gridlark.functions.numeric import at_least_zero
 from gridlark.functions.quantiles import exact_median, median_by_rank
+from gridlark.session import materialize
 
 SEASON_DAYS = 7  # fixed value
 
@@ -18,8 +19,8 @@ def median_levels(
     """Medians by station-weekday-hour, station-hour, station, and overall.
 
     One shuffle by station serves all three keyed levels; a station holds at most
-    one row per calendar hour.  The overall level can hold all rows and uses the
-    bracketed median instead.
+    one row per calendar hour.  The overall level can hold all rows and is found
+    by refining ranges, or by a bracket for each scope.
     """
     known = history.filter(F.col("target").isNotNull()).select(
         *scope, "station_id", F.weekday("local_date").alias("weekday"), "local_hour", "target"
@@ -30,7 +31,8 @@ def median_levels(
         median_by_rank(placed, [*station, "weekday", "local_hour"], "target", "_m_detail"),
         median_by_rank(placed, [*station, "local_hour"], "target", "_m_hour"),
         median_by_rank(placed, station, "target", "_m_station"),
-        exact_median(known, scope, "target", "_m_all"),
+        # Several passes look at the whole column, so it is stored once.
+        exact_median(known if scope else materialize(known.select("target")), scope, "target", "_m_all"),
     )
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from gridlark.functions import numeric as num
+from gridlark.functions import jsontree, numeric as num
 from gridlark.functions.hashing import DIGEST_PATTERN
 from gridlark.operators import audit, contracts, kpi, review
 from gridlark.operators.ordered import number_within
@@ -434,6 +434,68 @@ def json_shape(spark: SparkSession, folder: str) -> DataFrame:
     return df.select("event_id", verdict.alias("verdict"), F.when(verdict == "OK", value).alias("k"))
 
 
+NESTED_SQL = """t AS (SELECT event_id, event_type, CASE event_type
+  WHEN 'view' THEN '{"a": [1, {"b": {"k": ' || event_id || '}}], "k": 2}' WHEN 'click' THEN '{"a": [{"b": {"k": 1, "j": [], "k": ' || event_id || '}}]}'
+  WHEN 'error' THEN '{"a": {"k": ' WHEN 'signup' THEN '{"x": 3, "y": null, "x": 4}' ELSE '[{"k": 1}, {"k": 1}]' END AS body FROM events)"""
+
+
+def _nested(spark: SparkSession, folder: str) -> DataFrame:
+    kind, number = F.col("event_type"), F.col("event_id").cast("string")
+    body = (
+        F.when(kind == "view", F.concat(F.lit('{"a": [1, {"b": {"k": '), number, F.lit('}}], "k": 2}')))
+        .when(kind == "click", F.concat(F.lit('{"a": [{"b": {"k": 1, "j": [], "k": '), number, F.lit("}}]}")))
+        .when(kind == "error", '{"a": {"k": ').when(kind == "signup", '{"x": 3, "y": null, "x": 4}').otherwise('[{"k": 1}, {"k": 1}]')
+    )
+    return table(spark, folder, "events").select("event_id", body.alias("body"))
+
+
+@register(
+    "nested_shape",
+    f"""WITH {NESTED_SQL} SELECT event_id, CASE event_type WHEN 'error' THEN 'MALFORMED' WHEN 'click' THEN 'KEY_REPEATED' WHEN 'signup' THEN 'KEY_REPEATED' ELSE 'OK' END AS verdict FROM t""",
+)
+def nested_shape(spark: SparkSession, folder: str) -> DataFrame:
+    """Repeated keys are refused at every depth, not at the top alone."""
+    return _nested(spark, folder).select("event_id", jsontree.shape(F.col("body")).alias("verdict"))
+
+
+@register(
+    "nested_keys",
+    f"""WITH {NESTED_SQL} SELECT event_id, CASE event_type WHEN 'click' THEN '/a/0/b' ELSE '' END AS parent, CASE event_type WHEN 'click' THEN 'k' ELSE 'x' END AS key, 2::BIGINT AS copies
+FROM t WHERE event_type IN ('click', 'signup')""",
+)
+def nested_keys(spark: SparkSession, folder: str) -> DataFrame:
+    """Where the repeated keys are."""
+    return jsontree.repeated_keys(_nested(spark, folder), "body", ["event_id"])
+
+
+@register(
+    "nested_parts",
+    f"""WITH RECURSIVE {NESTED_SQL}, good AS (SELECT event_id, body::JSON AS j FROM t WHERE event_type NOT IN ('error', 'click', 'signup')),
+parts AS (SELECT event_id, '' AS path, j, 0 AS depth FROM good
+  UNION ALL SELECT event_id, path || '/' || key, value, depth + 1 FROM (SELECT p.event_id, p.path, p.depth, e.key, e.value FROM parts p, json_each(p.j) e WHERE json_type(p.j) IN ('OBJECT', 'ARRAY')))
+SELECT event_id, path, depth, CASE json_type(j) WHEN 'OBJECT' THEN 'object' WHEN 'ARRAY' THEN 'array' ELSE 'number' END AS kind,
+ CASE WHEN json_type(j) NOT IN ('OBJECT', 'ARRAY') THEN j::VARCHAR END AS value FROM parts""",
+)
+def nested_parts(spark: SparkSession, folder: str) -> DataFrame:
+    """Every part of the texts that are sound, with its pointer."""
+    sound = _nested(spark, folder).filter(jsontree.shape(F.col("body")) == "OK")
+    return jsontree.walk(sound, "body", ["event_id"]).select("event_id", "path", "depth", "kind", "value")
+
+
+@register(
+    "nested_redaction",
+    """SELECT doc_id, '{"header":["Bearer [REDACTED] end",{"user":{"reset_token":"[REDACTED]","to":"mail [REDACTED_EMAIL], thanks"}}],"n":' || doc_id || '}' AS safe FROM documents""",
+)
+def nested_redaction(spark: SparkSession, folder: str) -> DataFrame:
+    """Keys and texts below the top level of a payload are made safe too."""
+    number = F.col("doc_id").cast("string")
+    body = F.concat(
+        F.lit('{"n": '), number, F.lit(', "header": ["bearer abc.'), number, F.lit(' end", {"user": {"to": "mail clerk'), number,
+        F.lit('@mail.example.org, thanks", "reset_token": {"value": '), number, F.lit("}}}]}"),
+    )
+    return table(spark, folder, "documents").select("doc_id", jsontree.redact_json(body).alias("safe"))
+
+
 @register("confidence_clamp", "SELECT event_id, GREATEST(0, LEAST(1, value / 250 - 0.2)) AS confidence FROM events")
 def confidence_clamp(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "events").select(
