@@ -10,7 +10,7 @@ from gridlark.operators import batches, contracts, evaluation, monitoring, order
 from gridlark.plans import derive as dv
 from gridlark.plans.registry import register
 from gridlark.session import materialize, scratch_path
-from gridlark.sources import publish, tables
+from gridlark.sources import publish, tables, versions
 from gridlark.sources.tables import read_shared as table
 
 BATCH_WORLD = (dv.PANEL_SQL, dv.BATCHES_SQL)
@@ -515,3 +515,19 @@ def publish_replay(spark: SparkSession, folder: str) -> DataFrame:
 def current_pointer(spark: SparkSession, folder: str) -> DataFrame:
     manifest = publish.batch_manifest(records(spark, folder)).withColumn("published_at", _origin())
     return publish.current_pointer(manifest).select("batch_id")
+
+
+@register(
+    "version_publish",
+    """SELECT o_orderpriority, COUNT(*) AS orders, ROUND(SUM(o_totalprice), 2) AS total, 'v2' AS version FROM orders WHERE o_orderstatus <> 'P' GROUP BY 1""",
+)
+def version_publish(spark: SparkSession, folder: str) -> DataFrame:
+    """Orders in two versions through the sink with a commit; a reader sees the second."""
+    out = scratch_path(spark, "versions")
+    orders = table(spark, folder, "orders").select("o_orderkey", "o_orderpriority", "o_orderstatus", F.col("o_totalprice").cast("double").alias("o_totalprice"))
+    for version, rows in (("v1", orders), ("v2", orders.filter("o_orderstatus <> 'P'")), ("v1", orders)):
+        versions.publish_version(rows, out, version, required=["o_orderkey"], finite=["o_totalprice"])
+    now = versions.current(spark, out, orders.schema)
+    return now.groupBy("o_orderpriority").agg(
+        F.count(F.lit(1)).alias("orders"), F.round(F.sum("o_totalprice"), 2).alias("total"), F.lit(versions.manifest(out)["version"]).alias("version")
+    )
