@@ -185,6 +185,33 @@ def test_admission_equals_the_sequential_rule(spark, seed):
     assert {r.attempt_id: r.decision for r in got.collect()} == sequential_admission(attempts, lines, stock)
 
 
+def test_admission_with_one_sku_in_every_order(spark):
+    """One scarce SKU ties all attempts together; others of theirs suffice for everybody."""
+    rng = random.Random(9)
+    attempts = [(i, i, f"k{i // 2 if i % 10 == 1 else i}", "ab"[i % 3 == 0]) for i in range(60)]
+    lines = {i: [("every", rng.randint(1, 5)), (f"own{i % 7}", 1)] for i in range(60)}
+    stock = [("every", 70), *[(f"own{j}", 100) for j in range(7)]]
+    rounds: list[int] = []
+    got = admission.admit(
+        spark.createDataFrame(attempts, "attempt_id int, arrival bigint, idempotency_key string, payload_digest string"),
+        spark.createDataFrame([(i, s, q) for i, pairs in lines.items() for s, q in pairs], "attempt_id int, sku string, quantity bigint"),
+        spark.createDataFrame(stock, "sku string, stock_qty bigint"), rounds,
+    )
+    assert {r.attempt_id: r.decision for r in got.collect()} == sequential_admission(attempts, lines, stock)
+    assert rounds[-1] == 0 and rounds == sorted(rounds, reverse=True) and len(rounds) < 20
+
+
+def test_admission_settles_independent_attempts_at_once(spark):
+    attempts = [(i, i, f"k{i}", "a") for i in range(40)]
+    rounds: list[int] = []
+    got = admission.admit(
+        spark.createDataFrame(attempts, "attempt_id int, arrival bigint, idempotency_key string, payload_digest string"),
+        spark.createDataFrame([(i, f"s{i % 20}", 2) for i in range(40)], "attempt_id int, sku string, quantity bigint"),
+        spark.createDataFrame([(f"s{j}", 3 + j % 2) for j in range(20)], "sku string, stock_qty bigint"), rounds,
+    )
+    assert len(rounds) <= 2 and got.filter("decision = 'accepted'").count() == 30
+
+
 def test_search_is_literal_and_limited(spark):
     catalog = spark.createDataFrame(
         [(f"S{i:03d}", "Red 50%_Beam", Decimal("1.0000"), "EUR", 1, i != 2) for i in range(9)] + [("X_1", "Blue", Decimal("2.0000"), "EUR", 1, True)],
