@@ -20,12 +20,27 @@ SEVERITY_RANK = {"info": 0, "warning": 1, "critical": 2}
 def join_labels(
     forecasts: DataFrame, labels: DataFrame, baseline: DataFrame | None, by: Sequence[str] = ("batch_id",)
 ) -> DataFrame:
-    """Forecasts with their labels and, where known, the baseline; keys are one to one."""
+    """Forecasts with their labels and, where known, the baseline.
+
+    A station and instant has one label and one baseline; a second one that a
+    forecast meets fails the job.
+    """
     keys = ["station_id", "target_timestamp"]
-    joined = forecasts.join(labels.select(*keys, "actual"), keys)
+    joined = forecasts.join(single(labels, keys, "actual"), keys)
     if baseline is None:
         return joined.withColumn("baseline_forecast", F.lit(None).cast("double"))
-    return joined.join(baseline.select(*keys, "baseline_forecast"), keys, "left")
+    return joined.join(single(baseline, keys, "baseline_forecast"), keys, "left")
+
+
+def single(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """keys and value, a row per key; reading the value of a key that comes twice raises an error that names it.
+
+    The count shares its shuffle with the join on the same keys that follows.
+    """
+    counted = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.first(value).alias(value))
+    words = F.concat_ws(" ", F.lit(f"{value} comes more than once for"), *(F.col(k).cast("string") for k in keys))
+    kind = df.schema[value].dataType
+    return counted.select(*keys, F.when(F.col("_n") > 1, F.raise_error(words).cast(kind)).otherwise(F.col(value)).alias(value))
 
 
 def rolling_scope(joined: DataFrame, by: Sequence[str], days: int = ROLLING_DAYS) -> DataFrame:

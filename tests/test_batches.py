@@ -215,3 +215,16 @@ def test_stream_publish_takes_batches_that_span_files(spark):
         first = stream_publish.run(common.read_table(spark, path, 1), f"{base}/published", f"{base}/checkpoint{number}", f"{base}/staged{number}")
         assert [r.disposition for r in first.collect()] == ["REPLAY" if number else "NEW"]
     assert [(r.row_count, r.intact) for r in publish.verify_published(spark, f"{base}/published").collect()] == [(made.count(), True)]
+
+
+def test_labels_and_baselines_are_one_to_one(spark):
+    at = dt.datetime(2026, 1, 5, 8)
+    forecasts = spark.createDataFrame([("b", "1", at, 5.0), ("c", "1", at, 6.0), ("b", "2", at, 7.0)], "batch_id string, station_id string, target_timestamp timestamp, forecast_continuous double")
+    labels = spark.createDataFrame([("1", at, 4.0), ("2", at, None), ("9", at, 1.0), ("9", at, 1.0)], "station_id string, target_timestamp timestamp, actual double")
+    base = labels.filter("station_id = '1'").withColumnRenamed("actual", "baseline_forecast")
+    # A key that no forecast meets may repeat.
+    joined = monitoring.join_labels(forecasts, labels.filter("station_id <> '9'"), base)
+    assert sorted((r.batch_id, r.station_id, r.actual, r.baseline_forecast) for r in joined.collect()) == [("b", "1", 4.0, 4.0), ("b", "2", None, None), ("c", "1", 4.0, 4.0)]
+    for wrong_labels, wrong_base in ((labels.union(labels.filter("station_id = '1'")), base), (labels, base.union(base))):
+        with pytest.raises(Exception, match="comes more than once for 1"):
+            monitoring.join_labels(forecasts, wrong_labels, wrong_base).collect()
