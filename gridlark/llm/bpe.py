@@ -9,6 +9,9 @@ would cost the square of the length, use a heap with the same result.
 
 Words repeat, so each worker remembers a bounded number of them. NULL and
 empty texts have no ids. Every row is encoded by itself; nothing is shuffled.
+Texts are coded
+whole, however long; repeated rows give repeated results and an empty table none. Only the id and the text are read,
+so other columns cannot clash.
 """
 
 from __future__ import annotations

@@ -12,6 +12,7 @@ the hashes of the lines go to a narrow table, and the rest works on that.
 
 NULL texts have no words and fail. NULL hosts are one host. Every row is a
 document, also a repeated one. An empty table gives an empty result.
+Texts are taken whole, however long. Only the id, the text and the host are read, so other columns cannot clash.
 """
 
 from __future__ import annotations

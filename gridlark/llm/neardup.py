@@ -27,6 +27,9 @@ NULL texts and texts without words have an empty set, no links, and are their
 own component. A NULL id comes after all others and is told apart by its text;
 a component of such rows alone has a NULL id. Rows that repeat an id and text
 are kept or dropped together by the query; deduplicate() keeps one of them.
+Texts are taken whole, however long. An empty table gives no rows. `near_duplicates` reads only the id and the
+text; `deduplicate` keeps all columns in one struct, so their names cannot clash, and takes texts that differ under one
+id as documents of their own. An id of 2^62 or more counts as a NULL one in `component_id`.
 """
 
 from __future__ import annotations

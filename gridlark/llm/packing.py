@@ -10,6 +10,8 @@ of its last bins, a few in several thousand.
 
 NULL or empty texts are pieces of the end id alone. Every row is a document,
 also a repeated one. An empty table gives no sequences.
+Texts are cut into pieces, however long. Only the id and the text are read, so other columns
+cannot clash.
 """
 
 from __future__ import annotations

@@ -10,6 +10,9 @@ runs) scans every document of the block.
 Blocks are independent, so nothing is shuffled and a hot source changes
 nothing; a lost task is simply run again. NULL and empty texts have no spans.
 Repeated rows give repeated results.
+Texts are scanned whole, however long; one expression goes back over a long run that almost fits, which takes the
+square of the run's length. An empty table gives no rows. Only the id and the text are read (`redact` keeps all
+columns and replaces the text), so other columns cannot clash.
 """
 
 from __future__ import annotations

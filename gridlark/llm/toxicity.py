@@ -20,6 +20,9 @@ more.
 Empty and NULL texts score 0. NULL ids count as the empty string for the hold-
 out. Without labels of both classes every score is 0. Repeated rows score
 alike; a document with several labels counts as toxic if one says so.
+Texts are scored whole,
+window by window, however long. An empty table gives no rows. Only the id, the text and the labels' id and
+`toxic` are read, so other columns cannot clash.
 """
 
 from __future__ import annotations

@@ -16,6 +16,7 @@ added per row.
 NULL URLs and those without "://" have an empty host and path, which still
 get a verdict from the models. If a class has no URL, its model is uniform and
 the threshold 0. Rows may repeat. An empty table gives an empty result.
+URLs of any length are read from `://` to `?` or `#`. Only the id and the URL are read, so other columns cannot clash.
 """
 
 from __future__ import annotations

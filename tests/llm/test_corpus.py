@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import math
 import random
 import re
@@ -123,6 +124,22 @@ def test_token_files(spark, odd, small, none, tmp_path):
     assert tokenbin.read(tokenbin.write(none, BYTE_BPE, end_id=2)).count() == 0
 
 
+def test_token_files_of_a_large_vocabulary(spark, tmp_path):
+    """Ids beyond 16 bits take 32, by the tokenizer's own vocabulary."""
+    made = json.load(open(BYTE_BPE))
+    made["added_tokens"].append({**made["added_tokens"][0], "id": 70_000, "content": "<|large|>"})
+    made["model"]["vocab"]["<|large|>"] = 70_000
+    path = tmp_path / "large.json"
+    path.write_text(json.dumps(made))
+    df = spark.createDataFrame([(1, "a <|large|> b"), (2, None)], "doc_id long, text string")
+    manifest = tokenbin.write(df, str(path), end_id=2)
+    assert {r["dtype"] for r in manifest.collect()} == {"<u4"} and tokenbin.id_type(BYTE_BPE, 2) == "<u2"
+    ids = Tokenizer.from_file(str(path)).encode("a <|large|> b", add_special_tokens=False).ids + [2]
+    assert 70_000 in ids
+    found = {r["doc_id"]: (r["n_tokens"], r["ids_crc32"]) for r in tokenbin.read(manifest).collect()}
+    assert found == {1: (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())), 2: (1, zlib.crc32(np.array([2], "<u4").tobytes()))}
+
+
 # --- packing --------------------------------------------------------------------------------------
 
 
