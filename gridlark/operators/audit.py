@@ -6,7 +6,7 @@ import hashlib
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from gridlark.functions.hashing import GENESIS, digest
 from gridlark.functions.text import redact_map
@@ -35,12 +35,12 @@ def _linker():
     genesis = GENESIS
 
     def link(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        trace, last = None, genesis
+        last = genesis
         for batch in batches:
             previous, linked = [], []
-            for key, content, head in zip(batch["trace_id"], batch["content_digest"], batch["head_hash"]):
-                if key != trace:
-                    trace, last = key, head
+            for place, content, head in zip(batch["_place"], batch["content_digest"], batch["head_hash"]):
+                if place == 1:
+                    last = head
                 previous.append(last)
                 last = hashlib.sha256((content + last).encode()).hexdigest()
                 linked.append(last)
@@ -58,6 +58,10 @@ def build_chain(events: DataFrame, heads: DataFrame | None = None) -> DataFrame:
     one trace depend on each other, so a trace is walked in order; the walk
     streams keys and digests in sorted batches and holds one hash.  Content is
     hashed before, in parallel.
+
+    The walk itself states no need for whole traces in one task, so a plan that
+    changes while it runs may read a ``repartition`` by pieces.  The window does
+    state it, and the order, for every plan.
     """
     slim = events.select("trace_id", "sequence", "content_digest")
     if heads is None:
@@ -66,7 +70,7 @@ def build_chain(events: DataFrame, heads: DataFrame | None = None) -> DataFrame:
         ready = slim.join(heads.select("trace_id", F.col("event_hash").alias("_h")), "trace_id", "left").select(
             "trace_id", "sequence", "content_digest", F.coalesce("_h", F.lit(GENESIS)).alias("head_hash")
         )
-    ordered = ready.repartition("trace_id").sortWithinPartitions("trace_id", "sequence")
+    ordered = ready.withColumn("_place", F.row_number().over(Window.partitionBy("trace_id").orderBy("sequence")))
     types = dict(slim.dtypes)
     return ordered.mapInPandas(
         _linker(),

@@ -242,6 +242,23 @@ def test_chain_builds_verifies_and_locates_damage(spark):
     assert audit.verify_traces(grown).filter("not verified").isEmpty()
 
 
+def test_chain_is_whole_when_the_plan_changes_while_it_runs(spark):
+    """Traces cut by a range partition, whose join turns into a broadcast while the query runs."""
+    name = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        events = spark.range(20_000).select((F.col("id") % 7).alias("trace_id"), F.col("id").alias("event_id"), F.sha2(F.col("id").cast("string"), 256).alias("pad"))
+        log = audit.with_sequence(events.withColumn("payload", F.repeat("pad", 20)), ("event_id",))
+        got = audit.build_chain(log.withColumn("content_digest", F.sha2("payload", 256))).collect()
+    finally:
+        spark.conf.set(name, before)
+    assert len(got) == 20_000
+    by = {(r.trace_id, r.sequence): r for r in got}
+    for (trace, place), row in by.items():
+        assert row.previous_hash == (by[trace, place - 1].event_hash if place > 1 else GENESIS)
+
+
 def test_review_path_and_refusals(spark):
     path = [("PENDING", "w", "SYSTEM"), ("CLAIMED", "ann", "ORDER_REVIEWER"), ("CORRECTED", "ann", "ORDER_REVIEWER"),
             ("REVALIDATED", "ann", "ORDER_REVIEWER"), ("WRITE_PENDING", "ann", "ORDER_REVIEWER"), ("ERP_CREATED", "w", "SYSTEM"),
