@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from gridlark.functions.hashing import GENESIS
 from gridlark.plans import q_messages
 from gridlark.operators import admission, attachments, audit, kpi, messages, ordered, orders, review
+from gridlark.session import materialize
 
 
 def test_running_totals_across_blocks(spark):
@@ -35,6 +36,15 @@ def test_numbers_are_dense_and_ordered(spark):
         assert [n for _, n in sorted(pairs)] == list(range(1, len(pairs) + 1))
 
 
+def test_stored_tables_do_not_multiply_their_estimates(spark):
+    """A loop of joins, as stock admission runs it, plans with sizes that do not grow with the rounds."""
+    held = materialize(spark.range(50).withColumnRenamed("id", "k"))
+    for _ in range(6):
+        held = materialize(held.join(held.select("k"), "k"))
+    assert held.count() == 50
+    assert int(held._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) < 1_000_000
+
+
 def test_dedup_keeps_the_first_content_and_flags_changes(spark):
     rows = [("m", "1", 1, "2025-01-01", "x"), ("m", "1", 2, "2025-01-02", "x"), ("m", "1", 3, "2025-01-03", "y"), ("m", "2", 4, "2025-01-01", "z")]
     df = spark.createDataFrame(rows, "mailbox_id string, provider_message_id string, delivery_id int, received_at string, content_digest string")
