@@ -1,5 +1,6 @@
 import datetime as dt
 import math
+import os
 
 import numpy as np
 import pandas as pd
@@ -7,8 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridlark.operators import baselines, contracts, evaluation, features, folds, models, spatial
-from gridlark.plans import q_models
+from gridlark.plans import derive as dv, q_models
 
+FOLDER = "/root/testdata/sf0.001"
 DAY = dt.date(2025, 1, 1)
 
 
@@ -228,6 +230,26 @@ def test_gaps_and_lookup_problems(spark):
     assert sorted((r.k, r.problem) for r in problems.collect()) == [("x", "KEY_REPEATED"), ("y", "KEY_UNMATCHED")]
 
 
+@pytest.mark.skipif(not os.path.isdir(FOLDER), reason="shared tables are not here")
+def test_fold_features_are_written_once_and_equal_those_of_each_fold(spark):
+    got = q_models.fold_features(spark, FOLDER)
+    stored = sum(spark.read.parquet(f).count() for f in got.inputFiles() if "passenger_lag_7d" in spark.read.parquet(f).columns)
+    panel = dv.panel(spark, FOLDER).cache()
+    assert stored < 1.1 * panel.count()
+    windows = folds.FoldWindows(dv.last_day(spark, FOLDER), dv.ZONE)
+    targets = folds.fold_rows(panel, windows).drop("start_date", "end_date").withColumn(
+        "visible", F.when(F.col("timestamp_utc") <= F.col("origin"), F.col("target"))
+    )
+    traffic = features.cut_at(folds.expand_folds(dv.traffic(spark, FOLDER), windows), F.col("origin"))
+    want = features.build_features(
+        targets, dv.stations(spark, FOLDER), "visible", dv.weather(spark, FOLDER), traffic, q_models.station_mapping(spark, FOLDER), ["fold_id"]
+    )
+    assert features.feature_names(got) == features.feature_names(want)
+    rounded = [F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in got.dtypes]
+    got, want = got.select(*rounded).cache(), want.select(*rounded).cache()
+    assert got.count() == want.count() and got.exceptAll(want).isEmpty()
+
+
 def test_model_queries_run_the_whole_search(spark, monkeypatch):
     """All 38 seeded trials, five families, three folds and all columns; costs are measured."""
     rows = spark.createDataFrame(
