@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from typing import Any
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
-from pyspark.sql.streaming import DataStreamWriter
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql.streaming import DataStreamWriter, StatefulProcessorHandle
+
+#: Keyed state is kept by bucket of keys; a checkpoint holds for one number of buckets.
+BUCKETS = 4096
 
 
 def read_table(spark: SparkSession, path: str, per_trigger: int = 1000) -> DataFrame:
@@ -56,3 +60,48 @@ def combined(rows: DataFrame, keys: list[str], sums: list[str] = (), least: list
                 yield from made.cast(pa.schema([batch.schema.field(c) for c in made.column_names])).to_batches()
 
     return rows.select(*schema.names).mapInArrow(merge, schema)
+
+
+def bucket_of(keys: Iterable[str], buckets: int) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int").alias("bucket")
+
+
+class Rows:
+    """The rows that a bucket keeps, as one value of arrays.
+
+    Every call to the state store is a message to the JVM and back, so it is
+    made for a bucket of keys at a time, not for a key.
+    """
+
+    def __init__(self, handle: StatefulProcessorHandle, name: str, schema: T.StructType) -> None:
+        self.value = handle.getValueState(name, T.StructType([T.StructField(f.name, T.ArrayType(f.dataType)) for f in schema.fields]))
+
+    def load(self) -> list[tuple]:
+        held = self.value.get()
+        return [] if held is None else list(zip(*held))
+
+    def keep(self, rows: list[tuple]) -> None:
+        if rows:
+            self.value.update(tuple(list(c) for c in zip(*rows)))
+        else:
+            self.value.clear()
+
+
+class Alarm:
+    """The only timer of a bucket."""
+
+    def __init__(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.at = handle, handle.getValueState("alarm", "at long")
+
+    def set(self, at: int | None) -> None:
+        held: Any = self.at.get()
+        before = None if held is None else held[0]
+        if before == at:
+            return
+        if before is not None:
+            self.handle.deleteTimer(before)
+        if at is None:
+            self.at.clear()
+        else:
+            self.handle.registerTimer(at)
+            self.at.update((at,))

@@ -8,10 +8,10 @@ the newest row of a group is its state.
 :func:`expiring` forgets. The deliveries of a message that follow each other
 within the horizon are one job; a message that comes again later is a new job,
 a defined and visible one, not a conflict. State is one row per digest of a
-job that is still open, with a timer at its last delivery plus the horizon;
-when the watermark passes it the job is appended and its state goes. Of the
-deliveries of one task and batch, those of one message, digest and day reach
-the state as one row.
+job that is still open, kept by bucket of messages, with one timer where the
+first job of the bucket has been silent for the horizon; when the watermark
+passes it the job is appended and its state goes. Of the deliveries of one task
+and batch, those of one message, digest and day reach the state as one row.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from gridlark.functions.hashing import message_key
 from gridlark.operators.messages import CONFLICT_CODE, KEY, add_code
-from gridlark.streaming.common import append_epochs, combined, drain, keep_state
+from gridlark.streaming.common import BUCKETS, Alarm, Rows, append_epochs, bucket_of, combined, drain, keep_state
 
 
 def content_groups(deliveries: DataFrame) -> DataFrame:
@@ -73,67 +73,63 @@ JOB = "first_at long, last_at long, deliveries long, digests long, conflicts lon
 
 
 class Jobs(StatefulProcessor):
-    """Open jobs of a message: spans of deliveries by digest, closed once the horizon has passed."""
+    """Open jobs of a bucket of messages: spans of deliveries by digest, closed once the horizon has passed."""
 
-    def __init__(self, horizon_ms: int, names: list[str]) -> None:
+    def __init__(self, horizon_ms: int, keys: T.StructType, names: list[str]) -> None:
         self.horizon, self.row = horizon_ms, Row(*names)
+        #: (first, last) of a stretch of one digest of a message -> its digest and deliveries.
+        self.span = T.StructType([*keys.fields, *T._parse_datatype_string("first_at long, last_at long, digest string, n long").fields])
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        #: (first, last) of a stretch of one digest -> its digest and deliveries.
-        self.open = handle.getListState("open", "first_at long, last_at long, digest string, n long")
+        self.open, self.alarm = Rows(handle, "open", self.span), Alarm(handle)
 
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
-        spans = [tuple(s) for s in self.open.get()]
-        spans += [(r.first_at, r.last_at, r.content_digest, r.n) for r in rows]
-        yield from self.settle(key, spans, timerValues)
+        spans = self.open.load()
+        spans += [(*(r[k] for k in KEY), r.first_at, r.last_at, r.content_digest, r.n) for r in rows]
+        yield from self.settle(spans, timerValues)
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
-        yield from self.settle(key, [tuple(s) for s in self.open.get()], timerValues)
+        yield from self.settle(self.open.load(), timerValues)
 
-    def settle(self, key: Any, spans: list[tuple], timerValues: Any) -> Iterator[Row]:
+    def settle(self, spans: list[tuple], timerValues: Any) -> Iterator[Row]:
         """Close the jobs that nothing on time can reach any more; keep one span per digest of the others."""
         closed_before = timerValues.getCurrentWatermarkInMs() - self.horizon
         kept: list[tuple] = []
-        job: list[tuple] = []
-
-        def close() -> Row | None:
-            if not job:
-                return None
-            last = max(s[1] for s in job)
-            by_digest: dict[str, list] = {}
-            for first, end, digest, n in job:
-                held = by_digest.setdefault(digest, [first, end, 0])
-                held[0], held[1], held[2] = min(held[0], first), max(held[1], end), held[2] + n
-            if last >= closed_before:
-                kept.extend((f, e, d, n) for d, (f, e, n) in by_digest.items())
-                self.handle.registerTimer(last + self.horizon + 1)
-                return None
-            own = min(by_digest.items(), key=lambda item: (item[1][0], item[0] or ""))
-            total = sum(v[2] for v in by_digest.values())
-            return self.row(*key, min(s[0] for s in job), last, total, len(by_digest), total - own[1][2])
-
-        reach = None
-        for span in sorted(spans, key=lambda s: (s[0], s[2] or "")):
-            if reach is not None and span[0] > reach + self.horizon:
-                if (row := close()) is not None:
-                    yield row
-                job = []
-                reach = None
-            job.append(span)
-            reach = span[1] if reach is None else max(reach, span[1])
-        if (row := close()) is not None:
-            yield row
-        if kept:
-            self.open.put(kept)
-        else:
-            self.open.clear()
+        oldest: int | None = None
+        messages: dict[tuple, list[tuple]] = {}
+        for span in spans:
+            messages.setdefault(span[: len(KEY)], []).append(span[len(KEY) :])
+        for message, own in messages.items():
+            for job, last in self.jobs(own):
+                if last >= closed_before:
+                    kept.extend((*message, first, end, digest, n) for digest, (first, end, n) in job.items())
+                    oldest = last if oldest is None else min(oldest, last)
+                    continue
+                lead = min(job.items(), key=lambda item: (item[1][0], item[0] or ""))
+                total = sum(v[2] for v in job.values())
+                yield self.row(*message, min(v[0] for v in job.values()), last, total, len(job), total - lead[1][2])
+        self.open.keep(kept)
+        self.alarm.set(None if oldest is None else oldest + self.horizon + 1)
+
+    def jobs(self, spans: list[tuple]) -> Iterator[tuple[dict, int]]:
+        """The jobs of a message, each as (first, last, deliveries) by digest, and the last delivery of all."""
+        job: dict[str, tuple] = {}
+        reach = 0
+        for first, end, digest, n in sorted(spans, key=lambda s: (s[0], s[2] or "")):
+            if job and first > reach + self.horizon:
+                yield job, reach
+                job = {}
+            reach = max(reach, end) if job else end
+            held = job.get(digest)
+            job[digest] = (first, end, n) if held is None else (held[0], max(held[1], end), held[2] + n)
+        if job:
+            yield job, reach
 
     def close(self) -> None:
         pass
 
 
-def expiring(deliveries: DataFrame, horizon_days: int = 7, delay: str = "1 day") -> DataFrame:
+def expiring(deliveries: DataFrame, horizon_days: int = 7, delay: str = "1 day", buckets: int = BUCKETS) -> DataFrame:
     """KEY..., first_at, last_at, deliveries, digests, conflicts of each job that is closed."""
     keep_state(deliveries.sparkSession)
     at = F.unix_millis(F.col("received_at").cast("timestamp"))
@@ -141,8 +137,10 @@ def expiring(deliveries: DataFrame, horizon_days: int = 7, delay: str = "1 day")
         *KEY, "content_digest", F.floor(at / DAY_MS).alias("day"), F.lit(1).cast("bigint").alias("n"), at.alias("first_at"), at.alias("last_at")
     )
     merged = combined(rows, [*KEY, "content_digest", "day"], sums=["n"], least=["first_at"], most=["last_at"])
-    schema = T.StructType([*(merged.schema[c] for c in KEY), *T._parse_datatype_string(JOB).fields])
-    out = merged.groupBy(*KEY).transformWithState(Jobs(horizon_days * DAY_MS, schema.names), schema, "append", "EventTime")
+    keys = T.StructType([merged.schema[c] for c in KEY])
+    schema = T.StructType([*keys.fields, *T._parse_datatype_string(JOB).fields])
+    placed = merged.select("*", bucket_of(KEY, buckets)).groupBy("bucket")
+    out = placed.transformWithState(Jobs(horizon_days * DAY_MS, keys, schema.names), schema, "append", "EventTime")
     return out.withColumns({c: F.timestamp_millis(c) for c in ("first_at", "last_at")})
 
 

@@ -166,3 +166,12 @@ def test_batches_merge_before_the_shuffle(spark):
     rows = spark.createDataFrame([("a", 1, 5), ("a", 2, 3), (None, 4, 4), (None, 1, 9)], "k string, n long, t long").coalesce(1)
     merged = common.combined(rows.select("k", "n", F.col("t").alias("low"), F.col("t").alias("high")), ["k"], ["n"], ["low"], ["high"])
     assert sorted(map(tuple, merged.collect()), key=str) == [("a", 3, 3, 5), (None, 5, 4, 9)]
+
+
+def test_many_messages_share_the_state_of_a_bucket(spark, tmp_path):
+    rows = [[("m", f"k{i}", i, "p", at(i % 50)) for i in range(400)], [("m", "k0", 0, "p", at(24 * 40))]]
+    schema = "mailbox_id string, provider_message_id string, delivery_id int, content_digest string, received_at timestamp"
+    seen = []
+    source = files(spark, str(tmp_path / "in"), rows, schema)
+    sizes = state_rows(spark, dedup.expiring(source, 7, "1 day", buckets=4), "append", str(tmp_path / "check"), seen)
+    assert max(sizes) <= 4 * 5 and len(seen) == 400 and {r["deliveries"] for r in seen} == {1}
