@@ -14,8 +14,8 @@ the one that sorts first counts.
 :func:`follow` is incremental. Attempts count in the order of their time, then
 their id. A review's state is its standing after all attempts that are final,
 and those ahead that could still apply; attempts that no order can apply are
-counted and dropped at once. A timer at the oldest one ahead makes it final
-when the watermark passes it. Each micro-batch gives the standing of the
+counted and dropped at once. State is kept by bucket of reviews, with one timer
+at the oldest attempt ahead, which is final when the watermark passes it. Each micro-batch gives the standing of the
 reviews that it touched as if all that has arrived were all there is. Attempts
 older than what a review has made final are late: they come out as rows of
 their own and change nothing.
@@ -32,7 +32,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from gridlark.operators.review import NEXT_STATES, may_follow
 from gridlark.session import scratch_path
-from gridlark.streaming.common import append_epochs, drain, keep_state
+from gridlark.streaming.common import BUCKETS, Alarm, Rows, append_epochs, bucket_of, drain, keep_state
 
 ATTEMPT_COLUMNS = ("review_id", "attempt_id", "expected_version", "state", "actor_id")
 UNOWNED = ("PENDING", "CLAIMED", "ERP_CREATED")
@@ -108,6 +108,7 @@ def _reachable() -> list[set[str]]:
 
 REACHABLE = _reachable()
 STANDING = "version long, state string, owner string, refused long, final_until long"
+AHEAD = "at long, attempt_id long, expected_version long, state string, actor_id string"
 Attempt = tuple  # (time in milliseconds, id, expected version, state, actor)
 
 
@@ -124,61 +125,69 @@ def fold(standing: tuple, attempts: list[Attempt]) -> tuple:
 
 
 class Standings(StatefulProcessor):
-    """One review: what is final, and the attempts ahead of it that may still apply."""
+    """A bucket of reviews: what is final of each, and the attempts ahead of it that may still apply."""
 
     row = Row("review_id", "kind", "version", "state", "refused", "attempt_id")
 
+    def __init__(self, review_id: T.StructField) -> None:
+        self.schemas = [T.StructType([review_id, *T._parse_datatype_string(s).fields]) for s in (STANDING, AHEAD)]
+
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.standing = handle.getValueState("standing", STANDING)
-        self.ahead = handle.getListState("ahead", "at long, attempt_id long, expected_version long, state string, actor_id string")
-
-    def load(self) -> tuple[tuple, int, list[Attempt]]:
-        held = self.standing.get()
-        standing, final = (tuple(held[:4]), held[4]) if held is not None else ((0, None, None, 0), -1)
-        return standing, final, [tuple(a) for a in self.ahead.get()]
-
-    def keep(self, standing: tuple, final: int, ahead: list[Attempt]) -> None:
-        self.standing.update((*standing, final))
-        if ahead:
-            self.ahead.put(ahead)
-            self.handle.registerTimer(ahead[0][0] + 1)
-        else:
-            self.ahead.clear()
+        self.standing, self.ahead = (Rows(handle, name, s) for name, s in zip(("standing", "ahead"), self.schemas))
+        self.alarm = Alarm(handle)
+
+    def load(self) -> dict[Any, tuple[tuple, int, list[Attempt]]]:
+        """review -> standing, time until which it is final, attempts ahead in order."""
+        held = {r[0]: (r[1:5], r[5], []) for r in self.standing.load()}
+        for r in self.ahead.load():
+            held[r[0]][2].append(r[1:])
+        return held
+
+    def keep(self, held: dict[Any, tuple[tuple, int, list[Attempt]]]) -> None:
+        self.standing.keep([(review, *standing, final) for review, (standing, final, _) in held.items()])
+        self.ahead.keep([(review, *a) for review, (_, _, ahead) in held.items() for a in ahead])
+        self.alarm.set(min((ahead[0][0] + 1 for _, _, ahead in held.values() if ahead), default=None))
 
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
-        standing, final, ahead = self.load()
-        known = {a[1] for a in ahead}
-        for row in sorted((tuple(r)[1:] for r in rows), key=lambda a: (a[0], a[1], a[2] is not None, a[2] or 0, a[3] or "", a[4] or "")):
-            at, attempt, expected, state, _ = row
-            if attempt in known:
-                continue
-            if at < final:
-                yield self.row(key[0], "late", standing[0], standing[1], standing[3], attempt)
-                continue
-            known.add(attempt)
-            if expected is None or not standing[0] <= expected < len(REACHABLE) or state not in REACHABLE[expected]:
-                standing = (*standing[:3], standing[3] + 1)  # refused in any order
-            else:
-                ahead.append(row)
-        ahead.sort(key=lambda a: a[:2])
-        self.keep(standing, final, ahead)
-        version, state, _, refused = fold(standing, ahead)
-        yield self.row(key[0], "standing", version, state, refused, None)
+        held = self.load()
+        came: dict[Any, list[Attempt]] = {}
+        for r in rows:
+            came.setdefault(r[0], []).append(tuple(r)[1:6])
+        for review, attempts in came.items():
+            standing, final, ahead = held.get(review, ((0, None, None, 0), -1, []))
+            known = {a[1] for a in ahead}
+            for row in sorted(attempts, key=lambda a: (a[0], a[1], a[2] is not None, a[2] or 0, a[3] or "", a[4] or "")):
+                at, attempt, expected, state, _ = row
+                if attempt in known:
+                    continue
+                if at < final:
+                    yield self.row(review, "late", standing[0], standing[1], standing[3], attempt)
+                    continue
+                known.add(attempt)
+                if expected is None or not standing[0] <= expected < len(REACHABLE) or state not in REACHABLE[expected]:
+                    standing = (*standing[:3], standing[3] + 1)  # refused in any order
+                else:
+                    ahead.append(row)
+            ahead.sort(key=lambda a: a[:2])
+            held[review] = standing, final, ahead
+            version, state, _, refused = fold(standing, ahead)
+            yield self.row(review, "standing", version, state, refused, None)
+        self.keep(held)
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
-        standing, final, ahead = self.load()
-        final = max(final, timerValues.getCurrentWatermarkInMs())
-        due = [a for a in ahead if a[0] < final]
-        standing = fold(standing, due)
-        self.keep(standing, final, ahead[len(due) :])
+        held, now = self.load(), timerValues.getCurrentWatermarkInMs()
+        for review, (standing, final, ahead) in held.items():
+            due = [a for a in ahead if a[0] < now]
+            if due:
+                held[review] = fold(standing, due), max(final, now), ahead[len(due) :]
+        self.keep(held)
         yield from ()
 
     def close(self) -> None:
         pass
 
 
-def follow(attempts: DataFrame, delay: str = "1 day") -> DataFrame:
+def follow(attempts: DataFrame, delay: str = "1 day", buckets: int = BUCKETS) -> DataFrame:
     """review_id, kind (standing or late), version, state, refused, attempt_id (of a late attempt); attempts: ATTEMPT_COLUMNS and attempted_at."""
     keep_state(attempts.sparkSession)
     timed = attempts.filter("attempted_at is not null and attempt_id is not null").withWatermark("attempted_at", delay)
@@ -186,9 +195,10 @@ def follow(attempts: DataFrame, delay: str = "1 day") -> DataFrame:
     rows = timed.select(
         "review_id", F.unix_millis(F.col("attempted_at").cast("timestamp")).alias("at"), F.col("attempt_id").cast("bigint"),
         F.col("expected_version").cast("bigint"), F.col("state").cast("string"), F.col("actor_id").cast("string"),
+        bucket_of(["review_id"], buckets),
     )
     schema = T.StructType([rows.schema["review_id"], *T._parse_datatype_string("kind string, version long, state string, refused long, attempt_id long").fields])
-    return rows.groupBy("review_id").transformWithState(Standings(), schema, "update", "EventTime")
+    return rows.groupBy("bucket").transformWithState(Standings(rows.schema["review_id"]), schema, "update", "EventTime")
 
 
 def run_follow(attempts: DataFrame, table: str, checkpoint: str, delay: str = "1 day") -> None:

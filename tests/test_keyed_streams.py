@@ -175,3 +175,13 @@ def test_many_messages_share_the_state_of_a_bucket(spark, tmp_path):
     source = files(spark, str(tmp_path / "in"), rows, schema)
     sizes = state_rows(spark, dedup.expiring(source, 7, "1 day", buckets=4), "append", str(tmp_path / "check"), seen)
     assert max(sizes) <= 4 * 5 and len(seen) == 400 and {r["deliveries"] for r in seen} == {1}
+
+
+def test_many_reviews_share_the_state_of_a_bucket(spark, tmp_path):
+    rows = [(f"r{i}", i, 0, "PENDING", "s", at(i % 50)) for i in range(400)]
+    schema = "review_id string, attempt_id int, expected_version int, state string, actor_id string, attempted_at timestamp"
+    seen = []
+    source = files(spark, str(tmp_path / "in"), [rows, [("r0", 900, 1, "CLAIMED", "a", at(24 * 40))]], schema)
+    sizes = state_rows(spark, review.follow(source, "1 day", buckets=4), "update", str(tmp_path / "check"), seen)
+    now = {r["review_id"]: (r["version"], r["state"]) for r in seen}
+    assert max(sizes) <= 4 * 6 and now.pop("r0") == (2, "CLAIMED") and set(now.values()) == {(1, "PENDING")} and len(now) == 399
