@@ -89,7 +89,8 @@ def champion_or_fallback(
     verdict = grid.groupBy(*by).agg(
         F.bool_and(is_finite(F.col(champion))).alias("_c"), F.bool_and(is_finite(F.col(fallback))).alias("_f")
     )
-    joined = grid.join(verdict, list(by))
+    # One row of two booleans for each batch, of which a calendar has few.
+    joined = grid.join(F.broadcast(verdict), list(by))
     role = F.when(F.col("_c"), CHAMPION).when(F.col("_f"), FALLBACK)
     return joined.withColumns(
         {
