@@ -12,7 +12,7 @@ import uuid
 from collections.abc import Sequence
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, DataFrameWriter, SparkSession, functions as F
 
 from gridlark.functions.hashing import table_fingerprint
 
@@ -82,12 +82,11 @@ def publish_batches(records: DataFrame, folder: str) -> DataFrame:
         # Ranges over the full order: a large batch spreads over many sorted files.
         order = ("batch_id", "target_timestamp", "station_id")
         placed = fresh.repartitionByRange(*order).sortWithinPartitions(*order)
-        for kind, options in (("parquet", {"compression": "zstd"}), ("csv", {"header": "true"})):
-            target = f"{folder}/records" if kind == "parquet" else f"{folder}/csv"
-            (
-                placed.write.format(kind).options(**options).partitionBy("batch_id")
-                .mode("overwrite").option("partitionOverwriteMode", "dynamic").save(target)
-            )
+        _replace(placed.write.format("parquet").option("compression", "zstd"), f"{folder}/records")
+        # The records just written lie in that order, so their CSV needs no second shuffle.
+        stored = spark.read.schema(records.schema).parquet(f"{folder}/records").select(*records.columns)
+        stored = stored.join(F.broadcast(new.select("batch_id")), "batch_id", "left_semi").sortWithinPartitions(*order)
+        _replace(stored.write.format("csv").option("header", "true"), f"{folder}/csv")
         new.select(
             "batch_id", "row_count", "content_sum", "model_role", "batch_status",
             F.current_timestamp().alias("published_at"),
@@ -97,6 +96,11 @@ def publish_batches(records: DataFrame, folder: str) -> DataFrame:
         kept.unpersist()
 
 
+def _replace(writer: DataFrameWriter, target: str) -> None:
+    """Writes whole batches in the place of what was there of them."""
+    writer.partitionBy("batch_id").mode("overwrite").option("partitionOverwriteMode", "dynamic").save(target)
+
+
 def verify_published(spark: SparkSession, folder: str) -> DataFrame:
     """Re-reads every published batch and compares it with its manifest row."""
     stored = spark.read.parquet(f"{folder}/records")

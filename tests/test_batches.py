@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridlark.operators import batches, contracts, folds, messages, monitoring, review
+from gridlark.plans import q_forecast
 from gridlark.session import scratch_path
 from gridlark.sources import publish, tables
 from gridlark.streaming import common, dedup, monitor, publish as stream_publish, review as stream_review
@@ -128,6 +129,25 @@ def test_publishing_is_immutable_and_idempotent(spark):
     assert tables.read_by_suffix(spark, f"{out}/csv/batch_id=b1/*.csv").count() == 126
 
 
+def test_a_published_batch_is_placed_by_one_shuffle(spark, monkeypatch):
+    out = scratch_path(spark, "test-publish")
+    _, made = records(spark, stations=3)
+    plans = []
+    save = publish._replace
+    monkeypatch.setattr(publish, "_replace", lambda writer, target: plans.append(writer._df) or save(writer, target))
+    publish.publish_batches(made, out)
+    text = [p._jdf.queryExecution().executedPlan().toString() for p in plans]
+    assert ["Exchange rangepartitioning" in t for t in text] == [True, False]
+    stored = spark.read.schema(made.schema).parquet(f"{out}/records").select(*made.columns)
+    listed = spark.read.schema(made.schema).option("header", True).csv(f"{out}/csv").select(*made.columns)
+    assert stored.count() == 126 and stored.exceptAll(listed).isEmpty()
+
+
+def test_stored_batches_serve_verdict_and_records(spark):
+    plan = q_forecast.records(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "SortMergeJoin" not in plan
+
+
 def test_guarded_csv(spark):
     path = scratch_path(spark, "test-csv")
     _, made = records(spark, stations=2)
