@@ -13,51 +13,33 @@ from gridlark.session import materialize
 SEASON_DAYS = 7  # fixed value
 
 
-def median_levels(
-    history: DataFrame, scope: Sequence[str] = ()
-) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """Medians by station-weekday-hour, station-hour, station, and overall.
-
-    One shuffle by station serves all three keyed levels; a station holds at most
-    one row per calendar hour.  The overall level can hold all rows and is found
-    by refining ranges, or by a bracket for each scope.
-    """
-    known = history.filter(F.col("target").isNotNull()).select(
-        *scope, "station_id", F.weekday("local_date").alias("weekday"), "local_hour", "target"
-    )
-    station = [*scope, "station_id"]
-    placed = known.repartition(*station)
-    return (
-        median_by_rank(placed, [*station, "weekday", "local_hour"], "target", "_m_detail"),
-        median_by_rank(placed, [*station, "local_hour"], "target", "_m_hour"),
-        median_by_rank(placed, station, "target", "_m_station"),
-        # Several passes look at the whole column, so it is stored once.
-        exact_median(known if scope else materialize(known.select("target")), scope, "target", "_m_all"),
-    )
-
-
 def historical_median(targets: DataFrame, history: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
     """Adds ``median_forecast``: the finest median that exists, never below zero.
 
     ``history`` is already cut at the origin.  With no history at all the
-    forecast is NULL.
+    forecast is NULL.  A level takes the history of those targets only that no
+    finer level has served, and most find the finest.
     """
-    detail, hour, station, overall = median_levels(history, scope)
-    keys = [*scope, "station_id"]
-    df = (
-        targets.withColumn("weekday", F.weekday("local_date"))
-        .join(detail, [*keys, "weekday", "local_hour"], "left")
-        .join(hour, [*keys, "local_hour"], "left")
-        .join(station, keys, "left")
-    )
-    df = df.join(F.broadcast(overall), list(scope), "left") if scope else df.withColumn(
-        "_m_all", overall.scalar()
+    known = history.filter(F.col("target").isNotNull()).select(
+        *scope, "station_id", F.weekday("local_date").alias("weekday"), "local_hour", "target"
     )
-    chosen = F.coalesce("_m_detail", "_m_hour", "_m_station", "_m_all")
-    out = df.withColumn("median_forecast", F.when(chosen.isNotNull(), at_least_zero(chosen)))
-    return out.drop("_m_detail", "_m_hour", "_m_station", "_m_all", *(
-        [] if "weekday" in targets.columns else ["weekday"]
-    ))
+    keys = [*scope, "station_id"]
+    df = targets.withColumn("weekday", F.weekday("local_date")).withColumn("_m", F.lit(None).cast("double"))
+    for level in ([*keys, "weekday", "local_hour"], [*keys, "local_hour"], keys):
+        wanted = df.filter("_m is null").select(*level).distinct()
+        found = known.select(*level, "target").join(wanted.hint("shuffle_hash"), level, "left_semi")
+        found = median_by_rank(found, level, "target", "_next")
+        df = materialize(df.join(found, level, "left").withColumn("_m", F.coalesce("_m", "_next")).drop("_next"))
+        if df.filter("_m is null").isEmpty():
+            break
+    else:
+        # Several passes look at the whole column, so it is stored once.
+        overall = exact_median(known if scope else materialize(known.select("target")), scope, "target", "_m_all")
+        df = df.join(F.broadcast(overall), list(scope), "left") if scope else df.withColumn("_m_all", overall.scalar())
+        df = df.withColumn("_m", F.coalesce("_m", "_m_all")).drop("_m_all")
+    out = df.withColumn("median_forecast", F.when(F.col("_m").isNotNull(), at_least_zero(F.col("_m")))).drop("_m")
+    kept = [*targets.columns, "median_forecast"]
+    return out.select(*kept)
 
 
 def seasonal_naive(targets: DataFrame, history: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
@@ -67,7 +49,9 @@ def seasonal_naive(targets: DataFrame, history: DataFrame, scope: Sequence[str]
     missing, the hierarchical median.
     """
     keys = [*scope, "station_id", "local_hour", "local_date"]
-    earlier = history.select(
+    # Only the week before the targets can match.
+    first, last = (targets.agg(f(F.date_sub("local_date", SEASON_DAYS))).scalar() for f in (F.min, F.max))
+    earlier = history.filter(F.col("local_date").between(first, last)).select(
         *keys[:-1],
         F.date_add("local_date", SEASON_DAYS).alias("local_date"),
         F.col("target").alias("_season"),

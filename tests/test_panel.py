@@ -168,6 +168,22 @@ def test_baselines_follow_the_hierarchy(spark):
         assert row.seasonal_forecast == (float(week.target.iloc[0]) if len(week) else median)
 
 
+def test_coarser_medians_are_sought_for_unserved_targets_only(spark, monkeypatch):
+    df = to_spark(spark, panel_frame(seed=5, days=60)).filter("target is not null")
+    targets = df.select("station_id", "local_date", "local_hour")
+    asked = []
+    ranked = baselines.median_by_rank
+    monkeypatch.setattr(baselines, "median_by_rank", lambda rows, keys, *names: asked.append(list(keys)) or ranked(rows, keys, *names))
+    monkeypatch.setattr(baselines, "exact_median", lambda *_: pytest.fail("no target needs the overall median"))
+    served = baselines.historical_median(targets, df)
+    assert served.filter("median_forecast is null").isEmpty() and asked == [["station_id", "weekday", "local_hour"]]
+
+
+def test_batches_shuffle_cells_once_and_stations_once(spark):
+    plan = dv.batches(spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2 and "Join" not in plan
+
+
 def test_folds_expand_and_splits_ignore_row_order(spark):
     df = to_spark(spark, panel_frame(seed=2))
     windows = folds.FoldWindows(F.lit(str(DAY + dt.timedelta(days=119))).cast("date"), "Europe/Berlin")
