@@ -718,15 +718,29 @@ _ASOF_LAGS = (7, 14, 21, 28, 364)
     ),
 )
 def asof_features(spark: SparkSession, folder: str) -> DataFrame:
-    """Features of every train and validation row, each fold blind after its origin."""
-    rows = folds.fold_rows(dv.panel(spark, folder), _folds(spark, folder))
-    visible = rows.withColumn("visible", F.when(F.col("timestamp_utc") <= F.col("origin"), F.col("target")))
-    keys = ["fold_id", "station_id", "local_hour"]
-    columns = features.lag_columns("visible", keys, _ASOF_LAGS, "passenger") | {
-        n: F.round(c, 6) for n, c in features.window_columns("visible", keys, features.WINDOW_DAYS, "passenger").items()
-    }
-    return visible.withColumns(columns).select(
-        "fold_id", "role", "station_id", dv.text_day("local_date").alias("local_date"), "local_hour", *columns
+    """Features of every train and validation row, each fold blind after its origin.
+
+    The frames of a training row end a day before it and so before any origin of
+    a fold that trains on it: they are computed once for all folds.  Validation
+    rows see the longest lag before their fold, cut at its origin.
+    """
+    panel, windows = materialize(dv.panel(spark, folder)), _folds(spark, folder)
+
+    def featured(rows: DataFrame, value: str, scope: list[str]) -> DataFrame:
+        keys = [*scope, "station_id", "local_hour"]
+        means = features.window_columns(value, keys, features.WINDOW_DAYS, "passenger")
+        columns = features.lag_columns(value, keys, _ASOF_LAGS, "passenger") | {n: F.round(c, 6) for n, c in means.items()}
+        return rows.withColumns(columns)
+
+    train = folds.fold_rows(featured(panel, "target", []), windows).filter("role = 'train'")
+    recent = folds.fold_rows(panel, windows).filter(F.col("local_date") >= F.date_sub("start_date", max(*_ASOF_LAGS, *features.WINDOW_DAYS)))
+    visible = recent.withColumn("visible", F.when(F.col("timestamp_utc") <= F.col("origin"), F.col("target")))
+    held = featured(visible, "visible", ["fold_id"]).filter("role = 'validation'").drop("visible")
+    rows = train.unionByName(held)
+    known = (*panel.columns, "fold_id", "start_date", "end_date", "origin", "role")
+    return rows.select(
+        "fold_id", "role", "station_id", dv.text_day("local_date").alias("local_date"), "local_hour",
+        *[c for c in rows.columns if c not in known],
     )
 
 

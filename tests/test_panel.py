@@ -184,6 +184,15 @@ def test_batches_shuffle_cells_once_and_stations_once(spark):
     assert plan.count("Exchange hashpartitioning") == 2 and "Join" not in plan
 
 
+def test_training_rows_of_all_folds_share_their_windows(spark):
+    from gridlark.plans import q_panel
+
+    plan = q_panel.asof_features(spark, FOLDER)._jdf.queryExecution().optimizedPlan().toString()
+    # Of the two families of windows, only that of the validation weeks runs by fold.
+    by_fold = [line for line in plan.splitlines() if " Window " in line or line.strip().startswith("Window")]
+    assert any("[fold_id" in line for line in by_fold) and any("[station_id" in line for line in by_fold)
+
+
 def test_folds_expand_and_splits_ignore_row_order(spark):
     df = to_spark(spark, panel_frame(seed=2))
     windows = folds.FoldWindows(F.lit(str(DAY + dt.timedelta(days=119))).cast("date"), "Europe/Berlin")
