@@ -15,6 +15,7 @@ PRICE_TOLERANCE = "0.02"
 MAX_ORDER_VALUE = "50000"
 SEARCH_LIMIT = 5
 SEARCH_MIN_LENGTH = 3
+SEARCH_WHOLE = 8  # longest query that is looked up as one piece
 HISTORY_LIMIT = 5
 
 
@@ -214,23 +215,32 @@ def catalog_recheck(
     return joined.select("order_key", "customer_id", "live_total", codes.alias("codes"))
 
 
-def _trigrams(text: Column) -> Column:
-    """Distinct three-character pieces of a text."""
-    starts = F.sequence(F.lit(1), F.length(text) - 2)
-    return F.when(F.length(text) >= 3, F.array_distinct(F.transform(starts, lambda i: F.substr(text, i, F.lit(3)))))
+def _pieces(text: Column, size: Column) -> Column:
+    """Distinct pieces of a text of one length."""
+    starts = F.sequence(F.lit(1), F.length(text) - size + 1)
+    return F.when(F.length(text) >= size, F.array_distinct(F.transform(starts, lambda i: F.substr(text, i, size))))
+
+
+def _cut(texts: DataFrame, asked: DataFrame, piece: str) -> DataFrame:
+    """The texts with each of their pieces that has a length queries are found by: a handful of lengths."""
+    sizes = asked.agg(F.collect_set("_n").alias("s")).scalar()
+    sized = texts.withColumn("_sizes", sizes).withColumn("_n", F.explode("_sizes"))
+    return sized.select(*texts.columns, F.explode(_pieces(F.col("_text"), F.col("_n"))).alias(piece))
 
 
 def catalog_search(queries: DataFrame, catalog: DataFrame, limit: int = SEARCH_LIMIT) -> DataFrame:
     """First SKUs, in SKU order, whose name or SKU contains the query text.
 
-    A text that contains the query also contains each of its trigrams, so an
-    equi-join on the query's rarest trigram finds all candidates.  Names shared
-    by many products join once, carrying only their first few SKUs: no more can
-    ever be shown.
+    A query of up to SEARCH_WHOLE characters is itself a piece of every text that
+    contains it: an equi-join on pieces of its length finds exactly its texts, and
+    a piece keeps its first few SKUs before it meets the query.  A longer query
+    meets the texts that share its rarest piece, of the largest power of two that
+    fits, and these are verified.  So pairs that do not match stay few, however
+    many queries and products there are.  Names shared by many products carry
+    only their first few SKUs: no more can ever be shown.
     """
-    asked = queries.select("query").distinct().withColumn("_q", F.lower(F.trim("query"))).filter(
-        F.length("_q") >= SEARCH_MIN_LENGTH
-    )
+    size = F.length("_q")
+    asked = queries.select("query").distinct().withColumn("_q", F.lower(F.trim("query"))).filter(size >= SEARCH_MIN_LENGTH)
     active = catalog.filter("active")
     by_name = (
         active.select(F.lower("name").alias("_text"), "sku")
@@ -240,20 +250,33 @@ def catalog_search(queries: DataFrame, catalog: DataFrame, limit: int = SEARCH_L
         .select("_text", "sku")
     )
     by_sku = active.select(F.lower("sku").alias("_text"), "sku")
-    entries = by_name.unionByName(by_sku)
+    # Partitions that are not merged: a text becomes dozens of pieces, and a task sorts them.
+    tasks = int(catalog.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bucket = F.pmod(F.xxhash64("sku"), F.lit(8 * tasks))
+    entries = by_name.unionByName(by_sku).withColumn("_bucket", bucket).repartition(tasks, "_bucket")
+
+    def first(pieces: DataFrame, keys: list[str]) -> DataFrame:
+        ranked = pieces.withColumn("place", F.dense_rank().over(Window.partitionBy(*keys).orderBy("sku")))
+        return ranked.filter(F.col("place") <= limit)
+
+    whole = asked.filter(size <= SEARCH_WHOLE).withColumn("_n", size)
+    # First where the pieces are cut, so that no piece is hot in the shuffle.
+    held = first(_cut(entries.select("_bucket", "_text", "sku"), whole, "_q"), ["_bucket", "_q"])
+    kept = first(held.select("_q", "sku").repartition(tasks, "_q"), ["_q"]).distinct()
+    short = whole.join(kept, "_q").select("query", "place", "sku")
+
+    long = asked.filter(size > SEARCH_WHOLE).withColumn("_n", F.expr("shiftleft(1, length(bin(length(_q))) - 1)"))
     texts = entries.select("_text").distinct()
-    grams = texts.select("_text", F.explode(_trigrams(F.col("_text"))).alias("_gram"))
+    grams = _cut(texts, long, "_gram")
     weight = grams.groupBy("_gram").agg(F.count(F.lit(1)).alias("_w"))
-    pieces = asked.select("query", "_q", F.explode(_trigrams(F.col("_q"))).alias("_gram"))
+    parts = long.select("query", "_q", F.explode(_pieces(F.col("_q"), F.col("_n"))).alias("_gram"))
     rarest = (
-        pieces.join(weight, "_gram", "left")
+        parts.join(weight, "_gram", "left")
         .groupBy("query", "_q")
         .agg(F.min_by("_gram", F.struct(F.coalesce("_w", F.lit(0)).alias("w"), F.col("_gram").alias("g"))).alias("_gram"))
     )
     matched = rarest.join(grams, "_gram").filter(F.contains(F.col("_text"), F.col("_q"))).select("query", "_text")
-    found = matched.join(entries, "_text").select("query", "sku").distinct()
-    ranked = found.withColumn("place", F.row_number().over(Window.partitionBy("query").orderBy("sku")))
-    top = ranked.filter(F.col("place") <= limit)
+    top = short.unionByName(first(matched.join(entries, "_text").select("query", "sku"), ["query"]).distinct().select(short.columns))
     shown = active.select("sku", "name", "unit_price", "currency", "stock_qty")
     return top.join(shown, "sku").select("query", "place", "sku", "name", "unit_price", "currency", "stock_qty")
 

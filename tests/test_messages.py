@@ -235,6 +235,35 @@ def test_search_is_literal_and_limited(spark):
     assert got["x_1"] == [(1, "X_1")] and not got["%%%"] and not got["ed"] and len(got["RED "]) == 5
 
 
+def test_search_meets_matching_pairs_only(spark):
+    skus = [str(n) for n in range(100_000, 101_500)]
+    names = ["Customer#%09d" % n for n in range(300)]
+    catalog = spark.createDataFrame(
+        [(s, names[i % 300], Decimal("1.0000"), "EUR", 1, True) for i, s in enumerate(skus)],
+        "sku string, name string, unit_price decimal(18,4), currency string, stock_qty int, active boolean",
+    )
+    wanted = skus[::2] + ["0100", "999999"] + [n.upper() for n in names[::3]] + ["customer#00000012"]
+    got = orders.catalog_search(spark.createDataFrame([(w,) for w in wanted], "query string"), catalog)
+    found = defaultdict(list)
+    for r in got.collect():
+        found[r.query].append((r.place, r.sku))
+    for query in wanted:
+        hits = sorted(s for i, s in enumerate(skus) if query.lower() in s or query.lower() in names[i % 300].lower())[:5]
+        assert sorted(found.get(query, [])) == list(enumerate(hits, 1)), query
+
+    def joined(node):
+        """Rows out of each join below the node."""
+        name, metrics = node.nodeName(), node.metrics()
+        if "Join" in name:
+            yield metrics.apply("numOutputRows").value()
+        below = [node.executedPlan()] if name == "AdaptiveSparkPlan" else [node.plan()] if "QueryStage" in name else []
+        children = node.children()
+        for child in below + [children.apply(i) for i in range(children.size())]:
+            yield from joined(child)
+
+    assert max(joined(got._jdf.queryExecution().executedPlan())) <= 4 * len(wanted)
+
+
 def test_chain_builds_verifies_and_locates_damage(spark):
     rows = [("hot", i, f"{i:064x}") for i in range(1, 301)] + [("b", 1, "f" * 64), ("c", 1, "e" * 64), ("c", 2, "d" * 64)]
     events = spark.createDataFrame(rows, "trace_id string, sequence bigint, content_digest string")
