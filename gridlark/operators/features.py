@@ -20,6 +20,8 @@ PASSENGER_LAGS = (7, 14, 21, 28, 364)
 TRAFFIC_LAGS = (7, 14, 28)
 WINDOW_DAYS = (28, 56, 91)
 CITY_STATISTICS = ("mean", "min", "max", "std")
+#: Rows of a table that may go to every executor, each of some 150 bytes.
+SENT_ROWS = 500_000
 
 
 def lag_columns(value: str, keys: Sequence[str], days: Sequence[int], prefix: str) -> dict[str, Column]:
@@ -112,6 +114,16 @@ def sensor_traffic(traffic: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
     )
 
 
+def slot_keys(slots: DataFrame, mapping: DataFrame) -> DataFrame:
+    """Every sensor of the mapping at every slot, in place of the keys that rows have: no pass over the rows."""
+    return slots.crossJoin(F.broadcast(mapping.select("sensor_id").filter("sensor_id is not null").distinct()))
+
+
+def sent(table: DataFrame) -> DataFrame:
+    """A stored table, marked to go whole to every executor while it is small, else to be hashed by partition."""
+    return F.broadcast(table) if table.count() <= SENT_ROWS else table.hint("shuffle_hash")
+
+
 def traffic_tables(traffic: DataFrame, placed: DataFrame, scope: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
     """Lags and windows of each sensor and of the whole city at the keys of ``placed``.
 
@@ -157,7 +169,8 @@ def weather_features(targets: DataFrame, weather: DataFrame) -> DataFrame:
     """Weather valid at the target instant; deliberately not cut at the origin."""
     values = weather.select("timestamp_utc", "temperature", "precipitation")
     joined = with_missing_flags(
-        targets.join(values, "timestamp_utc", "left"), ("temperature", "precipitation")
+        # One row for each calendar hour: that bounds the broadcast.
+        targets.join(F.broadcast(values), "timestamp_utc", "left"), ("temperature", "precipitation")
     )
     rain = F.coalesce(F.col("precipitation"), F.lit(0.0)) > 0
     return joined.withColumn("rain_indicator", rain.cast("byte"))
@@ -183,21 +196,31 @@ def build_features(
     traffic: DataFrame,
     mapping: DataFrame,
     scope: Sequence[str] = (),
+    tables: tuple[DataFrame, DataFrame] | None = None,
 ) -> DataFrame:
     """The full feature table; passenger and traffic histories arrive already cut.
 
     ``scope`` names extra leading keys (a fold) that histories and targets share.
     ``passengers`` is the history, or the name of the targets' column with the
     labels visible at the origin when the targets include their own history.
+    ``tables`` are the traffic tables where the caller has stored them.
     """
-    df = with_calendar(targets)
-    df = station_features(df, stations)
     if isinstance(passengers, str):
-        df = passenger_features_in_place(df, passengers, scope).drop(passengers)
+        df = passenger_features_in_place(targets, passengers, scope).drop(passengers)
     else:
-        df = passenger_features(passengers, df, scope)
-    df = weather_features(df, weather)
-    return traffic_features(traffic, df, mapping, scope).drop("sensor_id")
+        df = passenger_features(passengers, targets, scope)
+    # What is known of a station joins in the partitions of the windows, what is known of a slot where the rows are:
+    # windows sort narrow rows, and wide ones stay in place.
+    df = station_features(df, stations).join(mapping, "station_id", "left")
+    df = weather_features(with_calendar(df), weather)
+    near, city = tables or traffic_tables(traffic, df, scope)
+    wide = with_traffic(df, near, city, scope).drop("sensor_id")
+    lead = [*scope, "local_hour", "local_date", "station_id", "timestamp_utc"]
+    lead += [c for c in targets.columns if c not in (*lead, passengers if isinstance(passengers, str) else None)]
+    lead += [*CALENDAR_COLUMNS, *STATION_COLUMNS]
+    rest = [c for c in wide.columns if c not in (*lead, "sensor_distance_km")]
+    at = rest.index("rain_indicator") + 1
+    return wide.select(*lead, *rest[:at], "sensor_distance_km", *rest[at:])
 
 
 IDENTITY = ("timestamp_utc", "local_date", "target", "fold_id", "role", "origin", "position")

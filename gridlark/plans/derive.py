@@ -38,17 +38,35 @@ PANEL_SQL = """panel AS (
   FROM lineitem GROUP BY ALL)"""
 
 
-def panel(spark: SparkSession, folder: str) -> DataFrame:
-    lines = table(spark, folder, "lineitem").select(
+def _panel_lines(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "lineitem").select(
         F.col("l_suppkey").cast("string").alias("station_id"),
         F.to_date("l_shipdate").alias("local_date"),
         (F.lit(7) + (F.col("l_linenumber") - 1) % 6).cast("short").alias("local_hour"),
         F.when(~((F.col("l_returnflag") == "R") & (F.col("l_linestatus") == "F")), F.col("l_quantity")).alias("q"),
     )
+
+
+def _panel_cells(lines: DataFrame) -> DataFrame:
     cells = lines.groupBy("station_id", "local_date", "local_hour").agg(F.sum("q").alias("target"))
     return cells.withColumn("timestamp_utc", at_hour("local_date", "local_hour"))
 
 
+def panel(spark: SparkSession, folder: str) -> DataFrame:
+    return _panel_cells(_panel_lines(spark, folder))
+
+
+def panel_by_station(spark: SparkSession, folder: str) -> DataFrame:
+    """The panel in partitions by station that are not merged: cells, windows and joins of a station share one shuffle."""
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return _panel_cells(_panel_lines(spark, folder).repartition(tasks, "station_id"))
+
+
+def panel_slots(spark: SparkSession, folder: str) -> DataFrame:
+    """Calendar hours of the panel, at most 24 a day."""
+    return _panel_lines(spark, folder).select("local_date", "local_hour").distinct()
+
+
 STATIONS_SQL = """stations AS (
   SELECT CAST(s_suppkey AS VARCHAR) AS station_id, s_name AS station_name,
          -60.0 + CAST((s_suppkey * 37) % 1200 AS DOUBLE) / 10 AS latitude,

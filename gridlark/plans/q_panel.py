@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
 from gridlark.functions import calendar as cal, numeric as num
@@ -10,7 +12,7 @@ from gridlark.functions.hashing import table_fingerprint
 from gridlark.operators import baselines, contracts, evaluation, features, folds, spatial
 from gridlark.plans import derive as dv
 from gridlark.plans.registry import register
-from gridlark.session import materialize
+from gridlark.session import keep_methods_small, materialize
 from gridlark.sources.tables import read_shared as table
 
 FOLD_HISTORY_SQL = """fold_rows AS (
@@ -558,6 +560,28 @@ LEFT JOIN city c{n} ON c{n}.local_hour = t.local_hour AND c{n}.local_date = t.lo
 )
 
 
+def _traffic_at(spark: SparkSession, folder: str, mapping: DataFrame, names: Sequence[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """The stored traffic tables at all slots of the panel; ``names`` are kept alone, to four places."""
+    keep_methods_small(spark)
+    slots = materialize(dv.panel_slots(spark, folder))
+    found = features.traffic_tables(materialize(dv.traffic(spark, folder)), features.slot_keys(slots, mapping))
+    if names is not None:
+        found = [t.select(*[c for c in t.columns if c in ("sensor_id", "local_hour", "local_date")], *[F.round(c, 4).alias(c) for c in t.columns if c in names]) for t in found]
+    near, city = map(materialize, found)
+    return features.sent(near), city
+
+
+def _panel_traffic(spark: SparkSession, folder: str, names: Sequence[str]) -> DataFrame:
+    """Columns of the traffic tables at the panel's rows.
+
+    Values are rounded once in the tables, which the calendar bounds, not once a row.
+    """
+    mapping = materialize(station_mapping(spark, folder))
+    placed = dv.panel_by_station(spark, folder).join(mapping, "station_id", "left")
+    out = features.with_traffic(placed, *_traffic_at(spark, folder, mapping, names))
+    return out.select("station_id", F.col("local_date").cast("string").alias("local_date"), "local_hour", *names)
+
+
 @register(
     "traffic_lags",
     dv.with_ctes(
@@ -568,16 +592,11 @@ FROM panel p JOIN mapping m USING (station_id) JOIN target_keys t ON t.sensor_id
     ),
 )
 def traffic_lags(spark: SparkSession, folder: str) -> DataFrame:
-    out = features.traffic_features(
-        materialize(dv.traffic(spark, folder)), materialize(dv.panel(spark, folder)), materialize(station_mapping(spark, folder)))
-    names = [
+    return _panel_traffic(spark, folder, [
         f"traffic_{part}_lag_{n}d"
         for n in features.TRAFFIC_LAGS
         for part in ("nearest", *[f"city_{s}" for s in features.CITY_STATISTICS])
-    ]
-    return out.select(
-        "station_id", dv.text_day("local_date").alias("local_date"), "local_hour", *[F.round(n, 4).alias(n) for n in names]
-    )
+    ])
 
 
 def _series_sql(source: str, keys: str, value: str, prefix: str) -> str:
@@ -610,14 +629,9 @@ LEFT JOIN city_w c ON c.local_hour = p.local_hour AND c.local_date = p.local_dat
     ),
 )
 def traffic_windows(spark: SparkSession, folder: str) -> DataFrame:
-    out = features.traffic_features(
-        materialize(dv.traffic(spark, folder)), materialize(dv.panel(spark, folder)), materialize(station_mapping(spark, folder)))
-    names = [
+    return _panel_traffic(spark, folder, [
         f"traffic_{part}_{s}_{n}d" for part in ("nearest", "city") for n in features.WINDOW_DAYS for s in ("mean", "median")
-    ]
-    return out.select(
-        "station_id", dv.text_day("local_date").alias("local_date"), "local_hour", *[F.round(n, 4).alias(n) for n in names]
-    )
+    ])
 
 
 @register(
@@ -779,11 +793,12 @@ def feature_registry(spark: SparkSession, folder: str) -> DataFrame:
 
 def full_features(spark: SparkSession, folder: str) -> DataFrame:
     """The complete feature table of the panel's own rows, one origin at the panel's end."""
-    panel = materialize(dv.panel(spark, folder))
+    mapping = materialize(station_mapping(spark, folder))
+    near, city = _traffic_at(spark, folder, mapping)
+    panel = dv.panel_by_station(spark, folder)
     return features.build_features(
         panel.select("station_id", "timestamp_utc", "local_date", "local_hour", "target", F.col("target").alias("visible")),
-        dv.stations(spark, folder), "visible", dv.weather(spark, folder), materialize(dv.traffic(spark, folder)),
-        materialize(station_mapping(spark, folder)),
+        dv.stations(spark, folder), "visible", dv.weather(spark, folder), near, mapping, tables=(near, city),
     )
 
 

@@ -24,6 +24,15 @@ def build_session(app: str = "gridlark", **conf: str) -> SparkSession:
     return builder.getOrCreate()
 
 
+def keep_methods_small(spark: SparkSession) -> None:
+    """For tables of dozens of columns: the JVM never compiles a method over 8,000 bytes.
+
+    Spark's fused loop over such rows is one method, up to 65,535 bytes by default,
+    and would be interpreted; under this limit its operators run one by one, compiled.
+    """
+    spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder all executors can reach: the cluster's checkpoint folder.
 

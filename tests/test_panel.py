@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridlark.operators import baselines, contracts, evaluation, features, folds, models, spatial
-from gridlark.plans import derive as dv, q_models
+from gridlark.plans import derive as dv, load_all, q_models
 
 FOLDER = "/root/testdata/sf0.001"
 DAY = dt.date(2025, 1, 1)
@@ -109,6 +109,31 @@ def test_nothing_after_the_origin_moves_a_feature(spark):
     assert len(names) == 100 and len(set(names)) == 100
 
 
+@pytest.mark.skipif(not os.path.isdir(FOLDER), reason="shared tables are not here")
+@pytest.mark.parametrize("name", ["feature_table", "traffic_lags"])
+def test_panel_rows_move_once(spark, name):
+    """Rows of the panel go through one shuffle, by station and before they are wide; tables that join are bounded."""
+    plan = load_all()[name].build(spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
+    moved = [line for line in plan.splitlines() if "Exchange" in line and "Broadcast" not in line and "station_id" in line]
+    assert len(moved) == 1 and "hashpartitioning(station_id" in moved[0], moved
+    assert "SortMergeJoin" not in plan
+
+
+def test_slots_by_sensor_give_the_rows_own_keys_the_same_features(spark):
+    df, stations, traffic, weather, mapping = world(spark, panel_frame(seed=3))
+    targets = df.select("station_id", "timestamp_utc", "local_date", "local_hour", F.col("target").alias("visible"))
+    slots = targets.select("local_date", "local_hour").distinct()
+    tables = features.traffic_tables(traffic, features.slot_keys(slots, mapping))
+    want, got = (
+        features.build_features(targets, stations, "visible", weather, traffic, mapping, tables=t).toPandas()
+        .sort_values(["station_id", "timestamp_utc"]).reset_index(drop=True) for t in (None, tables)
+    )
+    pd.testing.assert_frame_equal(want, got)
+    names = list(got.columns)
+    assert names[:4] == ["local_hour", "local_date", "station_id", "timestamp_utc"]
+    assert names.index("rain_indicator") + 1 == names.index("sensor_distance_km") == names.index("traffic_nearest_lag_7d") - 1
+
+
 def test_repeated_autumn_hour_keeps_one_row(spark):
     rows = [("s", "2025-10-26 00:30:00", 10.0), ("s", "2025-10-26 01:30:00", 20.0)]
     df = spark.createDataFrame(rows, "sensor_id string, t string, traffic double").withColumn("timestamp_utc", F.to_timestamp("t"))
