@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from gridlark.llm.common import crc, narrow, pieces, store
 from gridlark.llm.tokens import encoder
 
-BLOCK_BYTES = 2_000_000
+BLOCK_BYTES = 8_000_000
 #: Pieces that one task packs: their memory is bounded, and the loss at a group's end stays below 0.1 %.
 GROUP = 100_000
 
@@ -42,7 +42,7 @@ def tokenize(df: DataFrame, tokenizer_path: str, end_id: int, size: int, cut: st
         end = made.pack([end_id])
         for block in pieces(batches, "text", BLOCK_BYTES):
             rows = []
-            for doc, ids in zip(block["doc_id"].to_pylist(), made.encode(block["text"].to_pylist())):
+            for doc, ids in zip(block["doc_id"].to_pylist(), made.encode(block["text"])):
                 ids += end
                 for number, low in enumerate(range(0, len(ids), 4 * size)):
                     part = ids[low : low + 4 * size]

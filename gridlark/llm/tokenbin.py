@@ -31,7 +31,7 @@ from gridlark.llm.common import crc, narrow, parts, pieces, store
 from gridlark.llm.tokens import encoder
 from gridlark.session import scratch_path
 
-BLOCK_BYTES = 2_000_000
+BLOCK_BYTES = 8_000_000
 NO_ID = np.iinfo(np.int64).min
 
 
@@ -57,7 +57,7 @@ def write(df: DataFrame, tokenizer_path: str, end_id: int, cut: str = "byte", fo
         sizes: list[np.ndarray] = []
         with files.open_write(path + ".bin") as out:
             for block in pieces(batches, "text", BLOCK_BYTES):
-                coded = made.encode(block["text"].to_pylist())
+                coded = made.encode(block["text"])
                 out.write(b"".join(x + end for x in coded))
                 sizes.append(np.fromiter((len(x) // width + 1 for x in coded), np.int64, len(coded)))
                 ids.append(block["doc_id"].fill_null(int(NO_ID)).to_numpy())
