@@ -39,6 +39,17 @@ def store(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def store_clean(df: DataFrame, label: str) -> DataFrame:
+    """`store`, whose shuffle files go when the table is written, not when the driver next collects garbage."""
+    conf, key = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(key, None)
+    conf.set(key, "true")
+    try:
+        return store(df, label)
+    finally:
+        conf.unset(key) if before is None else conf.set(key, before)
+
+
 def sweep(spark: SparkSession) -> None:
     """Spark removes the shuffle files of tables that nothing refers to when the driver collects garbage; have it do so now."""
     gc.collect()

@@ -16,7 +16,9 @@ one anchor form a passage, of at most 2 * WINDOW - ANCHOR bytes.
    prefixes of WINDOW or more are equal windows, and of all their places all
    but the first in the corpus start earlier elsewhere. Of an anchor whose
    passages are all the same bytes there is nothing to build: the windows of a
-   passage differ from each other, so all its places but the first go.
+   passage differ from each other, so all its places but the first go. Equal
+   windows have their anchor at the same place, so a passage whose bytes around
+   the anchor are like those of no other passage needs no building either.
 
 Passages are short, so a round inserts one byte of every passage and the
 number of rounds is bounded, whatever the length of the documents. Anchors
@@ -36,6 +38,7 @@ rows. Operators read the id and text they are told to; others cannot clash.
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -46,13 +49,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gridlark.llm import columns
-from gridlark.llm.common import id_key, mix, parts, pieces, store, sweep
+from gridlark.llm.common import id_key, mix, parts, pieces, store_clean
 from gridlark.session import scratch_path
 
 WINDOW, ANCHOR = 100, 24
 BLOCK_BYTES = 4_000_000
 #: Passages of one anchor that a collection holds; bytes of a collection.
 HOT, COLLECTION = 4096, 1 << 20
+#: Bytes before the anchor at which the look around it is aligned; less is stricter and takes more looks.
+LOOK = 19
 
 
 def gram_hashes(raw: np.ndarray) -> np.ndarray:
@@ -256,8 +261,10 @@ def late_windows(key: np.ndarray, doc: np.ndarray, sub: np.ndarray, start: np.nd
     keys[which] = key
     _, group, members = np.unique(keys, return_inverse=True, return_counts=True)
     several = np.flatnonzero(members[group] > 1)
+    different = list(numbers)
+    if len(several):
+        several = several[alike([different[i] for i in several.tolist()], keys[several])]
     if len(several):
-        different = list(numbers)
         sequence, offset, earliest = earliest_places([different[i] for i in several.tolist()], first[several], folder, **sizes)
         least[begin[several][sequence] + offset] = earliest
     # Every place of a passage has the windows of its sequence.
@@ -268,6 +275,33 @@ def late_windows(key: np.ndarray, doc: np.ndarray, sub: np.ndarray, start: np.nd
     return copies[late], step[late]
 
 
+def alike(passages: list[bytes], keys: np.ndarray) -> np.ndarray:
+    """Which of the different passages may share a window with another one of their anchor.
+
+    A window holds l bytes before the anchor and WINDOW - ANCHOR - l after it.
+    With l rounded down to a multiple of LOOK, and the bytes after it to what
+    they are at least then, all windows lie around one of a few strings.
+    """
+    cat = b"".join(passages)
+    size = np.fromiter(map(len, passages), np.int64, len(passages))
+    begin = np.cumsum(size) - size
+    grams = gram_hashes(np.frombuffer(cat, np.uint8)).view(np.int64)
+    hit = np.flatnonzero(grams == np.repeat(keys, size)[: len(grams)])
+    which, first = np.unique(np.searchsorted(begin, hit, side="right") - 1, return_index=True)
+    at = hit[first]
+    fits = (at - begin[which] <= WINDOW - ANCHOR) & (at + ANCHOR <= (begin + size)[which])
+    which, at = which[fits], at[fits]
+    out = np.ones(len(passages), bool)
+    out[which] = False  # windows of hot anchors have no anchor for a key: they stay
+    for before in range(0, WINDOW - ANCHOR + 1, LOOK):
+        low, high = at - before, at + ANCHOR + max(0, WINDOW - ANCHOR - before - LOOK + 1)
+        inside = np.flatnonzero((low >= begin[which]) & (high <= (begin + size)[which]))
+        look = [cat[a:b] for a, b in zip(low[inside].tolist(), high[inside].tolist())]
+        count = Counter(look)
+        out[which[inside]] |= np.fromiter((count[s] > 1 for s in look), bool, len(look))
+    return out
+
+
 def earliest_places(sequences: list[bytes], first: np.ndarray, folder: str | None, **sizes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sequence, offset and the least place of all equal windows, for each window of the sequences, which start at `first`."""
     lengths = np.fromiter(map(len, sequences), np.int64, len(sequences))
@@ -338,19 +372,16 @@ def match(opened: DataFrame) -> DataFrame:
 
 def remove(docs: DataFrame, finish: Callable[[bytes, np.ndarray, np.ndarray], str]) -> DataFrame:
     """docs: doc, sub, text, rest. Gives rest and RESULT, where result is finish(bytes, begins, ends of removed runs)."""
-    spark = docs.sparkSession
     docs = docs.withColumn("ref", F.xxhash64("doc", "sub"))
-    found = store(survey(docs.select("doc", "sub", "ref", "text")), "suffix-survey")
+    found = store_clean(survey(docs.select("doc", "sub", "ref", "text")), "suffix-survey")
     group = Window.partitionBy("anchor")
     repeats = found.where("anchor IS NOT NULL").select("anchor", "ref").withColumn("n", F.count(F.lit(1)).over(group)).where("n > 1")
     marks = repeats.select("ref", F.struct("anchor", (F.col("n") > HOT).alias("hot")).alias("mark"), F.lit(None).cast(SPANS).alias("spans"))
     decided = found.where("anchor IS NULL").select("ref", "spans")
     marked = marks.unionByName(decided, allowMissingColumns=True).groupBy("ref").agg(F.collect_set("mark").alias("marks"), F.collect_set("spans").alias("spans"))
-    marked = store(marked.where(F.size("marks") > 0), "suffix-marks")
-    sweep(spark)
+    marked = store_clean(marked.where(F.size("marks") > 0), "suffix-marks")
     opened = open_passages(docs.select("doc", "sub", "ref", "text").join(marked, "ref"))
-    late = store(match(opened), "suffix-late")
-    sweep(spark)
+    late = store_clean(match(opened), "suffix-late")
     late = late.select(F.xxhash64("doc", "sub").alias("ref"), F.struct("doc", "sub", F.col("spans").alias("runs")).alias("spans"))
     gone = decided.union(late).groupBy("ref").agg(F.collect_list("spans").alias("spans"))
 
