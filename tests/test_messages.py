@@ -1,4 +1,5 @@
 import hashlib
+import os
 import random
 from collections import defaultdict
 from decimal import Decimal
@@ -211,6 +212,23 @@ def test_admission_with_one_sku_in_every_order(spark):
     assert rounds[-1] == 0 and rounds == sorted(rounds, reverse=True) and len(rounds) < 20
 
 
+def test_admission_leaves_only_decisions_on_disk(spark):
+    """Many rounds over one SKU with colliding keys: of all tables only those with decisions are left."""
+    from gridlark.session import shared_dir
+
+    places = lambda: {p for p in os.listdir(shared_dir(spark)) if p.startswith("gridlark-")}
+    before, rounds = places(), []
+    attempts = spark.range(40).select(
+        F.concat(F.lit("a"), "id").alias("attempt_id"), F.col("id").alias("arrival"), F.concat(F.lit("k"), F.col("id") % 9).alias("idempotency_key"), F.lit("d").alias("payload_digest")
+    )
+    lines = attempts.select("attempt_id", F.lit("s").alias("sku"), (F.col("arrival") * 7 % 5 + 1).alias("quantity"))
+    got = admission.admit(attempts, lines, spark.createDataFrame([("s", 11)], "sku string, stock_qty long"), rounds)
+    assert got.count() == 40 and len(rounds) > 1
+    new = places() - before
+    assert len(new) == len(rounds) + 1
+    assert all("quantity" not in spark.read.parquet(f"{shared_dir(spark)}/{p}").columns for p in new)
+
+
 def test_admission_settles_independent_attempts_at_once(spark):
     attempts = [(i, i, f"k{i}", "a") for i in range(40)]
     rounds: list[int] = []
